@@ -4,7 +4,7 @@ A text's features are its distinct words, pairs of neighbours and pairs with one
 into 2**BITS places.  Training takes at most MAX_ROWS labelled rows (those with the least hash of
 doc_id; the bound is a documented parameter).  The rows are dealt to tasks of about SHARD_ROWS by a hash; each
 runs FTRL-proximal with per-coordinate rates and L1 over its rows, and the shards' weights are
-averaged by an aggregation.  L1 leaves a few thousand weights, at most MAX_WEIGHTS (the largest; more
+averaged by an aggregation and calibrated on the sample.  L1 leaves a few thousand weights, at most MAX_WEIGHTS (the largest; more
 would mean that L1 is set too low): that is what is sent to the scoring tasks.  Scoring reads every whole text.
 
 Null and empty texts have no features and get the score of the intercept.  Labels that are null,
@@ -27,8 +27,9 @@ BITS = 26
 MAX_ROWS = 20_000
 MAX_WEIGHTS = 200_000
 SHARD_ROWS = 2_500  #: rows that one task trains on
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.0, 0.1
+EPOCHS = 6
+ALPHA, BETA, L2 = 1.0, 1.0, 0.1
+L1_ROW = 0.002  #: L1 for each row of a shard: a weight has to be worth as much in a small sample as in a large one
 INTERCEPT = -1  #: the intercept's place
 
 
@@ -48,12 +49,13 @@ def features(words: tc.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def ftrl(docs: list[np.ndarray], labels: np.ndarray, size: int, epochs: int) -> np.ndarray:
     """FTRL-proximal weights of `size` coordinates and, last, the intercept."""
+    l1 = max(0.5, L1_ROW * len(docs))
     z, n, w = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(docs)):
             at = docs[i]
             zi, ni = z[at], n[at]
-            wi = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
+            wi = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
             wb = -z[size] / ((BETA + np.sqrt(n[size])) / ALPHA)
             p = 1 / (1 + np.exp(-np.clip(wi.sum() + wb, -30, 30)))
             g = p - labels[i]
@@ -61,7 +63,7 @@ def ftrl(docs: list[np.ndarray], labels: np.ndarray, size: int, epochs: int) ->
             n[at] = ni + g * g
             z[size] += g - (np.sqrt(n[size] + g * g) - np.sqrt(n[size])) / ALPHA * wb
             n[size] += g * g
-    w[:-1] = np.where(np.abs(z[:-1]) <= L1, 0.0, -(z[:-1] - np.sign(z[:-1]) * L1) / ((BETA + np.sqrt(n[:-1])) / ALPHA + L2))
+    w[:-1] = np.where(np.abs(z[:-1]) <= l1, 0.0, -(z[:-1] - np.sign(z[:-1]) * l1) / ((BETA + np.sqrt(n[:-1])) / ALPHA + L2))
     w[-1] = -z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA)
     return w
 
@@ -113,8 +115,27 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     got = mean.orderBy((F.col("place") != INTERCEPT).cast("int"), F.abs("weight").desc(), "place").limit(MAX_WEIGHTS).select("place", "weight").toArrow()
     places, weights = got.column("place").to_numpy(), got.column("weight").to_numpy()
     is_intercept = places == INTERCEPT
+    if not is_intercept.any():
+        return places, weights, -30.0
     order = np.argsort(places[~is_intercept])
-    return places[~is_intercept][order], weights[~is_intercept][order], float(weights[is_intercept].sum()) if is_intercept.any() else -30.0
+    places, weights, intercept = places[~is_intercept][order], weights[~is_intercept][order], float(weights[is_intercept].sum())
+    scored = rows.select("label", "text").mapInArrow(_score(places, weights, intercept), "label int, text string, score double").select("label", "score").toArrow()
+    scale, shift = calibration(scored.column("score").to_numpy(), scored.column("label").to_numpy().astype(float))
+    return places, weights * scale, intercept * scale + shift
+
+
+def calibration(score: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Scale and shift of the log odds that fit the sample best: averaging shrinks weights that some shards lack.
+
+    Newton steps with a little L2 towards (1, 0), which keeps them finite where the classes part."""
+    odds = np.log(score / (1 - score))
+    x = np.stack([odds, np.ones(len(odds))], axis=1)
+    theta, at = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2)
+        theta = theta - np.linalg.solve(hessian, x.T @ (p - label) + 0.5 * (theta - at))
+    return float(np.clip(theta[0], 0.1, 20)), float(np.clip(theta[1], -30, 30))
 
 
 def _score(places: np.ndarray, weights: np.ndarray, intercept: float):
