@@ -28,25 +28,29 @@ from . import textcodes as tc
 from .components import components
 from .steps import cuts, groups, stored
 
-COORDINATES = 96
+COORDINATES = 256  #: of the signature, 16 bits each
 TREES = 3
-ROOT_BRANCHES = 4  #: coordinates a root picks; 12 in all: a pair at 0.8 misses all of them once in 2e8
-BRANCHES = 2  #: coordinates an inner node picks
+ROOT_BRANCHES = 4  #: coordinates a root picks, of 64 bits; 12 in all: a pair at 0.8 misses all of them once in 2e8
+BRANCHES = 2  #: coordinates of the signature an inner node picks
 LEAF = 96  #: documents up to which a node is a leaf
+BLOCK = 512  #: documents of a larger node at the last depth that are compared at a time
 DEPTH = 3
 MARGIN = 4.5  #: standard deviations of the signature's estimate below the threshold that are still confirmed
 
-_RNG = np.random.default_rng(77)
-_MUL = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
-_ADD = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
+_MUL = np.random.default_rng(77).integers(1, 1 << 63, COORDINATES + TREES * ROOT_BRANCHES, dtype=np.uint64) | np.uint64(1)
 
 
-def signatures(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(rows, COORDINATES) of 32-bit minwise values."""
-    out = np.empty((len(bounds) - 1, COORDINATES), dtype=np.uint32)
-    for k in range(COORDINATES):
-        out[:, k] = tc.row_reduce(np.minimum, ((codes * _MUL[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), bounds, 0xFFFFFFFF)
-    return out
+def signatures(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's minwise values: (rows, 12) of 64 bits for the roots, (rows, COORDINATES) of 16 bits."""
+    roots = np.empty((len(bounds) - 1, TREES * ROOT_BRANCHES), dtype=np.uint64)
+    out = np.empty((len(bounds) - 1, COORDINATES), dtype=np.uint16)
+    for k, mul in enumerate(_MUL):
+        least = tc.mix(tc.row_reduce(np.minimum, codes * mul, bounds, 0))  # the 16 bits are the value's hash, not its low or high end
+        if k < COORDINATES:
+            out[:, k] = least >> np.uint64(48)
+        else:
+            roots[:, k - COORDINATES] = least
+    return roots, out
 
 
 def _describe(size: int):
@@ -58,39 +62,38 @@ def _describe(size: int):
                 n = np.diff(bounds)
                 one = tc.row_reduce(np.add, tc.mix(codes), bounds, 0)
                 two = tc.row_reduce(np.add, tc.mix(codes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), bounds, 0)
-                sig = signatures(codes, bounds)
+                roots, sig = signatures(codes, bounds)
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary())],
-                    names=["doc_id", "n", "h1", "h2", "sig"],
+                    [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([r.tobytes() for r in roots], pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())],
+                    names=["doc_id", "n", "h1", "h2", "roots", "sig"],
                 )
 
     return run
 
 
 def _sig(column) -> np.ndarray:
-    return np.frombuffer(tc.column_bytes(column)[0], dtype=np.uint32).reshape(-1, COORDINATES)
+    return np.frombuffer(tc.column_bytes(column)[0], dtype=np.uint16).reshape(-1, COORDINATES)
 
 
-def _branch(first: bool):
-    """Rows (rep, node, sig) to rows (rep, node) of the children."""
+def _roots(batches):
+    """Rows (rep, roots) to rows (rep, node) of the roots' children."""
+    for batch in batches:
+        values = np.frombuffer(tc.column_bytes(batch.column("roots"))[0], dtype=np.uint64).reshape(-1, TREES * ROOT_BRANCHES)
+        nodes = tc.mix(values + np.arange(1, values.shape[1] + 1, dtype=np.uint64))
+        yield pa.record_batch([pa.array(np.repeat(batch.column("rep").to_numpy(), values.shape[1])), pa.array(nodes.ravel().view(np.int64))], names=["rep", "node"])
 
-    def run(batches):
-        for batch in batches:
-            reps, sig = batch.column("rep").to_numpy(zero_copy_only=False), _sig(batch.column("sig"))
-            nodes = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
-            made = []
-            for tree in range(TREES if first else 1):
-                for b in range(ROOT_BRANCHES if first else BRANCHES):
-                    if first:  # roots of different trees pick different coordinates
-                        pick = np.full(len(reps), tree * ROOT_BRANCHES + b, dtype=np.int64)
-                    else:
-                        pick = ((tc.mix(nodes ^ np.uint64(0x51)) + np.uint64(b * 37)) % np.uint64(COORDINATES)).astype(np.int64)
-                    value = sig[np.arange(len(reps)), pick].astype(np.uint64)
-                    made.append(tc.mix(tc.mix(nodes + np.uint64(tree + 1)) ^ (pick.astype(np.uint64) << np.uint64(40)) ^ value))
-            k = len(made)
-            yield pa.record_batch([pa.array(np.tile(reps, k)), pa.array(np.concatenate(made).view(np.int64) if k else np.zeros(0, np.int64))], names=["rep", "node"])
 
-    return run
+def _branch(batches):
+    """Rows (rep, node, sig) to rows (rep, node) of the children."""
+    for batch in batches:
+        reps, sig = batch.column("rep").to_numpy(), _sig(batch.column("sig"))
+        nodes = batch.column("node").to_numpy().view(np.uint64)
+        made = []
+        for b in range(BRANCHES):
+            pick = ((tc.mix(nodes ^ np.uint64(0x51)) + np.uint64(b * 37)) % np.uint64(COORDINATES)).astype(np.int64)
+            value = sig[np.arange(len(reps)), pick].astype(np.uint64)
+            made.append(tc.mix(tc.mix(nodes) ^ (pick.astype(np.uint64) << np.uint64(40)) ^ value))
+        yield pa.record_batch([pa.array(np.tile(reps, BRANCHES)), pa.array(np.concatenate(made).view(np.int64))], names=["rep", "node"])
 
 
 def _central(batches):
@@ -105,7 +108,7 @@ def _central(batches):
             else:
                 m = sig[s:e]
                 agree = np.zeros(e - s)
-                for k in range(0, COORDINATES, 3):
+                for k in range(0, COORDINATES, 4):
                     _, inverse, count = np.unique(m[:, k], return_inverse=True, return_counts=True)
                     agree += count[inverse]
                 best = s + np.lexsort((reps[s:e], -agree))[:2]
@@ -126,34 +129,33 @@ def _near(least: float):
 
 
 def _across(least: float, top: int):
-    """Pairs of a block (pair) from different components, the `top` nearest for each document and other component."""
+    """Pairs of a cell from different components, the `top` nearest for each pair of components."""
 
     def run(batches):
         for t in groups(batches, "cell"):
             cells, reps, comps, sides, sig = t.column("cell").to_numpy(), t.column("rep").to_numpy(), t.column("component").to_numpy(), t.column("side").to_numpy(), _sig(t.column("sig"))
             at = cuts(cells)
-            a, b = [], []
+            found = []
             for s, e in zip(at[:-1], at[1:], strict=True):
                 c, r, side, m = comps[s:e], reps[s:e], sides[s:e], sig[s:e]
-                if (c == c[0]).all():
+                names, count = np.unique(c, return_counts=True)
+                if len(names) == 1:
                     continue
-                left = np.flatnonzero(side != 1)
-                right = np.flatnonzero(side != 0)
-                order = right[np.argsort(c[right], kind="stable")]
-                for i in left:
-                    other = order[c[order] != c[i]]
+                rest = np.ones(e - s, dtype=bool)  # documents outside the largest component that are still to be compared
+                rest[c == names[count.argmax()]] = False
+                for i in np.flatnonzero(rest):
+                    rest[i] = False
+                    other = np.flatnonzero((c != c[i]) & ((side != side[i]) | (side == 2)) & (rest | (c == names[count.argmax()])))
                     share = (m[other] == m[i]).mean(axis=1)
                     near = share >= least
-                    other, share = other[near], share[near]
-                    if not len(other):
-                        continue
-                    ranked = np.lexsort((r[other], -share, c[other]))
-                    runs = cuts(c[other][ranked])
-                    rank = np.arange(len(ranked)) - np.repeat(runs[:-1], np.diff(runs))
-                    keep = other[ranked[rank < top]]
-                    a += np.minimum(r[keep], r[i]).tolist()
-                    b += np.maximum(r[keep], r[i]).tolist()
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    if near.any():
+                        other, share = other[near], share[near]
+                        found.append((np.minimum(c[other], c[i]), np.maximum(c[other], c[i]), -share, np.minimum(r[other], r[i]), np.maximum(r[other], r[i])))
+            lo, hi, far, a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
+            order = np.lexsort((b, a, far, hi, lo))
+            runs = cuts(np.cumsum(np.concatenate([[0], (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])]))) if len(order) else np.zeros(1, np.int64)
+            keep = order[np.arange(len(order)) - np.repeat(runs[:-1], np.diff(runs)) < top]
+            yield pa.record_batch([pa.array(x[keep].astype(np.int64)) for x in (lo, hi)] + [pa.array(far[keep].astype(float))] + [pa.array(x[keep].astype(np.int64)) for x in (a, b)], names=["lo", "hi", "far", "a", "b"])
 
     return run
 
@@ -196,21 +198,22 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     with fewer words has its whole sequence as one.  component_id is the smallest doc_id reachable by links.
     Other columns of the input, whatever their names, are not read; rows with a null doc_id are left out."""
     docs = documents.select("doc_id", "text").filter("doc_id is not null")
-    described = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_describe(shingle), "doc_id long, n long, h1 long, h2 long, sig binary"), "described")
-    classes = stored(described.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    described = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_describe(shingle), "doc_id long, n long, h1 long, h2 long, roots binary, sig binary"), "described")
+    classes = stored(described.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("roots").alias("roots"), F.first("sig").alias("sig")), "classes")
     sigs = classes.select("rep", "sig")
 
     leaves = []
-    rows = sigs.withColumn("node", F.lit(0).cast("long"))
+    rows = classes.select("rep", "roots").mapInArrow(_roots, "rep long, node long")
     for depth in range(DEPTH):
-        rows = stored(rows.mapInArrow(_branch(depth == 0), "rep long, node long"), "nodes")
+        rows = stored(rows, "nodes")
         counts = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         rows = stored(rows.join(counts, "node"), "sized")
         last = depth == DEPTH - 1
         leaves.append(rows if last else rows.filter(F.col("size") <= LEAF))
-        rows = rows.filter(F.col("size") > LEAF).select("rep", "node").join(sigs, "rep")
-        if not last and rows.limit(1).count() == 0:
+        rows = rows.filter(F.col("size") > LEAF)
+        if last or rows.limit(1).count() == 0:
             break
+        rows = rows.select("rep", "node").join(sigs, "rep").mapInArrow(_branch, "rep long, node long").distinct()
     members = leaves[0]
     for more in leaves[1:]:
         members = members.union(more)
@@ -234,17 +237,18 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
         now = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = now.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("node")
         now = now.join(mixed, "node")
-        blocks = F.ceil(F.col("size") / LEAF).cast("long")
-        mine = F.when(blocks == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), blocks))
+        blocks = F.when(F.col("size") <= LEAF, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("long")
+        mine = F.pmod(F.xxhash64("rep"), blocks)
         other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
         cells = now.select("node", "rep", "sig", "component", mine.alias("mine"), other.alias("other"))
         cells = cells.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "rep", "sig", "component", F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side"))
-        found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_across(least, top), "a long, b long").distinct()
-        fresh = stored(found.join(checked, ["a", "b"], "left_anti"), "fresh")
+        found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_across(least, top), "lo long, hi long, far double, a long, b long")
+        found = found.distinct().join(checked, ["a", "b"], "left_anti").groupBy("lo", "hi").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "a", "b"))), 1, top).alias("best"))
+        fresh = stored(found.select(F.explode("best").alias("p")).select("p.a", "p.b"), "fresh")
         if fresh.limit(1).count() == 0:
             break
         links = links.union(confirmed(docs, fresh, shingle, percent))
-        checked, top = checked.union(fresh), top * 8
+        checked, top = checked.union(fresh), top * 16
     whole = classes.join(labels, F.col("id") == F.col("rep"), "left").select("h1", "h2", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     out = described.select("doc_id", "n", "h1", "h2").join(whole, ["h1", "h2", "n"], "left")
     component = F.coalesce("component_id", "doc_id")
