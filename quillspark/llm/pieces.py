@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from . import textcodes as tc
 
@@ -418,20 +418,23 @@ def _run(model: str, make):
 
 
 def encode(documents: DataFrame, model: str | None = None) -> DataFrame:
-    """The documents with token_ids (array of int) and n_tokens; columns of these names are replaced."""
-    docs = documents.drop("token_ids", "n_tokens")
+    """The documents with token_ids (array of int), n_tokens and round_trip (whether decoding the ids gives the text's
+    bytes again); columns of these names are replaced."""
+    docs = documents.drop("token_ids", "n_tokens", "round_trip")
 
     def make(v):
         tokenizer = Tokenizer(v, False)
 
         def rows(part):
-            _, _, ids, bounds = tokenizer.encode(*tc.column_bytes(part.column("text")))
+            spaced, at, ids, bounds = tokenizer.encode(*tc.column_bytes(part.column("text")))
+            back, back_at = decode_ids(v, ids, bounds)
+            same = [np.array_equal(back[back_at[i] : back_at[i + 1]], spaced[at[i] : at[i + 1]]) for i in range(part.num_rows)]
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()))
-            return pa.record_batch([*part.columns, lists, pa.array(np.diff(bounds))], names=[*part.schema.names, "token_ids", "n_tokens"])
+            return pa.record_batch([*part.columns, lists, pa.array(np.diff(bounds)), pa.array(same, pa.bool_())], names=[*part.schema.names, "token_ids", "n_tokens", "round_trip"])
 
         return rows
 
-    schema = StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
+    schema = StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())])
     return docs.mapInArrow(_run(model or default_model(), make), schema)
 
 

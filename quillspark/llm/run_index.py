@@ -298,6 +298,23 @@ def drop_repeats(documents: DataFrame, length: int = 400, anchor: int = ANCHOR)
     return docs.join(by_doc, "doc_id", "left").mapInArrow(_kept, schema)
 
 
+def texts_without_repeats(documents: DataFrame, length: int = 400, anchor: int = ANCHOR) -> DataFrame:
+    """The documents, all of them, with the text that is left; a character that was cut apart goes as a whole.
+
+    Rows with a null doc_id keep their text."""
+    named = documents.filter("doc_id is not null")
+    cut = drop_repeats(named, length, anchor)
+    left = F.when(F.col("text").isNull(), None).when(F.col("n_removed") == 0, F.col("text")).otherwise(_whole_characters("kept"))
+    return cut.select(*(left.alias(c) if c == "text" else F.col(c) for c in documents.columns)).union(documents.filter("doc_id is null"))
+
+
+def _whole_characters(kept: str):
+    """The bytes as text.  What is not a whole character becomes U+FFFD in between, marked so that one of the text's own stays."""
+    own, mark = "\ufffd", "\ue5e5\ue5e5"
+    text = F.replace(F.col(kept).cast("string"), F.lit(own), F.lit(mark))
+    return F.replace(F.replace(F.make_valid_utf8(text), F.lit(own), F.lit("")), F.lit(mark), F.lit(own))
+
+
 def repeat_digest(documents: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes kept."""
     return drop_repeats(documents.select("doc_id", "text"), length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
