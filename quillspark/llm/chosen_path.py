@@ -7,9 +7,9 @@ branch again, up to a fixed depth.  Leaves are compared by signature, and every
 confirmed on the full shingle sets.
 
 Two steps keep the work linear in a group of near copies.  First, each leaf links its documents to
-its two most central members.  Then only pairs from different components are compared, in blocks,
-nearest first, until no unconfirmed pair within the signature's margin is left: leaves beyond the
-size limit get the same exact treatment, block by block, and nothing is capped.
+its two most central members.  Then only documents near one of another component by signature are
+compared on their full sets, cell by cell: a leaf is a cell, a larger one is cut into blocks and each
+pair of blocks is a cell, so nothing is capped.  A document is in a cell once, not once for each pair.
 
 Null or wordless texts have no set and are linked with nothing.  Equal sets (repeated rows, copies)
 are one class from the start and are never paired.  An empty table gives an empty table.
@@ -33,7 +33,7 @@ TREES = 3
 ROOT_BRANCHES = 4  #: coordinates a root picks, of 64 bits; 12 in all: a pair at 0.8 misses all of them once in 2e8
 BRANCHES = 2  #: coordinates of the signature an inner node picks
 LEAF = 96  #: documents up to which a node is a leaf
-BLOCK = 512  #: documents of a larger node at the last depth that are compared at a time
+BLOCK = 384  #: documents of a larger node at the last depth that are compared at a time
 DEPTH = 3
 MARGIN = 4.5  #: standard deviations of the signature's estimate below the threshold that are still confirmed
 
@@ -128,34 +128,66 @@ def _near(least: float):
     return run
 
 
-def _across(least: float, top: int):
-    """Pairs of a cell from different components, the `top` nearest for each pair of components."""
+def _involved(least: float):
+    """The documents of a cell with a partner there that is near by signature and in another component."""
 
     def run(batches):
         for t in groups(batches, "cell"):
             cells, reps, comps, sides, sig = t.column("cell").to_numpy(), t.column("rep").to_numpy(), t.column("component").to_numpy(), t.column("side").to_numpy(), _sig(t.column("sig"))
             at = cuts(cells)
-            found = []
+            keep = np.zeros(len(cells), dtype=bool)
             for s, e in zip(at[:-1], at[1:], strict=True):
-                c, r, side, m = comps[s:e], reps[s:e], sides[s:e], sig[s:e]
+                c, side, m = comps[s:e], sides[s:e], sig[s:e]
                 names, count = np.unique(c, return_counts=True)
                 if len(names) == 1:
                     continue
-                rest = np.ones(e - s, dtype=bool)  # documents outside the largest component that are still to be compared
-                rest[c == names[count.argmax()]] = False
+                main = c == names[count.argmax()]  # pairs within the largest component need no look: all others have one end outside
+                rest = ~main
                 for i in np.flatnonzero(rest):
                     rest[i] = False
-                    other = np.flatnonzero((c != c[i]) & ((side != side[i]) | (side == 2)) & (rest | (c == names[count.argmax()])))
-                    share = (m[other] == m[i]).mean(axis=1)
-                    near = share >= least
-                    if near.any():
-                        other, share = other[near], share[near]
-                        found.append((np.minimum(c[other], c[i]), np.maximum(c[other], c[i]), -share, np.minimum(r[other], r[i]), np.maximum(r[other], r[i])))
-            lo, hi, far, a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
-            order = np.lexsort((b, a, far, hi, lo))
-            runs = cuts(np.cumsum(np.concatenate([[0], (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])]))) if len(order) else np.zeros(1, np.int64)
-            keep = order[np.arange(len(order)) - np.repeat(runs[:-1], np.diff(runs)) < top]
-            yield pa.record_batch([pa.array(x[keep].astype(np.int64)) for x in (lo, hi)] + [pa.array(far[keep].astype(float))] + [pa.array(x[keep].astype(np.int64)) for x in (a, b)], names=["lo", "hi", "far", "a", "b"])
+                    other = np.flatnonzero((c != c[i]) & ((side != side[i]) | (side == 2)) & (rest | main))
+                    near = other[(m[other] == m[i]).mean(axis=1) >= least]
+                    if len(near):
+                        keep[s + near] = keep[s + i] = True
+            yield pa.record_batch([pa.array(x[keep]) for x in (cells, reps, comps, sides)], names=["cell", "rep", "component", "side"])
+
+    return run
+
+
+def _linked(size: int, percent: int):
+    """Cells of documents with their texts to links between components, by the full sets.
+
+    A document's set is compared with all others of the cell at once; a pair whose ends the cell has already joined
+    needs no look, so a cell gives fewer links than it has documents."""
+
+    def run(batches):
+        for t in groups(batches, "cell"):
+            cells, reps, comps, sides = (t.column(c).to_numpy() for c in ("cell", "rep", "component", "side"))
+            at = cuts(cells)
+            a, b = [], []
+            for s, e in zip(at[:-1], at[1:], strict=True):
+                codes, bounds = tc.distinct_by_row(*tc.gram_codes(tc.Words(*tc.column_bytes(t.column("text").slice(s, e - s))), size))
+                known, codes = np.unique(codes, return_inverse=True)
+                n, side = np.diff(bounds), sides[s:e]
+                _, group = np.unique(comps[s:e], return_inverse=True)
+                mark = np.zeros(len(known), dtype=np.int32)
+                main = np.bincount(group).argmax()
+                for i in np.argsort(group == main, kind="stable"):
+                    if group[i] == main and (group == main).all():
+                        break
+                    open_ = (group != group[i]) & ((side != side[i]) | (side == 2))
+                    if not open_.any():
+                        continue
+                    own = codes[bounds[i] : bounds[i + 1]]
+                    mark[own] = 1
+                    same = np.add.reduceat(mark[codes], bounds[:-1])
+                    mark[own] = 0
+                    for j in np.flatnonzero(open_ & (100 * same >= percent * (n + n[i] - same))):
+                        if group[i] != group[j]:
+                            a.append(min(reps[s + i], reps[s + j]))
+                            b.append(max(reps[s + i], reps[s + j]))
+                            group[group == group[j]] = group[i]
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -231,24 +263,20 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     pairs = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_near(least), "a long, b long"), "pairs")
 
     links = confirmed(docs, pairs, shingle, percent)
-    checked, top = pairs, 1
-    while True:
-        labels = components(links)
-        now = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = now.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("node")
-        now = now.join(mixed, "node")
-        blocks = F.when(F.col("size") <= LEAF, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("long")
-        mine = F.pmod(F.xxhash64("rep"), blocks)
-        other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-        cells = now.select("node", "rep", "sig", "component", mine.alias("mine"), other.alias("other"))
-        cells = cells.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "rep", "sig", "component", F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side"))
-        found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_across(least, top), "lo long, hi long, far double, a long, b long")
-        found = found.distinct().join(checked, ["a", "b"], "left_anti").groupBy("lo", "hi").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "a", "b"))), 1, top).alias("best"))
-        fresh = stored(found.select(F.explode("best").alias("p")).select("p.a", "p.b"), "fresh")
-        if fresh.limit(1).count() == 0:
-            break
-        links = links.union(confirmed(docs, fresh, shingle, percent))
-        checked, top = checked.union(fresh), top * 16
+    labels = components(links)
+    now = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = now.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("node")
+    blocks = F.when(F.col("size") <= LEAF, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("long")
+    mine, other = F.pmod(F.xxhash64("rep"), blocks), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    cells = now.join(mixed, "node").select("node", "rep", "sig", "component", mine.alias("mine"), other.alias("other"))
+    side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int"))
+    cells = cells.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "rep", "sig", "component", side.alias("side"))
+    involved = stored(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_involved(least), "cell long, rep long, component long, side int"), "involved")
+    texts = docs.withColumnRenamed("doc_id", "rep").join(involved.select("rep").distinct(), "rep", "left_semi")
+    found = involved.join(texts, "rep").repartition("cell").sortWithinPartitions("cell").mapInArrow(_linked(shingle, percent), "a long, b long")
+    fresh = stored(found, "fresh")
+    if fresh.limit(1).count():
+        labels = components(links.union(fresh))
     whole = classes.join(labels, F.col("id") == F.col("rep"), "left").select("h1", "h2", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     out = described.select("doc_id", "n", "h1", "h2").join(whole, ["h1", "h2", "n"], "left")
     component = F.coalesce("component_id", "doc_id")
