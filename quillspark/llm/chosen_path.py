@@ -2,7 +2,7 @@
 
 Documents are sets of word shingles.  Independent trees branch them by minwise tokens: a node picks
 a few coordinates of the MinHash signature by a hash of its path, and a document goes to the child
-named by (node, coordinate, its value there).  Nodes with few documents are leaves; larger ones
+named by (node, coordinate, its value there); the first two levels are taken in one step.  Nodes with few documents are leaves; larger ones
 branch again, up to a fixed depth.  Leaves are compared by signature, and every candidate link is
 confirmed on the full shingle sets.
 
@@ -29,20 +29,20 @@ from .components import components
 from .steps import cuts, groups, stored
 
 COORDINATES = 256  #: of the signature, 16 bits each
-TREES = 3
-ROOT_BRANCHES = 4  #: coordinates a root picks, of 64 bits; 12 in all: a pair at 0.8 misses all of them once in 2e8
+TREES = 4
+ROOT_BRANCHES = 4  #: children of a root, each by two coordinates of 64 bits; 16 in all: a pair at 0.8 misses all of them once in 1e7
 BRANCHES = 2  #: coordinates of the signature an inner node picks
 LEAF = 96  #: documents up to which a node is a leaf
 BLOCK = 384  #: documents of a larger node at the last depth that are compared at a time
 DEPTH = 3
 MARGIN = 4.5  #: standard deviations of the signature's estimate below the threshold that are still confirmed
 
-_MUL = np.random.default_rng(77).integers(1, 1 << 63, COORDINATES + TREES * ROOT_BRANCHES, dtype=np.uint64) | np.uint64(1)
+_MUL = np.random.default_rng(77).integers(1, 1 << 63, COORDINATES + 2 * TREES * ROOT_BRANCHES, dtype=np.uint64) | np.uint64(1)
 
 
 def signatures(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's minwise values: (rows, 12) of 64 bits for the roots, (rows, COORDINATES) of 16 bits."""
-    roots = np.empty((len(bounds) - 1, TREES * ROOT_BRANCHES), dtype=np.uint64)
+    """Each row's nodes below the roots, (rows, 16), and its minwise values, (rows, COORDINATES) of 16 bits."""
+    roots = np.empty((len(bounds) - 1, 2 * TREES * ROOT_BRANCHES), dtype=np.uint64)
     out = np.empty((len(bounds) - 1, COORDINATES), dtype=np.uint16)
     for k, mul in enumerate(_MUL):
         least = tc.mix(tc.row_reduce(np.minimum, codes * mul, bounds, 0))  # the 16 bits are the value's hash, not its low or high end
@@ -50,7 +50,7 @@ def signatures(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
             out[:, k] = least >> np.uint64(48)
         else:
             roots[:, k - COORDINATES] = least
-    return roots, out
+    return tc.mix(tc.mix(roots[:, ::2] + np.arange(1, TREES * ROOT_BRANCHES + 1, dtype=np.uint64)) ^ roots[:, 1::2]), out
 
 
 def _describe(size: int):
@@ -78,9 +78,8 @@ def _sig(column) -> np.ndarray:
 def _roots(batches):
     """Rows (rep, roots) to rows (rep, node) of the roots' children."""
     for batch in batches:
-        values = np.frombuffer(tc.column_bytes(batch.column("roots"))[0], dtype=np.uint64).reshape(-1, TREES * ROOT_BRANCHES)
-        nodes = tc.mix(values + np.arange(1, values.shape[1] + 1, dtype=np.uint64))
-        yield pa.record_batch([pa.array(np.repeat(batch.column("rep").to_numpy(), values.shape[1])), pa.array(nodes.ravel().view(np.int64))], names=["rep", "node"])
+        nodes = np.frombuffer(tc.column_bytes(batch.column("roots"))[0], dtype=np.int64)
+        yield pa.record_batch([pa.array(np.repeat(batch.column("rep").to_numpy(), TREES * ROOT_BRANCHES)), pa.array(nodes)], names=["rep", "node"])
 
 
 def _branch(batches):
@@ -155,7 +154,7 @@ def _involved(least: float):
 
 
 def _linked(size: int, percent: int):
-    """Cells of documents with their texts to links between components, by the full sets.
+    """Cells of documents with their texts to links between components (their names), by the full sets.
 
     A document's set is compared with all others of the cell at once; a pair whose ends the cell has already joined
     needs no look, so a cell gives fewer links than it has documents."""
@@ -184,9 +183,15 @@ def _linked(size: int, percent: int):
                     mark[own] = 0
                     for j in np.flatnonzero(open_ & (100 * same >= percent * (n + n[i] - same))):
                         if group[i] != group[j]:
-                            a.append(min(reps[s + i], reps[s + j]))
-                            b.append(max(reps[s + i], reps[s + j]))
                             group[group == group[j]] = group[i]
+                # a star of the old components around the smallest one they are now joined with
+                order = np.lexsort((comps[s:e], group))
+                least = comps[s:e][order][cuts(group[order])[:-1]]
+                hub = np.repeat(least, np.diff(cuts(group[order])))
+                old = comps[s:e][order]
+                new = np.unique(np.stack([hub, old], axis=1)[hub != old], axis=0)
+                a += new[:, 0].tolist()
+                b += new[:, 1].tolist()
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -264,17 +269,17 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
 
     links = confirmed(docs, pairs, shingle, percent)
     labels = components(links)
-    now = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    now = members.drop("sig").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = now.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("node")
     blocks = F.when(F.col("size") <= LEAF, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("long")
     mine, other = F.pmod(F.xxhash64("rep"), blocks), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    cells = now.join(mixed, "node").select("node", "rep", "sig", "component", mine.alias("mine"), other.alias("other"))
+    cells = now.join(mixed, "node").select("node", "rep", "component", mine.alias("mine"), other.alias("other"))
     side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int"))
-    cells = cells.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "rep", "sig", "component", side.alias("side"))
+    cells = cells.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "rep", "component", side.alias("side")).join(sigs, "rep")
     involved = stored(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_involved(least), "cell long, rep long, component long, side int"), "involved")
     texts = docs.withColumnRenamed("doc_id", "rep").join(involved.select("rep").distinct(), "rep", "left_semi")
     found = involved.join(texts, "rep").repartition("cell").sortWithinPartitions("cell").mapInArrow(_linked(shingle, percent), "a long, b long")
-    fresh = stored(found, "fresh")
+    fresh = stored(found.distinct(), "fresh")
     if fresh.limit(1).count():
         labels = components(links.union(fresh))
     whole = classes.join(labels, F.col("id") == F.col("rep"), "left").select("h1", "h2", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
