@@ -14,7 +14,8 @@ from .plans.extract import extract
 from .sources import store
 from .sources.rendered import RATES, cents, country_receipts, eu, orders, receipts, table, us
 
-T = F.col("text")
+def _t():
+    return F.col("text")
 
 
 def _cents(c):
@@ -28,19 +29,19 @@ def receipts_extracted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def receipt_totals(spark, d):
-    return receipts(spark, d).select("k", _cents(fields.total(T)).alias("total"))
+    return receipts(spark, d).select("k", _cents(fields.total(_t())).alias("total"))
 
 
 def receipt_subtotal_tax(spark, d):
-    return receipts(spark, d).select("k", _cents(fields.subtotal(T)).alias("subtotal"), _cents(fields.tax(T)).alias("tax"))
+    return receipts(spark, d).select("k", _cents(fields.subtotal(_t())).alias("subtotal"), _cents(fields.tax(_t())).alias("tax"))
 
 
 def tax_percentage(spark, d):
-    return receipts(spark, d).select("k", fields.tax_percentage(T).cast("int").alias("pct"), fields.zero_tax_signal(T).alias("exempt"))
+    return receipts(spark, d).select("k", fields.tax_percentage(_t()).cast("int").alias("pct"), fields.zero_tax_signal(_t()).alias("exempt"))
 
 
 def receipt_dates(spark, d):
-    return receipts(spark, d).select("k", fields.date(T).alias("day"))
+    return receipts(spark, d).select("k", fields.date(_t()).alias("day"))
 
 
 def normalize_amount_formats(spark, d):
@@ -51,15 +52,15 @@ def normalize_amount_formats(spark, d):
 
 
 def invoice_numbers(spark, d):
-    return receipts(spark, d).select("k", fields.invoice_number(T).alias("invoice"))
+    return receipts(spark, d).select("k", fields.invoice_number(_t()).alias("invoice"))
 
 
 def vendor_ids(spark, d):
-    return receipts(spark, d).select("k", F.array_join(fields.vendor_ids(T), "|").alias("ids"))
+    return receipts(spark, d).select("k", F.array_join(fields.vendor_ids(_t()), "|").alias("ids"))
 
 
 def payment_methods(spark, d):
-    return receipts(spark, d).groupBy(fields.payment_method(T).alias("method")).agg(F.count("*").alias("n"))
+    return receipts(spark, d).groupBy(fields.payment_method(_t()).alias("method")).agg(F.count("*").alias("n"))
 
 
 def currency_detect(spark, d):
@@ -68,51 +69,51 @@ def currency_detect(spark, d):
 
 
 def line_items(spark, d):
-    rows = receipts(spark, d).select("k", F.explode(fields.items(T)).alias("i"))
+    rows = receipts(spark, d).select("k", F.explode(fields.items(_t())).alias("i"))
     return rows.select("k", F.col("i.description").alias("description"), F.col("i.quantity").alias("quantity"), _cents(F.col("i.total")).alias("cents"))
 
 
 def total_candidates(spark, d):
-    rows = receipts(spark, d).select("k", F.explode(candidates.total_candidates(T)).alias("c"))
+    rows = receipts(spark, d).select("k", F.explode(candidates.total_candidates(_t())).alias("c"))
     return rows.select("k", _cents(F.col("c.value")).alias("cents"), F.col("c.role").alias("role"))
 
 
 def tax_candidates(spark, d):
-    rows = receipts(spark, d).select("k", F.explode(candidates.tax_candidates(T)).alias("c"))
+    rows = receipts(spark, d).select("k", F.explode(candidates.tax_candidates(_t())).alias("c"))
     return rows.select("k", _cents(F.col("c.value")).alias("cents"))
 
 
 def subtotal_candidates(spark, d):
-    rows = receipts(spark, d).select("k", F.explode(candidates.subtotal_candidates(T)).alias("c"))
+    rows = receipts(spark, d).select("k", F.explode(candidates.subtotal_candidates(_t())).alias("c"))
     return rows.select("k", _cents(F.col("c.value")).alias("cents"))
 
 
 def labeled_fields(spark, d):
-    return receipts(spark, d).select("k", F.explode(candidates.labeled_fields(T)).alias("label", "value"))
+    return receipts(spark, d).select("k", F.explode(candidates.labeled_fields(_t())).alias("label", "value"))
 
 
 def customer_names(spark, d):
-    p = fields.labeled_parties(T)
-    return receipts(spark, d).select("k", p["customer_name"].alias("name"), F.array_join(p["customer_ids"], "|").alias("ids"), F.array_join(candidates.customer_candidates(T), "|").alias("candidates"))
+    p = fields.labeled_parties(_t())
+    return receipts(spark, d).select("k", p["customer_name"].alias("name"), F.array_join(p["customer_ids"], "|").alias("ids"), F.array_join(candidates.customer_candidates(_t()), "|").alias("candidates"))
 
 
 def classified_ids(spark, d):
-    rows = receipts(spark, d).select("k", F.explode(candidates.classified_ids(T)).alias("c"))
+    rows = receipts(spark, d).select("k", F.explode(candidates.classified_ids(_t())).alias("c"))
     return rows.select("k", "c.value", "c.section", "c.label")
 
 
 def table_rows(spark, d):
-    rows = receipts(spark, d).select("k", F.explode(candidates.table_rows(lines(T))).alias("r"))
+    rows = receipts(spark, d).select("k", F.explode(candidates.table_rows(lines(_t()))).alias("r"))
     return rows.filter(F.col("r.label").isin("Cliente", "Subtotal", "RUC")).select("k", "r.label", "r.value")
 
 
 def identifications(spark, d):
-    rows = country_receipts(spark, d).filter("k % 3 = 2").select("k", F.explode(candidates.identifications(T)).alias("i"))
+    rows = country_receipts(spark, d).filter("k % 3 = 2").select("k", F.explode(candidates.identifications(_t())).alias("i"))
     return rows.select("k", "i.type", "i.value", "i.role")
 
 
 def vendor_candidates(spark, d):
-    return receipts(spark, d).select("k", F.get(candidates.vendor_candidates(T), 0).alias("name"))
+    return receipts(spark, d).select("k", F.get(candidates.vendor_candidates(_t()), 0).alias("name"))
 
 
 def _masked(spark, d):
@@ -133,13 +134,13 @@ def reconcile(spark, d):
 
 
 def parser_overlay(spark, d):
-    rows = country.with_overlay(country_receipts(spark, d).withColumn("rules", fields.rules(T)), "rules", "text")
+    rows = country.with_overlay(country_receipts(spark, d).withColumn("rules", fields.rules(_t())), "rules", "text")
     f = F.col("fields")
     return rows.select("k", f["parser"].alias("parser"), _cents(f["amount"]).alias("total"), f["vendor_name"].alias("vendor_name"), F.get(f["vendor_ids"], 0).alias("vendor_id"), f["invoice_number"].alias("invoice"), f["currency"].alias("currency"))
 
 
 def ai_merge(spark, d):
-    rows = receipts(spark, d).filter("total < 100000").withColumns({"r": fields.rules(T), "ai": structure.mock(T)})
+    rows = receipts(spark, d).filter("total < 100000").withColumns({"r": fields.rules(_t()), "ai": structure.mock(_t())})
     got = structure.merge({f: F.col("r")[f] for f in country.FIELDS}, F.col("ai"))
     return rows.select("k", _cents(got["amount"]).alias("amount"), got["vendor_name"].alias("vendor_name"), got["currency"].alias("currency"))
 
@@ -162,15 +163,15 @@ _WORDS = ("Farmacia Sol", "spa day", "router wifi", "metro sur", "diesel", "pizz
 
 
 def vendor_name_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", fields.vendor_name(T).alias("name"))
+    return table(spark, d, "documents").select("doc_id", fields.vendor_name(_t()).alias("name"))
 
 
 def useful_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", candidates.useful_content(T).alias("useful"))
+    return table(spark, d, "documents").select("doc_id", candidates.useful_content(_t()).alias("useful"))
 
 
 def ocr_score(spark, d):
-    return receipts(spark, d).select("k", F.floor(layout.score(T, F.lit(0.9)) * 1000 + 0.5).cast("long").alias("score"))
+    return receipts(spark, d).select("k", F.floor(layout.score(_t(), F.lit(0.9)) * 1000 + 0.5).cast("long").alias("score"))
 
 
 def best_variant(spark, d):
@@ -181,9 +182,9 @@ def best_variant(spark, d):
 
 
 def layout_lines(spark, d):
-    rows = lines(T)
+    rows = lines(_t())
     words = F.flatten(F.transform(rows, lambda x, y: F.filter(F.transform(F.split(x, " ", -1), lambda w, i: F.struct(w.alias("text"), F.lit(0.9).alias("confidence"), _start(x, i).alias("x0"), (y * 20.0 + i % 2).alias("y0"), (_start(x, i) + F.length(w) * 10).alias("x1"), (y * 20.0 + 12).alias("y1"))), lambda w: w["text"] != "")))
-    return receipts(spark, d).select("k", F.array_join(layout.layout_lines(T, words.cast(f"array<{layout.WORD}>")), "\n").alias("text"))
+    return receipts(spark, d).select("k", F.array_join(layout.layout_lines(_t(), words.cast(f"array<{layout.WORD}>")), "\n").alias("text"))
 
 
 def _start(line, i):
@@ -209,7 +210,7 @@ def list_receipts(spark, d):
 def reparse_append(spark, d):
     rows = receipts(spark, d).select("id", "k", "text").withColumn("kind", F.lit("first"))
     again = rows.filter("k % 10 = 0").withColumns({"kind": F.lit("again"), "id": F.concat("id", F.lit("r"))})
-    return rows.union(again).select("id", "kind", _cents(fields.total(T)).alias("total"))
+    return rows.union(again).select("id", "kind", _cents(fields.total(_t())).alias("total"))
 
 
 def history_rows(spark, d):
