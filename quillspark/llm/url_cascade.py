@@ -62,7 +62,8 @@ class Level:
 
     @staticmethod
     def places(key: Column, size: int, hashes: int, salt: int) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(salt * 64 + i)), F.lit(size).cast("long")) for i in range(hashes)]
+        """Places from 1 on, as Spark's bitmap functions count them."""
+        return [F.pmod(F.xxhash64(key, F.lit(salt * 64 + i)), F.lit(size).cast("long")) + 1 for i in range(hashes)]
 
     @classmethod
     def build(cls, keys: DataFrame, count: int, rate: float, salt: int) -> Level:
@@ -77,7 +78,6 @@ class Level:
         rows = rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()  # size / 8 bytes at most
         bits = bytearray(-(-size // BUCKET_BITS) * (BUCKET_BITS // 8) + BUCKET_BITS // 8)
         for r in rows:
-            # a bucket's number counts from 1; place 0 is the first bit of the first bucket
             begin = (r["bucket"] - 1) * (BUCKET_BITS // 8)
             bits[begin : begin + len(r["bits"])] = r["bits"]
         level = cls(bytes(bits), hashes, salt)
