@@ -27,6 +27,7 @@ def once(spark: SparkSession, name: str, sf_dir: str, make) -> DataFrame:
     key = (spark.sparkContext.applicationId, name, sf_dir)
     if key not in _made:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        make().write.parquet(path)
+        # text rules cost far more CPU than their bytes suggest: as many files as there are cores at least
+        make().repartition(4 * spark.sparkContext.defaultParallelism).write.parquet(path)
         _made[key] = path
     return spark.read.parquet(_made[key])
