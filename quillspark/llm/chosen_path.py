@@ -257,10 +257,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     # leaves with equal members count once
     alike = members.groupBy("node").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"))
     alike = alike.groupBy("size", "sum").agg(F.min("node").alias("node")).select("node")
-    members = stored(members.join(alike, "node").join(sigs, "rep").select("node", "size", "rep", "sig"), "members")
+    members = stored(members.join(alike, "node").select("node", "size", "rep"), "members")
+    # from here on only documents that share a leaf count: their signatures and texts are taken out once
+    reps = stored(members.select("rep").distinct(), "reps")
+    sigs = stored(sigs.join(reps, "rep", "left_semi"), "near-sigs")
+    docs = stored(docs.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select("doc_id", "text"), "near-texts")
 
     least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
-    sample = members.filter(F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / LEAF)) == 0).select("node", "rep", "sig")
+    sample = members.filter(F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / LEAF)) == 0).select("node", "rep").join(sigs, "rep")
     centers = sample.repartition("node").sortWithinPartitions("node").mapInArrow(_central, "node long, center long")
     ends = lambda p: (F.least(*p).alias("a"), F.greatest(*p).alias("b"))
     pairs = members.select("node", "rep").join(centers, "node").filter("rep <> center").select(*ends(("rep", "center"))).distinct()
@@ -269,7 +273,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
 
     links = confirmed(docs, pairs, shingle, percent)
     labels = components(links)
-    now = members.drop("sig").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    now = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = now.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("node")
     blocks = F.when(F.col("size") <= LEAF, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("long")
     mine, other = F.pmod(F.xxhash64("rep"), blocks), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
