@@ -7,9 +7,11 @@ branch again, up to a fixed depth.  Leaves are compared by signature, and every
 confirmed on the full shingle sets.
 
 Two steps keep the work linear in a group of near copies.  First, each leaf links its documents to
-its two most central members.  Then only documents near one of another component by signature are
-compared on their full sets, cell by cell: a leaf is a cell, a larger one is cut into blocks and each
-pair of blocks is a cell, so nothing is capped.  A document is in a cell once, not once for each pair.
+its two most central members.  Then only documents outside their leaf's largest component still need a
+look: they visit the others, cell by cell.  A leaf is a cell; one with many documents is cut into blocks of
+residents and of visitors, and each pair of two such blocks is a cell, so nothing is capped.  Those near one of another
+component by signature are compared on their full sets, in cells cut once more by the sets' sizes.  A
+document is in a cell once, not once for each pair.
 
 Null or wordless texts have no set and are linked with nothing.  Equal sets (repeated rows, copies)
 are one class from the start and are never paired.  An empty table gives an empty table.
@@ -33,7 +35,8 @@ TREES = 4
 ROOT_BRANCHES = 4  #: children of a root, each by two coordinates of 64 bits; 16 in all: a pair at 0.8 misses all of them once in 1e7
 BRANCHES = 2  #: coordinates of the signature an inner node picks
 LEAF = 96  #: documents up to which a node is a leaf
-BLOCK = 384  #: documents of a larger node at the last depth that are compared at a time
+BLOCK = 1024  #: residents or visitors whose signatures are compared at a time
+SHINGLES = 1_000_000  #: of residents or visitors whose full sets are compared at a time (one set may be larger)
 DEPTH = 3
 MARGIN = 4.5  #: standard deviations of the signature's estimate below the threshold that are still confirmed
 
@@ -132,7 +135,8 @@ def _involved(least: float):
 
     def run(batches):
         for t in groups(batches, "cell"):
-            cells, reps, comps, sides, sig = t.column("cell").to_numpy(), t.column("rep").to_numpy(), t.column("component").to_numpy(), t.column("side").to_numpy(), _sig(t.column("sig"))
+            cells, reps, comps, sides, n = (t.column(c).to_numpy() for c in ("cell", "rep", "component", "side", "n"))
+            sig = _sig(t.column("sig"))
             at = cuts(cells)
             keep = np.zeros(len(cells), dtype=bool)
             for s, e in zip(at[:-1], at[1:], strict=True):
@@ -148,7 +152,7 @@ def _involved(least: float):
                     near = other[(m[other] == m[i]).mean(axis=1) >= least]
                     if len(near):
                         keep[s + near] = keep[s + i] = True
-            yield pa.record_batch([pa.array(x[keep]) for x in (cells, reps, comps, sides)], names=["cell", "rep", "component", "side"])
+            yield pa.record_batch([pa.array(x[keep]) for x in (cells, reps, comps, sides, n)], names=["cell", "rep", "component", "side", "n"])
 
     return run
 
@@ -228,6 +232,22 @@ def confirmed(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -
     return stored(pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a long, b long"), "confirmed")
 
 
+def _dealt(rows: DataFrame, weight, limit: int) -> DataFrame:
+    """Rows (cell, rep, component, side, n) dealt to smaller cells: residents (side 0) and visitors (1; both: 2) of a cell
+    are cut by their ids into blocks of about `limit` of the weight, and each pair of two such blocks is a cell."""
+    block = lambda side: F.ceil(F.sum(F.when(F.col("side") != side, weight).otherwise(0)) / limit).cast("long")
+    wide = rows.groupBy("cell").agg(block(1).alias("res"), block(0).alias("vis"))
+    rows = rows.join(wide, "cell")
+    numbers = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    home, call = F.pmod(F.xxhash64("rep"), F.col("res")), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("vis"))
+    stays = F.when(F.col("side") != 1, F.transform(numbers("vis"), lambda v: F.struct(home.alias("r"), v.alias("v")))).otherwise(F.array())
+    visits = F.when(F.col("side") != 0, F.transform(numbers("res"), lambda r: F.struct(r.alias("r"), call.alias("v")))).otherwise(F.array())
+    rows = rows.filter("res > 0 and vis > 0").select("*", home.alias("home"), call.alias("call"), F.explode(F.array_distinct(F.concat(stays, visits))).alias("at"))
+    at_home, at_call = (F.col("side") != 1) & (F.col("at.r") == F.col("home")), (F.col("side") != 0) & (F.col("at.v") == F.col("call"))
+    side = F.when(at_home & at_call, 2).when(at_home, 0).otherwise(1)
+    return rows.select(F.xxhash64("cell", "at.r", "at.v").alias("cell"), "rep", "component", side.alias("side"), "n")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and class_id, the smallest id with an equal set.
 
@@ -261,6 +281,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     # from here on only documents that share a leaf count: their signatures and texts are taken out once
     reps = stored(members.select("rep").distinct(), "reps")
     sigs = stored(sigs.join(reps, "rep", "left_semi"), "near-sigs")
+    sizes = classes.select("rep", "n").join(reps, "rep", "left_semi")
     docs = stored(docs.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select("doc_id", "text"), "near-texts")
 
     least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
@@ -274,14 +295,15 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     links = confirmed(docs, pairs, shingle, percent)
     labels = components(links)
     now = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = now.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("node")
-    blocks = F.when(F.col("size") <= LEAF, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("long")
-    mine, other = F.pmod(F.xxhash64("rep"), blocks), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    cells = now.join(mixed, "node").select("node", "rep", "component", mine.alias("mine"), other.alias("other"))
-    side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int"))
-    cells = cells.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "rep", "component", side.alias("side")).join(sigs, "rep")
-    involved = stored(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_involved(least), "cell long, rep long, component long, side int"), "involved")
+    counts = now.groupBy("node", "component").agg(F.count("*").alias("many"))
+    mixed = counts.groupBy("node").agg(F.max(F.struct("many", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    side = F.when(F.col("component") == F.col("most.component"), 0).otherwise(2)
+    rows = now.join(mixed, "node").select(F.col("node").alias("cell"), "rep", "component", side.alias("side")).join(sizes, "rep")
+    cells = _dealt(stored(rows, "cells"), F.lit(1), BLOCK).join(sigs, "rep")
+    shape = "cell long, rep long, component long, side int, n long"
+    involved = stored(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_involved(least), shape), "involved")
     texts = docs.withColumnRenamed("doc_id", "rep").join(involved.select("rep").distinct(), "rep", "left_semi")
+    involved = _dealt(involved, F.col("n"), SHINGLES)
     found = involved.join(texts, "rep").repartition("cell").sortWithinPartitions("cell").mapInArrow(_linked(shingle, percent), "a long, b long")
     fresh = stored(found.distinct(), "fresh")
     if fresh.limit(1).count():

@@ -76,7 +76,8 @@ def brute_components(rows, k, percent):
 @pytest.mark.parametrize("leaf", [96, 4])
 def test_near_duplicates(spark, corpus, leaf, monkeypatch):
     monkeypatch.setattr(chosen_path, "LEAF", leaf)  # small leaves: branching, blocks and later rounds take part
-    monkeypatch.setattr(chosen_path, "BLOCK", 5 if leaf == 4 else 384)
+    monkeypatch.setattr(chosen_path, "BLOCK", 5 if leaf == 4 else 1024)
+    monkeypatch.setattr(chosen_path, "SHINGLES", 500 if leaf == 4 else 1_000_000)
     got = chosen_path.near_duplicates(frame(spark, corpus), 4, 80).collect()
     want, sets = brute_components(corpus, 4, 80)
     assert len(got) == len(corpus)
