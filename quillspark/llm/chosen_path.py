@@ -6,8 +6,8 @@ named by (node, coordinate, its value there); the first two levels are taken in
 branch again, up to a fixed depth.  Leaves are compared by signature, and every candidate link is
 confirmed on the full shingle sets.
 
-Two steps keep the work linear in a group of near copies.  First, each leaf links its documents to
-its two most central members.  Then only documents outside their leaf's largest component still need a
+Two steps keep the work linear in a group of near copies.  First, each leaf of the first tree links its documents to
+its two most central members.  Then, in the leaves of all trees, only documents outside their leaf's largest component still need a
 look: they visit the others, cell by cell.  A leaf is a cell; one with many documents is cut into blocks of
 residents and of visitors, and each pair of two such blocks is a cell, so nothing is capped.  Those near one of another
 component by signature are compared on their full sets, in cells cut once more by the sets' sizes.  A
@@ -31,7 +31,7 @@ from .components import components
 from .steps import cuts, groups, stored
 
 COORDINATES = 256  #: of the signature, 16 bits each
-TREES = 4
+TREES = 4  #: a node's two lowest bits are its tree
 ROOT_BRANCHES = 4  #: children of a root, each by two coordinates of 64 bits; 16 in all: a pair at 0.8 misses all of them once in 1e7
 BRANCHES = 2  #: coordinates of the signature an inner node picks
 LEAF = 96  #: documents up to which a node is a leaf
@@ -53,7 +53,8 @@ def signatures(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
             out[:, k] = least >> np.uint64(48)
         else:
             roots[:, k - COORDINATES] = least
-    return tc.mix(tc.mix(roots[:, ::2] + np.arange(1, TREES * ROOT_BRANCHES + 1, dtype=np.uint64)) ^ roots[:, 1::2]), out
+    nodes = tc.mix(tc.mix(roots[:, ::2] + np.arange(1, TREES * ROOT_BRANCHES + 1, dtype=np.uint64)) ^ roots[:, 1::2])
+    return nodes & ~np.uint64(3) | np.arange(TREES, dtype=np.uint64).repeat(ROOT_BRANCHES), out
 
 
 def _describe(size: int):
@@ -94,7 +95,8 @@ def _branch(batches):
         for b in range(BRANCHES):
             pick = ((tc.mix(nodes ^ np.uint64(0x51)) + np.uint64(b * 37)) % np.uint64(COORDINATES)).astype(np.int64)
             value = sig[np.arange(len(reps)), pick].astype(np.uint64)
-            made.append(tc.mix(tc.mix(nodes) ^ (pick.astype(np.uint64) << np.uint64(40)) ^ value))
+            child = tc.mix(tc.mix(nodes) ^ (pick.astype(np.uint64) << np.uint64(40)) ^ value)
+            made.append(child & ~np.uint64(3) | nodes & np.uint64(3))
         yield pa.record_batch([pa.array(np.tile(reps, BRANCHES)), pa.array(np.concatenate(made).view(np.int64))], names=["rep", "node"])
 
 
@@ -274,9 +276,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     members = leaves[0]
     for more in leaves[1:]:
         members = members.union(more)
-    # leaves with equal members count once
+    # leaves with equal members count once, as one of the earliest tree
+    tree = F.col("node").bitwiseAND(F.lit(3))
     alike = members.groupBy("node").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"))
-    alike = alike.groupBy("size", "sum").agg(F.min("node").alias("node")).select("node")
+    alike = alike.groupBy("size", "sum").agg(F.min(F.struct(tree.alias("tree"), "node")).alias("one")).select("one.node")
     members = stored(members.join(alike, "node").select("node", "size", "rep"), "members")
     # from here on only documents that share a leaf count: their signatures and texts are taken out once
     reps = stored(members.select("rep").distinct(), "reps")
@@ -285,10 +288,11 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     docs = stored(docs.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select("doc_id", "text"), "near-texts")
 
     least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
-    sample = members.filter(F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / LEAF)) == 0).select("node", "rep").join(sigs, "rep")
+    early = members.filter(tree == 0)
+    sample = early.filter(F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / LEAF)) == 0).select("node", "rep").join(sigs, "rep")
     centers = sample.repartition("node").sortWithinPartitions("node").mapInArrow(_central, "node long, center long")
     ends = lambda p: (F.least(*p).alias("a"), F.greatest(*p).alias("b"))
-    pairs = members.select("node", "rep").join(centers, "node").filter("rep <> center").select(*ends(("rep", "center"))).distinct()
+    pairs = early.select("node", "rep").join(centers, "node").filter("rep <> center").select(*ends(("rep", "center"))).distinct()
     one, two = (sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     pairs = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_near(least), "a long, b long"), "pairs")
 
