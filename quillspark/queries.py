@@ -145,6 +145,13 @@ def ai_merge(spark, d):
     return rows.select("k", _cents(got["amount"]).alias("amount"), got["vendor_name"].alias("vendor_name"), got["currency"].alias("currency"))
 
 
+def ai_merge_all(spark, d):
+    """The merge over every receipt, also those from 1,000.00 on, whose thousands separator the mock misreads."""
+    rows = receipts(spark, d).withColumns({"r": fields.rules(_t()), "ai": structure.mock(_t())})
+    got = structure.merge({f: F.col("r")[f] for f in country.FIELDS}, F.col("ai"))
+    return rows.select("k", _cents(got["amount"]).alias("amount"), got["vendor_name"].alias("vendor_name"), got["currency"].alias("currency"))
+
+
 def ai_json_validate(spark, d):
     k = F.col("o_orderkey")
     answer = F.to_json(F.struct(F.when(k % 2 == 0, F.lit("12.5")).alias("vendorName"), (k % 100 + 0.5).cast("double").alias("amount"), F.when(k % 3 == 0, "eur").when(k % 3 == 1, "XXX").alias("currency"), F.when(k % 5 == 0, "income").otherwise("x").alias("type"), (k % 30).cast("string").alias("recommendedAccountId"), F.element_at(F.array(F.lit("CARD"), F.lit("BARTER")), (k % 2 + 1).cast("int")).alias("paymentMethod")))
@@ -239,7 +246,7 @@ def account_checks(spark, d):
 
 NAMES = (
     receipts_extracted, receipt_totals, receipt_subtotal_tax, tax_percentage, receipt_dates, normalize_amount_formats, invoice_numbers, vendor_ids, payment_methods, currency_detect, line_items, total_candidates, subtotal_candidates, tax_candidates, labeled_fields, customer_names, classified_ids, table_rows,
-    identifications, vendor_candidates, compute_missing, reconcile, parser_overlay, ai_merge, ai_json_validate, categorize_keywords, vendor_name_documents, useful_documents, ocr_score, best_variant, layout_lines, page_combine, list_receipts, reparse_append, history_rows, transactions, file_names, account_checks,
+    identifications, vendor_candidates, compute_missing, reconcile, parser_overlay, ai_merge, ai_merge_all, ai_json_validate, categorize_keywords, vendor_name_documents, useful_documents, ocr_score, best_variant, layout_lines, page_combine, list_receipts, reparse_append, history_rows, transactions, file_names, account_checks,
 )
 
 
@@ -302,6 +309,8 @@ def oracle_sql() -> dict[str, str]:
         "reconcile": _O + f", m AS (SELECT k, {m_amount} AS a, {m_sub} AS s, {m_tax} AS t, {m_pct} AS p FROM o) SELECT k, CASE WHEN a IS NOT NULL THEN CASE WHEN s IS NOT NULL THEN s WHEN t IS NOT NULL AND a - t > 0 THEN a - t END END AS subtotal, CASE WHEN a IS NOT NULL THEN CASE WHEN t IS NOT NULL THEN t WHEN s IS NOT NULL THEN CASE WHEN p IS NOT NULL THEN CAST(floor(s * p / 100.0 + 0.5) AS BIGINT) WHEN a - s >= 0 THEN a - s END END END AS tax FROM m",
         "parser_overlay": _O + "SELECT k, CASE k % 3 WHEN 0 THEN 'generic' WHEN 1 THEN 'generic + panama' ELSE 'generic + seniat' END AS parser, total, CASE k % 3 WHEN 0 THEN 'Tienda Central ' WHEN 1 THEN 'Bodega Canal ' ELSE 'Inversiones Orinoco ' END || CAST(k % 50 AS VARCHAR) AS vendor_name, CASE k % 3 WHEN 1 THEN '8-' || CAST(k % 1000 + 100 AS VARCHAR) || '-' || CAST(k AS VARCHAR) WHEN 2 THEN 'J-' || lpad(CAST(k % 100000000 AS VARCHAR), 8, '3') || '-5' END AS vendor_id, CASE k % 3 WHEN 1 THEN CAST(k + 1 AS VARCHAR) WHEN 2 THEN 'A' || lpad(CAST(k AS VARCHAR), 8, '0') END AS invoice, CASE k % 3 WHEN 1 THEN 'PAB' WHEN 2 THEN 'VES' END AS currency FROM o",
         "ai_merge": _O + f"SELECT k, CASE WHEN sub < 100000 THEN sub ELSE CAST(sub / 1000 AS BIGINT) END AS amount, {_HEAD} AS vendor_name, 'USD' AS currency FROM o WHERE total < 100000",
+        # the mock's number is the first group and the first two digits of the next: 1,234.56 is read as 1.23, 1,234,567.89 too
+        "ai_merge_all": _O + f"SELECT k, CASE WHEN sub < 100000 THEN sub WHEN sub < 100000000 THEN sub // 1000 WHEN sub < 100000000000 THEN sub // 1000000 ELSE sub // 1000000000 END AS amount, {_HEAD} AS vendor_name, 'USD' AS currency FROM o",
         "ai_json_validate": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 100 + 0.5::DOUBLE END AS amount, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 2 = 0 THEN '12.5' END AS vendor_name, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 3 = 0 THEN 'EUR' END AS currency, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 5 = 0 THEN 'income' ELSE 'expense' END AS type, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 30 BETWEEN 1 AND 17 THEN CAST(o_orderkey % 30 AS INTEGER) END AS category, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 2 = 0 THEN 'CARD' END AS payment_method FROM orders",
         "categorize_keywords": f"WITH a(id, name, type) AS (VALUES {accounts}), w(prio, kw, name) AS (VALUES {keys}), h AS (SELECT p_partkey, lower(p_name || ' ' || CASE p_partkey % {len(_WORDS)} {words} END) AS hay FROM part), m AS (SELECT p_partkey, arg_min(a.id, prio) AS category, arg_min(a.name, prio) AS category_name FROM h JOIN w ON contains(hay, kw) JOIN a ON a.name = w.name GROUP BY 1) SELECT h.p_partkey, category, category_name FROM h LEFT JOIN m ON m.p_partkey = h.p_partkey",
         "vendor_name_documents": f"WITH x AS (SELECT doc_id, ({full})[1:10] AS ls FROM documents), y AS (SELECT doc_id, list_filter(ls, lambda x: length(x) BETWEEN 4 AND 80 AND NOT regexp_matches(x, '(?i){skip}') AND NOT regexp_matches(x, '(?i)^(DC\\d+|POS[\\-\\s]?\\d*|TERM[\\-\\s]?\\d+|CAJA\\s*\\d+|REG\\s*\\d+|TML\\s*\\d+|[A-Z]{{1,3}}\\d{{1,4}})$') AND NOT regexp_matches(x, '^[\\d\\s\\-/\\\\.,;:()+]+$') AND NOT regexp_matches(x, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') AND NOT (regexp_matches(x, '^\\d+\\s+\\w{{1,4}}\\.?\\s') AND len(string_split(x, ' ')) <= 4) AND regexp_matches(x, '[a-záéíóúñA-ZÁÉÍÓÚÑ]{{3,}}')) AS ok FROM x) SELECT doc_id, trim(regexp_replace(ok[1], '[,;:.]+$', '')) AS name FROM y",
