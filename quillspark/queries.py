@@ -112,6 +112,18 @@ def identifications(spark, d):
     return rows.select("k", "i.type", "i.value", "i.role")
 
 
+def table_rows_all(spark, d):
+    """Every label of the receipts' tables."""
+    rows = receipts(spark, d).select("k", F.explode(candidates.table_rows(lines(_t()))).alias("r"))
+    return rows.select("k", "r.label", "r.value")
+
+
+def identifications_all(spark, d):
+    """Ids in the receipts of all three shapes."""
+    rows = country_receipts(spark, d).select("k", F.explode(candidates.identifications(_t())).alias("i"))
+    return rows.select("k", "i.type", "i.value", "i.role")
+
+
 def vendor_candidates(spark, d):
     return receipts(spark, d).select("k", F.get(candidates.vendor_candidates(_t()), 0).alias("name"))
 
@@ -244,9 +256,15 @@ def account_checks(spark, d):
     return missing.groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
+def account_checks_all(spark, d):
+    """All orders whose customer isn't there; only the customers have rows missing."""
+    missing = store.orphans(table(spark, d, "orders"), table(spark, d, "customer").filter("c_custkey % 2 = 0"), "o_custkey", "c_custkey")
+    return missing.groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
 NAMES = (
-    receipts_extracted, receipt_totals, receipt_subtotal_tax, tax_percentage, receipt_dates, normalize_amount_formats, invoice_numbers, vendor_ids, payment_methods, currency_detect, line_items, total_candidates, subtotal_candidates, tax_candidates, labeled_fields, customer_names, classified_ids, table_rows,
-    identifications, vendor_candidates, compute_missing, reconcile, parser_overlay, ai_merge, ai_merge_all, ai_json_validate, categorize_keywords, vendor_name_documents, useful_documents, ocr_score, best_variant, layout_lines, page_combine, list_receipts, reparse_append, history_rows, transactions, file_names, account_checks,
+    receipts_extracted, receipt_totals, receipt_subtotal_tax, tax_percentage, receipt_dates, normalize_amount_formats, invoice_numbers, vendor_ids, payment_methods, currency_detect, line_items, total_candidates, subtotal_candidates, tax_candidates, labeled_fields, customer_names, classified_ids, table_rows, table_rows_all,
+    identifications, identifications_all, vendor_candidates, compute_missing, reconcile, parser_overlay, ai_merge, ai_merge_all, ai_json_validate, categorize_keywords, vendor_name_documents, useful_documents, ocr_score, best_variant, layout_lines, page_combine, list_receipts, reparse_append, history_rows, transactions, file_names, account_checks, account_checks_all,
 )
 
 
@@ -304,6 +322,9 @@ def oracle_sql() -> dict[str, str]:
         "classified_ids": _O + f"SELECT k, {_RUC} AS value, 'vendor' AS section, 'RUC' AS label FROM o UNION ALL SELECT k, {_NIT}, 'customer', 'NIT' FROM o",
         "table_rows": _O + f"SELECT k, 'Cliente' AS label, c_name AS value FROM o UNION ALL SELECT k, 'RUC', {_RUC} FROM o UNION ALL SELECT k, 'Subtotal', {_money('sub')} FROM o",
         "identifications": _O + "SELECT k, 'RIF' AS type, 'J-' || lpad(CAST(k % 100000000 AS VARCHAR), 8, '3') || '-5' AS value, 'vendor' AS role FROM o WHERE k % 3 = 2",
+        "table_rows_all": _O + f"SELECT k, unnest(['RUC', 'Factura Nro', 'Cliente', 'NIT', 'Subtotal', CASE (k // 4) % 4 WHEN 0 THEN 'Total a pagar' WHEN 1 THEN 'TOTAL' WHEN 2 THEN 'Importe total' ELSE 'Grand Total' END]) AS label, unnest([{_RUC}, {_INV}, c_name, {_NIT}, {_money('sub')}, {_money('total')}]) AS value FROM o UNION ALL SELECT k, 'IVA ' || CAST(pct AS VARCHAR) || '%', {_money('tax')} FROM o WHERE tax > 0 UNION ALL SELECT k, 'Fecha', strftime(day, '%d/%m/%Y') FROM o WHERE k % 5 = 0",
+        # a RUC's last part counts with two digits at most; the customer's `RUC/Cédula/Pasaporte` is no label of this scan
+        "identifications_all": _O + "SELECT k, 'RIF' AS type, 'J-' || lpad(CAST(k % 100000000 AS VARCHAR), 8, '3') || '-5' AS value, 'vendor' AS role FROM o WHERE k % 3 = 2 UNION ALL SELECT k, 'RUC', '8-' || CAST(k % 1000 + 100 AS VARCHAR) || '-' || left(CAST(k AS VARCHAR), 2), 'vendor' FROM o WHERE k % 3 = 1",
         "vendor_candidates": _O + f"SELECT k, {_HEAD} AS name FROM o",
         "compute_missing": _O + f", m AS (SELECT k, {m_amount} AS a, {m_sub} AS s, {m_tax} AS t, {m_pct} AS p FROM o) SELECT k, coalesce(a, CASE WHEN s IS NOT NULL AND t IS NOT NULL THEN s + t WHEN s IS NOT NULL AND p IS NOT NULL THEN s + CAST(floor(CAST(floor(s * p / 100.0 + 0.5) AS BIGINT)) AS BIGINT) END) AS amount, coalesce(s, CASE WHEN a IS NOT NULL AND t IS NOT NULL THEN CASE WHEN t > 0 AND a > t THEN a - t END WHEN a IS NOT NULL AND p IS NOT NULL THEN CASE WHEN p = 0 THEN a ELSE CAST(floor(a / (1 + p / 100.0) + 0.5) AS BIGINT) END END) AS subtotal, coalesce(t, CASE WHEN a IS NOT NULL AND s IS NOT NULL THEN CASE WHEN a - s >= 0 THEN a - s END WHEN s IS NOT NULL AND p IS NOT NULL THEN CAST(floor(s * p / 100.0 + 0.5) AS BIGINT) WHEN a IS NOT NULL AND p IS NOT NULL THEN CASE WHEN p = 0 THEN 0 ELSE a - CAST(floor(a / (1 + p / 100.0) + 0.5) AS BIGINT) END END) AS tax FROM m",
         "reconcile": _O + f", m AS (SELECT k, {m_amount} AS a, {m_sub} AS s, {m_tax} AS t, {m_pct} AS p FROM o) SELECT k, CASE WHEN a IS NOT NULL THEN CASE WHEN s IS NOT NULL THEN s WHEN t IS NOT NULL AND a - t > 0 THEN a - t END END AS subtotal, CASE WHEN a IS NOT NULL THEN CASE WHEN t IS NOT NULL THEN t WHEN s IS NOT NULL THEN CASE WHEN p IS NOT NULL THEN CAST(floor(s * p / 100.0 + 0.5) AS BIGINT) WHEN a - s >= 0 THEN a - s END END END AS tax FROM m",
@@ -323,4 +344,5 @@ def oracle_sql() -> dict[str, str]:
         "transactions": "SELECT CAST(o_orderkey AS INTEGER) AS k, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS cents, CASE WHEN o_orderkey % 2 = 0 THEN 'expense' ELSE 'income' END AS type, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 7 > 0 AND o_orderkey % 5 > 0 AND o_orderkey % 11 > 0 AND (o_orderkey % 2 = 0 OR o_orderkey % 3 > 0)",
         "file_names": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '.pdf' WHEN p_partkey % 3 = 1 THEN '.jpeg' WHEN p_partkey % 2 = 0 THEN '.png' ELSE '.bin' END AS extension FROM part",
         "account_checks": "SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 100 < 50 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY 1",
+        "account_checks_all": "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY 1",
     }
