@@ -6,7 +6,7 @@ of equal ones taken as one) and its content (the text blocks right under it).  O
 the node, with c pages for a presentation or a block,
   importance by presentation = - sum p * log_m p, with p = c / m for each presentation,
   importance by content = 1 - mean of log_m c over the distinct blocks,
-and both are 1 if m = 1.  The counts are partial aggregations, so that a host with a third of all pages
+and both are 1 if m = 1.  Copies of a page (equal html) on one host count once.  The counts are partial aggregations, so that a host with a third of all pages
 is no larger a task than another.  Only nodes with an importance below 1 are kept, a row per host.
 
 In the second pass each page's branches get a composite importance, (1 - G^l) * own + G^l * mean of the
@@ -180,19 +180,21 @@ def page_features(page: str) -> set[tuple[int, str, int]]:
 
 def _features(batches):
     for batch in batches:
-        hosts, paths, kinds, values = [], [], [], []
+        hosts, paths, kinds, values, copies = [], [], [], [], []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            same = code(page or "")
             for path, kind, value in page_features(page or ""):
                 hosts.append(host)
                 paths.append(path)
                 kinds.append(kind)
                 values.append(value)
-        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(kinds, pa.string()), pa.array(values, pa.int64())], names=["host", "node", "kind", "value"])
+                copies.append(same)
+        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(kinds, pa.string()), pa.array(values, pa.int64()), pa.array(copies, pa.int64())], names=["host", "node", "kind", "value", "page"])
 
 
 def site_trees(pages: DataFrame) -> DataFrame:
     """(host, nodes: map of a path's code to its importance) from pages(host, html); paths with importance 1 are left out."""
-    rows = pages.mapInArrow(_features, "host string, node long, kind string, value long")
+    rows = pages.mapInArrow(_features, "host string, node long, kind string, value long, page long").distinct()
     counts = rows.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"))
     # every page has one presentation of each of its nodes: their counts add up to m
     sums = counts.groupBy("host", "node").agg(
