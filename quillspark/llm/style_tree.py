@@ -13,7 +13,9 @@ In the second pass each page's branches get a composite importance, (1 - G^l) *
 children's, l their number; a branch goes if it and all within it are below LEAST.  Elements whose tag, role, class or id says what they are weigh in as
 prior: menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader comments have
 importance 0; an article (or `main`) has 1, what it holds inherits that, and the rest of such a page
-has 0, as the article is what is asked for.
+has 0, as the article is what is asked for.  Class and id names count as whole tokens.  Those of adverts and comments give
+0; other telling names only weaken a branch: its importance times w / (w + WEAK_WORDS), with w words, has to
+reach LEAST.  No branch that holds an article is left out.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined
 by a line feed.  A header within an article stays if it holds the heading.  Unclosed and
@@ -53,7 +55,9 @@ CLOSED_BY = {"p": BLOCKS - {"html", "body", "head"}, "li": frozenset({"li"}), "d
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)(?=[\s=/]|$)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_NAME = re.compile(r"[a-z0-9]+")
+ADVERT_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored comment comments respond replies disqus".split())
+WEAK = 0.5  #: prior of a name that may also be an article's; the branch's importance and words decide
+WEAK_WORDS = 20
 
 
 class Node:
@@ -81,8 +85,9 @@ def _prior(tag: str, attributes: str) -> tuple[str, float | None]:
         prior = 0.0
     elif tag in SPECIAL:
         prior = 1.0
-    elif names and tag not in ("html", "body") and any(w in NOISE_NAMES for w in _NAME.findall(" ".join(names))):
-        prior = 0.0
+    elif prior is None and names and tag not in ("html", "body"):
+        tokens = set(" ".join(names).split())
+        prior = 0.0 if tokens & ADVERT_NAMES else WEAK if tokens & NOISE_NAMES else None
     return ".".join(" ".join(names).split()), prior
 
 
@@ -232,7 +237,12 @@ def main_blocks(page: str, own: dict[int, float]) -> list[str]:
     alive: dict[int, bool] = {}  # a branch goes if nothing in it is important
     for n in reversed(list(_walk(root))):
         alive[id(n)] = score[id(n)] >= LEAST or any(alive[id(k)] for k in n.kids if isinstance(k, Node))
-    landmark = any(n.prior == 1.0 for n in _walk(root))
+    holds: dict[int, bool] = {}  # a landmark, at or below the node
+    words: dict[int, int] = {}
+    for n in reversed(list(_walk(root))):
+        holds[id(n)] = n.prior == 1.0 or any(holds[id(k)] for k in n.kids if isinstance(k, Node))
+        words[id(n)] = sum(words[id(k)] if isinstance(k, Node) else len(k.split()) for k in n.kids)
+    landmark = holds[id(root)]
     out: list[str] = []
     todo: list[tuple[Node | str, bool]] = [(root, False)]
     while todo:
@@ -241,7 +251,11 @@ def main_blocks(page: str, own: dict[int, float]) -> list[str]:
             if inside or not landmark:
                 out.append(n)
             continue
-        if n.prior == 0.0 and not (inside and n.tag == "header" and _has_heading(n)):
+        heading = inside and (n.tag == "header" or n.prior == WEAK) and _has_heading(n)
+        if n.prior == 0.0 and not holds[id(n)] and not heading:
+            continue
+        weighed = score[id(n)] * words[id(n)] / (words[id(n)] + WEAK_WORDS)
+        if n.prior == WEAK and not holds[id(n)] and not heading and weighed < LEAST:
             continue
         inside = inside or n.prior == 1.0
         if not landmark and n.path and not alive[id(n)]:

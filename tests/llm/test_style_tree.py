@@ -16,3 +16,19 @@ def test_copies_of_a_page_count_once(spark):
     page = "<body><div class=c1><p>One story</p></div><div class=c2><p>told twice</p></div></body>"
     assert texts(spark, [page]) == ["One story\ntold twice"]
     assert texts(spark, [page] * 4) == ["One story\ntold twice"] * 4
+
+
+def test_names_are_weak_and_whole():
+    story = prose(random.Random(5), 60)
+
+    def blocks(page):
+        return style_tree.main_blocks(page, {})
+
+    for wrap in ("class=with-sidebar", "id=page-header-fixed", "class=sidebar", "class=ads", "role=banner"):
+        assert blocks(f"<div {wrap}><article><p>{story}</p></article></div>") == [story]
+    for head in ("article-header", "header"):
+        assert blocks(f"<article><div class={head}><h1>Title</h1></div><p>{story}</p></article>") == ["Title", story]
+    for name in ("related", "notice", "side", "share", "social", "search", "alert"):
+        assert blocks(f"<article><p>Begin</p><section class={name}><p>{story}</p></section></article>") == ["Begin", story]
+        assert blocks(f"<article><p>Begin</p><div class={name}>Share this</div></article>") == ["Begin"]
+    assert blocks(f"<article><p>{story}</p><div class=ad>{story}</div></article>") == [story]
