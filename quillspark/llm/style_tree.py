@@ -12,8 +12,10 @@ is no larger a task than another.  Only nodes with an importance below 1 are kep
 In the second pass each page's branches get a composite importance, (1 - G^l) * own + G^l * mean of the
 children's, l their number; a branch goes if it and all within it are below LEAST.  Elements whose tag, role, class or id says what they are weigh in as
 prior: menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader comments have
-importance 0; an article (or `main`) has 1, what it holds inherits that, and the rest of such a page
-has 0, as the article is what is asked for.  Class and id names count as whole tokens.  Those of adverts and comments give
+importance 0; an article (or `main`) has 1, and the rest of such a page has 0, as the article is what is asked for.
+What an article holds inherits its 1 as a prior that only the tree's own evidence outweighs: nodes that MANY
+distinct pages have count with their importance, and a branch goes if its composite and all within are below INSIDE.
+An article of which nothing would be left stays whole.  Class and id names count as whole tokens.  Those of adverts and comments give
 0; other telling names only weaken a branch: its importance times w / (w + WEAK_WORDS), with w words, has to
 reach LEAST.  No branch that holds an article is left out.
 
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 import xxhash
@@ -39,6 +42,8 @@ from .url_cascade import host_and_path
 
 GAMMA = 0.9
 LEAST = 0.35
+INSIDE = 0.1  #: LEAST within an article
+MANY = 5  #: pages
 
 #: What tags and names mean.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -198,7 +203,7 @@ def _features(batches):
 
 
 def site_trees(pages: DataFrame) -> DataFrame:
-    """(host, nodes: map of a path's code to its importance) from pages(host, html); paths with importance 1 are left out."""
+    """(host, nodes: map of a path's code to its importance, many: those on MANY pages) from pages(host, html); paths with importance 1 are left out."""
     rows = pages.mapInArrow(_features, "host string, node long, kind string, value long, page long").distinct()
     counts = rows.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"))
     # every page has one presentation of each of its nodes: their counts add up to m
@@ -211,8 +216,8 @@ def site_trees(pages: DataFrame) -> DataFrame:
     shown = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("presentation") / F.col("m") / log_m)  # - sum p log_m p
     told = F.lit(1.0) - F.col("content") / log_m
     importance = F.when(F.col("m") <= 1, 1.0).otherwise(F.coalesce(told, shown))
-    known = sums.select("host", "node", importance.alias("importance")).filter("importance < 0.999")
-    return known.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("node", "importance"))).alias("nodes"))
+    known = sums.select("host", "node", "m", importance.alias("importance")).filter("importance < 0.999")
+    return known.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("node", "importance"))).alias("nodes"), F.collect_list(F.when(F.col("m") >= MANY, F.col("node"))).alias("many"))
 
 
 def composite(node: Node, own: dict[int, float]) -> dict[int, float]:
@@ -230,13 +235,22 @@ def _has_heading(node: Node) -> bool:
     return any(n.tag in ("h1", "h2", "h3", "h4", "h5", "h6") for n in _walk(node))
 
 
-def main_blocks(page: str, own: dict[int, float]) -> list[str]:
-    """The blocks of the branches that stay, in page order; own: importance of paths of the page's host."""
+def _alive(root: Node, score: dict[int, float], least: float) -> dict[int, bool]:
+    """Whether a branch stays, by id(): it goes if nothing in it is important."""
+    alive: dict[int, bool] = {}
+    for n in reversed(list(_walk(root))):
+        alive[id(n)] = score[id(n)] >= least or any(alive[id(k)] for k in n.kids if isinstance(k, Node))
+    return alive
+
+
+def main_blocks(page: str, own: dict[int, float], many: Iterable[int] = ()) -> list[str]:
+    """The blocks of the branches that stay, in page order; own: importance of paths of the page's host, many: those
+    of them that also decide within an article."""
     root = parse(page)
     score = composite(root, own)
-    alive: dict[int, bool] = {}  # a branch goes if nothing in it is important
-    for n in reversed(list(_walk(root))):
-        alive[id(n)] = score[id(n)] >= LEAST or any(alive[id(k)] for k in n.kids if isinstance(k, Node))
+    alive = _alive(root, score, LEAST)
+    known = {p: own[p] for p in many}
+    alive_inside = _alive(root, composite(root, known), INSIDE)
     holds: dict[int, bool] = {}  # a landmark, at or below the node
     words: dict[int, int] = {}
     for n in reversed(list(_walk(root))):
@@ -260,18 +274,20 @@ def main_blocks(page: str, own: dict[int, float]) -> list[str]:
         inside = inside or n.prior == 1.0
         if not landmark and n.path and not alive[id(n)]:
             continue
+        if inside and not holds[id(n)] and not alive_inside[id(n)]:
+            continue
         todo += [(k, inside) for k in reversed(n.kids)]
-    return out
+    return main_blocks(page, own) if landmark and known and not out else out
 
 
 def _extract(batches):
-    """Joined rows (..., html, nodes) to their main texts."""
+    """Joined rows (..., html, _nodes, _many) to their main texts."""
     for batch in batches:
         texts = []
-        for page, nodes in zip(batch.column("html").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
+        for page, nodes, many in zip(batch.column("html").to_pylist(), batch.column("_nodes").to_pylist(), batch.column("_many").to_pylist(), strict=True):
             own = dict(nodes or ())
-            texts.append("\n".join(main_blocks(page or "", own)))
-        names = [c for c in batch.schema.names if c != "nodes"]
+            texts.append("\n".join(main_blocks(page or "", own, many or ())))
+        names = [c for c in batch.schema.names if c not in ("_nodes", "_many")]
         yield pa.record_batch([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "text"])
 
 
@@ -282,7 +298,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     # written first: a small table is then broadcast by its true size, and with a large one both sides of the join are
     # shuffled for it, so that Spark can split a host with very many pages
     trees = stored(site_trees(pages.select(host.alias("host"), "html")), "trees")
-    joined = pages.withColumn("_host", host).join(trees.withColumnRenamed("host", "_host"), "_host", "left").select(*pages.columns, "nodes")
+    joined = pages.withColumn("_host", host).join(trees.select(F.col("host").alias("_host"), F.col("nodes").alias("_nodes"), F.col("many").alias("_many")), "_host", "left").select(*pages.columns, "_nodes", "_many")
     return joined.mapInArrow(_extract, StructType([*pages.schema.fields, StructField("text", StringType())]))
 
 

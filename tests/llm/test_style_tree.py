@@ -32,3 +32,14 @@ def test_names_are_weak_and_whole():
         assert blocks(f"<article><p>Begin</p><section class={name}><p>{story}</p></section></article>") == ["Begin", story]
         assert blocks(f"<article><p>Begin</p><div class={name}>Share this</div></article>") == ["Begin"]
     assert blocks(f"<article><p>{story}</p><div class=ad>{story}</div></article>") == [story]
+
+
+def test_tree_decides_within_articles(spark):
+    rng = random.Random(6)
+    page = "<body><article><h1>{}</h1><p>{}</p><div class=x7>Our house rules apply to all stories</div></article></body>"
+    told = [(prose(rng, 4), prose(rng, 30)) for _ in range(12)]
+    assert texts(spark, [page.format(*t) for t in told]) == ["\n".join(t) for t in told]
+    few = [page.format(*t) for t in told[:3]]  # too little is known
+    assert all(t.endswith("all stories") for t in texts(spark, few))
+    same = "<body><div>{}</div><article><p>The one story</p></article></body>"  # nothing would be left
+    assert texts(spark, [same.format(i) for i in range(9)]) == ["The one story"] * 9
