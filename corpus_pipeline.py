@@ -3,7 +3,8 @@
 Each stage takes all that the one before kept; all but the last give the columns of `documents` back.
   toxicity         documents that the classifier predicts toxic go
   near_dedup       one document of each group of near copies (five words, similarity 0.8) stays, that with the smallest id
-  suffix_dedup     bytes under strings of REPEAT_BYTES that occur twice or more go; the documents stay, n_chars follows
+  suffix_dedup     runs of bytes under strings of FOUND_BYTES that occur twice or more go, if they have REPEAT_BYTES or more than
+                   REPEAT_WORDS words; the documents stay, n_chars follows
   decontamination  documents that contain a benchmark item (80 % of its five-word shingles) go
   pieces           subword ids, their number, and whether they decode to the text again
 
@@ -19,8 +20,13 @@ from pyspark.sql import functions as F
 from quillspark.llm import chosen_path, containment, pieces, run_index, toxicity
 from quillspark.llm.steps import stored, table
 
-#: Some forty words of prose: shorter than any passage of fifty words, far longer than what texts share by chance.
+#: Some forty words of prose, far longer than what texts share by chance: runs of repeats go from here on.
 REPEAT_BYTES = 240
+#: Shorter runs go if they have more words than this.  They are found by strings of FOUND_BYTES, the least bytes that one word
+#: more can have (a byte a word, and one between), with anchors short enough for that.
+REPEAT_WORDS = 50
+FOUND_BYTES = 2 * REPEAT_WORDS + 1
+FOUND_ANCHOR = 32
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +39,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = run_index.texts_without_repeats(docs, REPEAT_BYTES)
+    out = run_index.texts_without_repeats(docs, FOUND_BYTES, FOUND_ANCHOR, REPEAT_BYTES, REPEAT_WORDS)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

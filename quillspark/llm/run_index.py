@@ -238,7 +238,16 @@ def _windows(length: int):
     return run
 
 
-def _kept(batches):
+def _keeps(least_bytes: int, over_words: int | None):
+    """Cuts the runs of repeats of least_bytes bytes, or of more than over_words words."""
+
+    def run(batches):
+        return _kept(batches, lambda piece: len(piece) >= least_bytes or (over_words is not None and len(piece.split()) > over_words))
+
+    return run
+
+
+def _kept(batches, goes):
     for batch in batches:
         for part in tc.slices(batch, "text"):
             rows = []
@@ -250,6 +259,7 @@ def _kept(batches):
                         runs[-1][1] = max(runs[-1][1], s[1])
                     else:
                         runs.append(list(s))
+                runs = [r for r in runs if goes(data[r[0] : r[1]].tobytes())]
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(data[at:a].tobytes())
@@ -285,25 +295,26 @@ def repeat_spans(documents: DataFrame, length: int = 400, anchor: int = ANCHOR)
     return stored(spans, "spans")
 
 
-def drop_repeats(documents: DataFrame, length: int = 400, anchor: int = ANCHOR) -> DataFrame:
+def drop_repeats(documents: DataFrame, length: int = 400, anchor: int = ANCHOR, least_bytes: int = 0, over_words: int | None = None) -> DataFrame:
     """The documents with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes left, joined).
 
     An empty table, empty and null texts, and texts shorter than `length` lose nothing.  Input columns named
-    n_bytes, n_removed, n_spans, kept or spans are replaced."""
+    n_bytes, n_removed, n_spans, kept or spans are replaced.  Of the runs, only those of least_bytes bytes or, if given, of
+    more than over_words words go."""
     spans = repeat_spans(documents, length, anchor)
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     docs = documents.drop("n_bytes", "n_removed", "n_spans", "kept", "spans").filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     added = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept", BinaryType())]
     schema = StructType([*docs.schema.fields, *added])
-    return docs.join(by_doc, "doc_id", "left").mapInArrow(_kept, schema)
+    return docs.join(by_doc, "doc_id", "left").mapInArrow(_keeps(least_bytes, over_words), schema)
 
 
-def texts_without_repeats(documents: DataFrame, length: int = 400, anchor: int = ANCHOR) -> DataFrame:
+def texts_without_repeats(documents: DataFrame, length: int = 400, anchor: int = ANCHOR, least_bytes: int = 0, over_words: int | None = None) -> DataFrame:
     """The documents, all of them, with the text that is left; a character that was cut apart goes as a whole.
 
     Rows with a null doc_id keep their text."""
     named = documents.filter("doc_id is not null")
-    cut = drop_repeats(named, length, anchor)
+    cut = drop_repeats(named, length, anchor, least_bytes, over_words)
     left = F.when(F.col("text").isNull(), None).when(F.col("n_removed") == 0, F.col("text")).otherwise(_whole_characters("kept"))
     return cut.select(*(left.alias(c) if c == "text" else F.col(c) for c in documents.columns)).union(documents.filter("doc_id is null"))
 
