@@ -6,12 +6,16 @@ named by (node, coordinate, its value there); the first two levels are taken in
 branch again, up to a fixed depth.  Leaves are compared by signature, and every candidate link is
 confirmed on the full shingle sets.
 
-Two steps keep the work linear in a group of near copies.  First, each leaf of the first tree links its documents to
-its two most central members.  Then, in the leaves of all trees, only documents outside their leaf's largest component still need a
-look: they visit the others, cell by cell.  A leaf is a cell; one with many documents is cut into blocks of
-residents and of visitors, and each pair of two such blocks is a cell, so nothing is capped.  Those near one of another
-component by signature are compared on their full sets, in cells cut once more by the sets' sizes.  A
-document is in a cell once, not once for each pair.
+What keeps the work linear in a group of near copies:
+  1. Each node of the first tree's first level links its documents to its most central member.  The pairs near by signature
+     give components to begin with, and only nodes with several components are looked at from then on, in all trees: a
+     group whose copies are all joined is dropped from every node at once, by a partial aggregation, before any join.
+  2. Where one component crowds a node (more than LEAF members and half of it), only the others go on.  The crowd waits in one cell of
+     its own, whatever the number of nodes that it fills, and the others visit it there.
+  3. A cell with many documents is cut into blocks of residents and of visitors, and each pair of two such blocks is
+     a cell, so nothing is capped.  A document is in a cell once, not once for each pair.
+Steps 1 to 3 run twice: by signature over all documents, which leaves those that have a neighbour at all, then for these with the
+components that their full sets confirm.  So texts are shuffled once, for documents with neighbours.
 
 Null or wordless texts have no set and are linked with nothing.  Equal sets (repeated rows, copies)
 are one class from the start and are never paired.  An empty table gives an empty table.
@@ -31,7 +35,7 @@ from .components import components
 from .steps import cuts, groups, stored
 
 COORDINATES = 256  #: of the signature, 16 bits each
-TREES = 4  #: a node's two lowest bits are its tree
+TREES = 4
 ROOT_BRANCHES = 4  #: children of a root, each by two coordinates of 64 bits; 16 in all: a pair at 0.8 misses all of them once in 1e7
 BRANCHES = 2  #: coordinates of the signature an inner node picks
 LEAF = 96  #: documents up to which a node is a leaf
@@ -54,7 +58,7 @@ def signatures(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         else:
             roots[:, k - COORDINATES] = least
     nodes = tc.mix(tc.mix(roots[:, ::2] + np.arange(1, TREES * ROOT_BRANCHES + 1, dtype=np.uint64)) ^ roots[:, 1::2])
-    return nodes & ~np.uint64(3) | np.arange(TREES, dtype=np.uint64).repeat(ROOT_BRANCHES), out
+    return nodes, out
 
 
 def _describe(size: int):
@@ -79,55 +83,55 @@ def _sig(column) -> np.ndarray:
     return np.frombuffer(tc.column_bytes(column)[0], dtype=np.uint16).reshape(-1, COORDINATES)
 
 
-def _roots(batches):
-    """Rows (rep, roots) to rows (rep, node) of the roots' children."""
-    for batch in batches:
-        nodes = np.frombuffer(tc.column_bytes(batch.column("roots"))[0], dtype=np.int64)
-        yield pa.record_batch([pa.array(np.repeat(batch.column("rep").to_numpy(), TREES * ROOT_BRANCHES)), pa.array(nodes)], names=["rep", "node"])
+def _roots(trees: int):
+    """Rows (rep, component, roots) to rows (rep, component, node) of the first trees' roots' children."""
+
+    def run(batches):
+        for batch in batches:
+            nodes = np.frombuffer(tc.column_bytes(batch.column("roots"))[0], dtype=np.int64).reshape(-1, TREES * ROOT_BRANCHES)[:, : trees * ROOT_BRANCHES]
+            ids = (np.repeat(batch.column(c).to_numpy(), trees * ROOT_BRANCHES) for c in ("rep", "component"))
+            yield pa.record_batch([*map(pa.array, ids), pa.array(nodes.ravel())], names=["rep", "component", "node"])
+
+    return run
 
 
 def _branch(batches):
-    """Rows (rep, node, sig) to rows (rep, node) of the children."""
+    """Rows (rep, component, node, sig) to rows (rep, component, node) of the children."""
     for batch in batches:
-        reps, sig = batch.column("rep").to_numpy(), _sig(batch.column("sig"))
+        reps, comps, sig = batch.column("rep").to_numpy(), batch.column("component").to_numpy(), _sig(batch.column("sig"))
         nodes = batch.column("node").to_numpy().view(np.uint64)
         made = []
         for b in range(BRANCHES):
             pick = ((tc.mix(nodes ^ np.uint64(0x51)) + np.uint64(b * 37)) % np.uint64(COORDINATES)).astype(np.int64)
             value = sig[np.arange(len(reps)), pick].astype(np.uint64)
-            child = tc.mix(tc.mix(nodes) ^ (pick.astype(np.uint64) << np.uint64(40)) ^ value)
-            made.append(child & ~np.uint64(3) | nodes & np.uint64(3))
-        yield pa.record_batch([pa.array(np.tile(reps, BRANCHES)), pa.array(np.concatenate(made).view(np.int64))], names=["rep", "node"])
+            made.append(tc.mix(tc.mix(nodes) ^ (pick.astype(np.uint64) << np.uint64(40)) ^ value))
+        yield pa.record_batch([pa.array(np.tile(reps, BRANCHES)), pa.array(np.tile(comps, BRANCHES)), pa.array(np.concatenate(made).view(np.int64))], names=["rep", "component", "node"])
 
 
 def _central(batches):
-    """The two members of each node whose signatures agree best with its most frequent values."""
+    """The member of each node whose signature agrees best with its most frequent values."""
     for t in groups(batches, "node"):
         nodes, reps, sig = t.column("node").to_numpy(), t.column("rep").to_numpy(), _sig(t.column("sig"))
         at = cuts(nodes)
-        out_node, out_rep = [], []
+        best = []
         for s, e in zip(at[:-1], at[1:], strict=True):
-            if e - s <= 2:
-                best = np.arange(s, e)
-            else:
-                m = sig[s:e]
-                agree = np.zeros(e - s)
-                for k in range(0, COORDINATES, 4):
-                    _, inverse, count = np.unique(m[:, k], return_inverse=True, return_counts=True)
-                    agree += count[inverse]
-                best = s + np.lexsort((reps[s:e], -agree))[:2]
-            out_node += [nodes[s]] * len(best)
-            out_rep += reps[best].tolist()
-        yield pa.record_batch([pa.array(out_node, pa.int64()), pa.array(out_rep, pa.int64())], names=["node", "center"])
+            m = sig[s:e]
+            agree = np.zeros(e - s)
+            for k in range(0, COORDINATES, 4):
+                _, inverse, count = np.unique(m[:, k], return_inverse=True, return_counts=True)
+                agree += count[inverse]
+            best.append(s + np.lexsort((reps[s:e], -agree))[0])
+        yield pa.record_batch([pa.array(nodes[best]), pa.array(reps[best])], names=["node", "center"])
 
 
 def _near(least: float):
-    """Keep the pairs whose signatures agree in a share of at least `least`."""
+    """Rows (rep, center, sig, sig_center) to (rep, center, share) where the signatures agree in a share of at least `least`."""
 
     def run(batches):
         for batch in batches:
-            share = (_sig(batch.column("sig_a")) == _sig(batch.column("sig_b"))).mean(axis=1)
-            yield batch.filter(pa.array(share >= least)).select(["a", "b"])
+            share = (_sig(batch.column("sig")) == _sig(batch.column("sig_center"))).mean(axis=1)
+            near = batch.select(["rep", "center"]).append_column("share", pa.array(share))
+            yield near.filter(pa.array(share >= least))
 
     return run
 
@@ -226,11 +230,9 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def confirmed(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links, by their whole texts."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = stored(documents.join(needed, "doc_id", "left_semi").select("doc_id", "text"), "texts")
-    one, two = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+def confirmed(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links, by their whole texts(rep, text)."""
+    one, two = (texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     return stored(pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a long, b long"), "confirmed")
 
 
@@ -250,69 +252,94 @@ def _dealt(rows: DataFrame, weight, limit: int) -> DataFrame:
     return rows.select(F.xxhash64("cell", "at.r", "at.v").alias("cell"), "rep", "component", side.alias("side"), "n")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, and class_id, the smallest id with an equal set.
+def stars(classes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) near by signature: each class with the best of the centers of its nodes in the first tree, and that one with the others.
 
-    Two documents are linked if 100 * |A and B| >= percent * |A or B| on distinct shingles of `shingle` words; a text
-    with fewer words has its whole sequence as one.  component_id is the smallest doc_id reachable by links.
-    Other columns of the input, whatever their names, are not read; rows with a null doc_id are left out."""
-    docs = documents.select("doc_id", "text").filter("doc_id is not null")
-    described = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_describe(shingle), "doc_id long, n long, h1 long, h2 long, roots binary, sig binary"), "described")
-    classes = stored(described.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("roots").alias("roots"), F.first("sig").alias("sig")), "classes")
+    A node's center is found among LEAF or so of its members, picked by a hash."""
+    rows = classes.select("rep", F.col("rep").alias("component"), "roots").mapInArrow(_roots(1), "rep long, component long, node long").select("rep", "node")
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+    rows = stored(rows.join(sizes, "node"), "first-tree")
     sigs = classes.select("rep", "sig")
-
-    leaves = []
-    rows = classes.select("rep", "roots").mapInArrow(_roots, "rep long, node long")
+    sample = rows.filter(F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / LEAF)) == 0).select("node", "rep").join(sigs, "rep")
+    centers = sample.repartition("node").sortWithinPartitions("node").mapInArrow(_central, "node long, center long")
+    near = rows.join(centers, "node").filter("rep <> center").select("rep", "center").distinct()
+    near = near.join(sigs, "rep").join(sigs.select(F.col("rep").alias("center"), F.col("sig").alias("sig_center")), "center")
+    near = near.select("rep", "center", "sig", "sig_center").mapInArrow(_near(least), "rep long, center long, share double")
+    own = near.groupBy("rep").agg(F.max(F.struct("share", "center"))["center"].alias("best"), F.collect_set("center").alias("centers"))  # four centers at most
+    own = stored(own, "stars")
+    others = own.filter(F.size("centers") > 1).select("best", F.explode("centers").alias("other")).filter("best <> other")
+    pairs = own.select(F.col("rep").alias("a"), F.col("best").alias("b")).union(others)
+    return stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+
+def unsettled(docs: DataFrame, least: float) -> DataFrame:
+    """Documents (rep, component, n, roots, sig) that share a leaf with one of another component and are near it by signature:
+    rows (cell, rep, component, side, n) in which those of a cell are to be compared."""
+    sigs = docs.select("rep", "sig")
+    rows = docs.select("rep", "component", "roots").mapInArrow(_roots(TREES), "rep long, component long, node long")
+    leaves, visits = None, None
     for depth in range(DEPTH):
         rows = stored(rows, "nodes")
-        counts = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        rows = stored(rows.join(counts, "node"), "sized")
-        last = depth == DEPTH - 1
-        leaves.append(rows if last else rows.filter(F.col("size") <= LEAF))
-        rows = rows.filter(F.col("size") > LEAF)
-        if last or rows.limit(1).count() == 0:
+        parts = rows.groupBy("node", "component").agg(F.count("*").alias("many"))
+        mixed = parts.groupBy("node").agg(F.max(F.struct("many", "component")).alias("main"), F.sum("many").alias("size"), F.count("*").alias("parts"))
+        mixed = mixed.filter("parts > 1").select("node", F.col("main.component").alias("main"), F.col("main.many").alias("many"), "size")
+        crowd = F.expr(f"many > {LEAF} and 2 * many >= size")
+        rows = stored(rows.join(mixed, "node").filter(~crowd | (F.col("component") != F.col("main"))), "mixed")
+        leaf = F.lit(True) if depth == DEPTH - 1 else F.when(crowd, F.col("size") - F.col("many")).otherwise(F.col("size")) <= LEAF
+        ends = rows.filter(leaf).select("node", "rep", "component", F.when(F.col("component") == F.col("main"), 0).otherwise(2).alias("side"))
+        calls = rows.filter(crowd).select("rep", "component", "main")
+        leaves, visits = (ends, calls) if leaves is None else (leaves.union(ends), visits.union(calls))
+        rows = rows.filter(~leaf)
+        if depth == DEPTH - 1 or rows.limit(1).count() == 0:
             break
-        rows = rows.select("rep", "node").join(sigs, "rep").mapInArrow(_branch, "rep long, node long").distinct()
-    members = leaves[0]
-    for more in leaves[1:]:
-        members = members.union(more)
-    # leaves with equal members count once, as one of the earliest tree
-    tree = F.col("node").bitwiseAND(F.lit(3))
-    alike = members.groupBy("node").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"))
-    alike = alike.groupBy("size", "sum").agg(F.min(F.struct(tree.alias("tree"), "node")).alias("one")).select("one.node")
-    members = stored(members.join(alike, "node").select("node", "size", "rep"), "members")
-    # from here on only documents that share a leaf count: their signatures and texts are taken out once
-    reps = stored(members.select("rep").distinct(), "reps")
-    sigs = stored(sigs.join(reps, "rep", "left_semi"), "near-sigs")
-    sizes = classes.select("rep", "n").join(reps, "rep", "left_semi")
-    docs = stored(docs.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select("doc_id", "text"), "near-texts")
+        rows = rows.select("rep", "component", "node").join(sigs, "rep").mapInArrow(_branch, "rep long, component long, node long").distinct()
+    # leaves with equal members count once
+    alike = leaves.groupBy("node").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum")).filter("size > 1")
+    alike = alike.groupBy("size", "sum").agg(F.min("node").alias("node")).select("node")
+    leaves = leaves.join(alike, "node").withColumnRenamed("node", "cell")
+    # a crowd is in one cell of its own, once, whatever the number of nodes that it fills
+    visits = stored(visits.distinct(), "visits")
+    name = lambda c: F.xxhash64(c, F.lit("crowd")).alias("cell")
+    at_home = docs.select("rep", "component").join(visits.select(F.col("main").alias("component")).distinct(), "component", "left_semi")
+    crowds = visits.select(name("main"), "rep", "component", F.lit(1).alias("side")).union(at_home.select(name("component"), "rep", "component", F.lit(0)))
+    rows = stored(leaves.union(crowds.select(leaves.columns)).join(docs.select("rep", "n"), "rep"), "cells")
+    cells = _dealt(rows, F.lit(1), BLOCK).join(sigs, "rep")
+    return stored(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_involved(least), "cell long, rep long, component long, side int, n long"), "involved")
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, and class_id, the smallest id with an equal set.
 
+    Two documents are linked if 100 * |A and B| >= percent * |A or B| on distinct shingles of `shingle` words; a text
+    with fewer words has its whole sequence as one.  component_id is the smallest doc_id reachable by links.
+    An id that comes with several texts is linked by any of them, each row has the n_shingles of its own.
+    Rows with a null doc_id are linked with nothing: their component_id and class_id are null, and they are kept.
+    Other columns of the input, whatever their names, are not read."""
+    docs = documents.select(F.col("doc_id").cast("long"), "text")
+    described = stored(docs.mapInArrow(_describe(shingle), "doc_id long, n long, h1 long, h2 long, roots binary, sig binary"), "described")
+    classes = described.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("roots").alias("roots"), F.first("sig").alias("sig"))
+    classes = stored(classes, "classes")
     least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
-    early = members.filter(tree == 0)
-    sample = early.filter(F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / LEAF)) == 0).select("node", "rep").join(sigs, "rep")
-    centers = sample.repartition("node").sortWithinPartitions("node").mapInArrow(_central, "node long, center long")
-    ends = lambda p: (F.least(*p).alias("a"), F.greatest(*p).alias("b"))
-    pairs = early.select("node", "rep").join(centers, "node").filter("rep <> center").select(*ends(("rep", "center"))).distinct()
-    one, two = (sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    pairs = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_near(least), "a long, b long"), "pairs")
-
-    links = confirmed(docs, pairs, shingle, percent)
-    labels = components(links)
-    now = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    counts = now.groupBy("node", "component").agg(F.count("*").alias("many"))
-    mixed = counts.groupBy("node").agg(F.max(F.struct("many", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    side = F.when(F.col("component") == F.col("most.component"), 0).otherwise(2)
-    rows = now.join(mixed, "node").select(F.col("node").alias("cell"), "rep", "component", side.alias("side")).join(sizes, "rep")
-    cells = _dealt(stored(rows, "cells"), F.lit(1), BLOCK).join(sigs, "rep")
-    shape = "cell long, rep long, component long, side int, n long"
-    involved = stored(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_involved(least), shape), "involved")
-    texts = docs.withColumnRenamed("doc_id", "rep").join(involved.select("rep").distinct(), "rep", "left_semi")
-    involved = _dealt(involved, F.col("n"), SHINGLES)
-    found = involved.join(texts, "rep").repartition("cell").sortWithinPartitions("cell").mapInArrow(_linked(shingle, percent), "a long, b long")
-    fresh = stored(found.distinct(), "fresh")
-    if fresh.limit(1).count():
-        labels = components(links.union(fresh))
-    whole = classes.join(labels, F.col("id") == F.col("rep"), "left").select("h1", "h2", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+
+    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    # by signature only: which documents have a neighbour at all
+    pairs = stars(classes, least)
+    guess = stored(labelled(classes.select("rep", "n", "roots", "sig"), components(pairs)), "guessed")
+    near = unsettled(guess, least).select("rep").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    near = stored(near, "near")
+    # the texts are shuffled for them once, at every size: what has neighbours grows with the input
+    texts = docs.withColumnRenamed("doc_id", "rep").join(near.hint("merge"), "rep", "left_semi").distinct()
+    texts = stored(texts, "near-texts")
+    few = stored(classes.select("rep", "n", "roots", "sig").join(near, "rep", "left_semi"), "near-classes")
+    # by the full sets
+    links = confirmed(texts, pairs, shingle, percent)
+    open_ = _dealt(unsettled(labelled(few, components(links)), least), F.col("n"), SHINGLES)
+    fresh = open_.join(texts, "rep").repartition("cell").sortWithinPartitions("cell").mapInArrow(_linked(shingle, percent), "a long, b long")
+    labels = components(links.union(fresh))
+    whole = labelled(classes.select("rep", "h1", "h2", "n"), labels)
     out = described.select("doc_id", "n", "h1", "h2").join(whole, ["h1", "h2", "n"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    named = F.col("doc_id").isNotNull()
+    component = F.when(named, F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (~named | (component == F.col("doc_id"))).alias("kept"), F.when(named, F.coalesce("rep", "doc_id")).alias("class_id"))

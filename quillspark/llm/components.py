@@ -11,19 +11,27 @@ from .steps import stored
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in links(a, b); the component is its smallest id.
 
-    Each round takes the least label among a node and its neighbours, then follows that label
-    once more (pointer jumping), so that the rounds grow with the logarithm of a chain's length.
-    Both steps are a join on the id and a partial aggregation by min, also for a hub."""
-    both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a")).distinct()
-    both = stored(both, "links")
-    labels = stored(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("component", "near").alias("c"), F.col("component").alias("was"))
-        root = labels.select(F.col("id").alias("c"), F.col("component").alias("jump"))
-        step = step.join(root, "c", "left").select("id", F.least("c", "jump").alias("component"), "was")
-        step = stored(step, "labels")
-        changed = step.filter("component <> was").limit(1).count()
-        labels = step.select("id", "component")
-        if not changed:
-            return labels
+    Rounds of random contraction: each id picks the one of least rank among itself and its neighbours, by a hash that
+    is another in each round, and the links move on to what their ends picked.  A round leaves a fraction of the ids, so that all rounds
+    together join little more than twice the links, also for a chain or a hub.  The picks are then followed
+    from the last round back to the first, again over fewer and fewer rows.  No links give an empty table."""
+    ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = stored(links.select(*ends).filter("a <> b").distinct(), "links")
+    rounds: list[DataFrame] = []
+    while links.limit(1).count():
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("rank"), F.col(c).alias("id"))  # noqa: B023, E731
+        both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
+        best = both.groupBy("id").agg(F.min(rank("other")).alias("best"))
+        rounds.append(stored(best.select("id", F.least("best", rank("id"))["id"].alias("pick")), "picks"))
+        one, two = (rounds[-1].select(F.col("id").alias(c), F.col("pick").alias(f"pick_{c}")) for c in "ab")
+        moved = links.join(one, "a").join(two, "b").select(F.col("pick_a").alias("a"), F.col("pick_b").alias("b"))
+        links = stored(moved.select(*ends).filter("a <> b").distinct(), "links")
+    if not rounds:
+        return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    found = rounds[-1]
+    for picks in reversed(rounds[:-1]):
+        top = found.select(F.col("id").alias("pick"), F.col("pick").alias("top"))
+        found = picks.join(top, "pick", "left").select("id", F.coalesce("top", "pick").alias("pick"))
+    found = stored(found, "tops")
+    least = found.groupBy("pick").agg(F.min("id").alias("component"))
+    return stored(found.join(least, "pick").select("id", "component"), "components")
