@@ -115,6 +115,9 @@ def _central(batches):
         at = cuts(nodes)
         best = []
         for s, e in zip(at[:-1], at[1:], strict=True):
+            if e - s == 2:  # they agree with each other's values as well
+                best.append(s + int(reps[s] > reps[s + 1]))
+                continue
             m = sig[s:e]
             agree = np.zeros(e - s)
             for k in range(0, COORDINATES, 4):
@@ -335,10 +338,11 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     few = stored(classes.select("rep", "n", "roots", "sig").join(near, "rep", "left_semi"), "near-classes")
     # by the full sets
     links = confirmed(texts, pairs, shingle, percent)
-    open_ = _dealt(unsettled(labelled(few, components(links)), least), F.col("n"), SHINGLES)
+    labels = components(links)
+    open_ = _dealt(unsettled(labelled(few, labels), least), F.col("n"), SHINGLES)
     fresh = open_.join(texts, "rep").repartition("cell").sortWithinPartitions("cell").mapInArrow(_linked(shingle, percent), "a long, b long")
-    labels = components(links.union(fresh))
-    whole = labelled(classes.select("rep", "h1", "h2", "n"), labels)
+    merged = components(fresh).select(F.col("id").alias("component"), F.col("component").alias("into"))  # names of components are their smallest ids
+    whole = labelled(classes.select("rep", "h1", "h2", "n"), labels).join(merged, "component", "left").withColumn("component", F.coalesce("into", "component"))
     out = described.select("doc_id", "n", "h1", "h2").join(whole, ["h1", "h2", "n"], "left")
     named = F.col("doc_id").isNotNull()
     component = F.when(named, F.coalesce("component", "doc_id"))

@@ -1,22 +1,53 @@
-"""Connected components of a link table, as joins and aggregations only."""
+"""Connected components of a link table."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .steps import stored
 
 
+def _forests(batches):
+    """Rows (a, b, rank_a, rank_b) to the links (a, b) of stars that join the same ids: within each batch, around the id of least rank."""
+    for batch in batches:
+        up: dict[int, int] = {}
+        ranks: dict[int, tuple[int, int]] = {}
+
+        def top(x: int) -> int:
+            while up[x] != x:  # noqa: B023
+                up[x] = x = up[up[x]]  # noqa: B023
+            return x
+
+        for a, b, rank_a, rank_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "rank_a", "rank_b")), strict=True):
+            for x, rank in ((a, rank_a), (b, rank_b)):
+                up.setdefault(x, x)
+                ranks[x] = (rank, x)
+            a, b = top(a), top(b)
+            if ranks[a] < ranks[b]:
+                up[b] = a
+            else:
+                up[a] = b
+        rows = [(top(x), x) for x in up if up[x] != x]
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((), ()))], names=["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in links(a, b); the component is its smallest id.
 
-    Rounds of random contraction: each id picks the one of least rank among itself and its neighbours, by a hash that
-    is another in each round, and the links move on to what their ends picked.  A round leaves a fraction of the ids, so that all rounds
-    together join little more than twice the links, also for a chain or a hub.  The picks are then followed
-    from the last round back to the first, again over fewer and fewer rows.  No links give an empty table."""
-    ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = stored(links.select(*ends).filter("a <> b").distinct(), "links")
+    Rounds of random contraction.  First each batch of links becomes stars that join the same ids, in the task that holds
+    it.  Then each id picks the one of least rank among itself and its neighbours, by a hash that is another in each round, and the
+    links move on to what their ends picked.  A round leaves a fraction of the ids, so that all rounds
+    together join little more than the links once, also for a chain or a hub.  The picks are then followed from the
+    last round back to the first, again over fewer rows each.  No links give an empty table."""
+
+    def reduced(rows: DataFrame, salt: int) -> DataFrame:
+        rows = rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+        rows = rows.select("a", "b", F.xxhash64("a", F.lit(salt)).alias("rank_a"), F.xxhash64("b", F.lit(salt)).alias("rank_b"))
+        return stored(rows.mapInArrow(_forests, "a long, b long"), "links")
+
+    links = reduced(links, 0)
     rounds: list[DataFrame] = []
     while links.limit(1).count():
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("rank"), F.col(c).alias("id"))  # noqa: B023, E731
@@ -24,14 +55,12 @@ def components(links: DataFrame) -> DataFrame:
         best = both.groupBy("id").agg(F.min(rank("other")).alias("best"))
         rounds.append(stored(best.select("id", F.least("best", rank("id"))["id"].alias("pick")), "picks"))
         one, two = (rounds[-1].select(F.col("id").alias(c), F.col("pick").alias(f"pick_{c}")) for c in "ab")
-        moved = links.join(one, "a").join(two, "b").select(F.col("pick_a").alias("a"), F.col("pick_b").alias("b"))
-        links = stored(moved.select(*ends).filter("a <> b").distinct(), "links")
+        links = reduced(links.join(one, "a").join(two, "b").select(F.col("pick_a").alias("a"), F.col("pick_b").alias("b")), len(rounds))
     if not rounds:
         return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
     found = rounds[-1]
     for picks in reversed(rounds[:-1]):
         top = found.select(F.col("id").alias("pick"), F.col("pick").alias("top"))
         found = picks.join(top, "pick", "left").select("id", F.coalesce("top", "pick").alias("pick"))
-    found = stored(found, "tops")
     least = found.groupBy("pick").agg(F.min("id").alias("component"))
-    return stored(found.join(least, "pick").select("id", "component"), "components")
+    return found.join(least, "pick").select("id", "component")
