@@ -124,7 +124,7 @@ def _central(batches):
                 _, inverse, count = np.unique(m[:, k], return_inverse=True, return_counts=True)
                 agree += count[inverse]
             best.append(s + np.lexsort((reps[s:e], -agree))[0])
-        yield pa.record_batch([pa.array(nodes[best]), pa.array(reps[best])], names=["node", "center"])
+        yield pa.record_batch([pa.array(nodes[best]), pa.array(reps[best]), pa.array([sig[i].tobytes() for i in best], pa.binary())], names=["node", "center", "sig_center"])
 
 
 def _near(least: float):
@@ -133,8 +133,8 @@ def _near(least: float):
     def run(batches):
         for batch in batches:
             share = (_sig(batch.column("sig")) == _sig(batch.column("sig_center"))).mean(axis=1)
-            near = batch.select(["rep", "center"]).append_column("share", pa.array(share))
-            yield near.filter(pa.array(share >= least))
+            keep = pa.array(share >= least)
+            yield pa.record_batch([batch.column("rep"), batch.column("center"), pa.array(share)], names=["rep", "center", "share"]).filter(keep)
 
     return run
 
@@ -240,7 +240,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
 
 
 def _dealt(rows: DataFrame, weight, limit: int) -> DataFrame:
-    """Rows (cell, rep, component, side, n) dealt to smaller cells: residents (side 0) and visitors (1; both: 2) of a cell
+    """Rows (cell, rep, component, side, ...) dealt to smaller cells: residents (side 0) and visitors (1; both: 2) of a cell
     are cut by their ids into blocks of about `limit` of the weight, and each pair of two such blocks is a cell."""
     block = lambda side: F.ceil(F.sum(F.when(F.col("side") != side, weight).otherwise(0)) / limit).cast("long")
     wide = rows.groupBy("cell").agg(block(1).alias("res"), block(0).alias("vis"))
@@ -252,7 +252,7 @@ def _dealt(rows: DataFrame, weight, limit: int) -> DataFrame:
     rows = rows.filter("res > 0 and vis > 0").select("*", home.alias("home"), call.alias("call"), F.explode(F.array_distinct(F.concat(stays, visits))).alias("at"))
     at_home, at_call = (F.col("side") != 1) & (F.col("at.r") == F.col("home")), (F.col("side") != 0) & (F.col("at.v") == F.col("call"))
     side = F.when(at_home & at_call, 2).when(at_home, 0).otherwise(1)
-    return rows.select(F.xxhash64("cell", "at.r", "at.v").alias("cell"), "rep", "component", side.alias("side"), "n")
+    return rows.withColumn("side", side).withColumn("cell", F.xxhash64("cell", "at.r", "at.v")).drop("home", "call", "at", "res", "vis")
 
 
 def stars(classes: DataFrame, least: float) -> DataFrame:
@@ -261,52 +261,45 @@ def stars(classes: DataFrame, least: float) -> DataFrame:
     A node's center is found among LEAF or so of its members, picked by a hash."""
     rows = classes.select("rep", F.col("rep").alias("component"), "roots").mapInArrow(_roots(1), "rep long, component long, node long").select("rep", "node")
     sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = stored(rows.join(sizes, "node"), "first-tree")
-    sigs = classes.select("rep", "sig")
-    sample = rows.filter(F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / LEAF)) == 0).select("node", "rep").join(sigs, "rep")
-    centers = sample.repartition("node").sortWithinPartitions("node").mapInArrow(_central, "node long, center long")
-    near = rows.join(centers, "node").filter("rep <> center").select("rep", "center").distinct()
-    near = near.join(sigs, "rep").join(sigs.select(F.col("rep").alias("center"), F.col("sig").alias("sig_center")), "center")
-    near = near.select("rep", "center", "sig", "sig_center").mapInArrow(_near(least), "rep long, center long, share double")
+    rows = stored(rows.join(sizes, "node").join(classes.select("rep", "sig"), "rep"), "first-tree")
+    sample = rows.filter(F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / LEAF)) == 0).select("node", "rep", "sig")
+    centers = sample.repartition("node").sortWithinPartitions("node").mapInArrow(_central, "node long, center long, sig_center binary")
+    near = rows.join(centers, "node").filter("rep <> center").select("rep", "center", "sig", "sig_center").mapInArrow(_near(least), "rep long, center long, share double")
     own = near.groupBy("rep").agg(F.max(F.struct("share", "center"))["center"].alias("best"), F.collect_set("center").alias("centers"))  # four centers at most
-    own = stored(own, "stars")
-    others = own.filter(F.size("centers") > 1).select("best", F.explode("centers").alias("other")).filter("best <> other")
-    pairs = own.select(F.col("rep").alias("a"), F.col("best").alias("b")).union(others)
-    return stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    # itself a center of some node, and other documents' best: the links between centers join their stars
+    pairs = own.select("best", F.explode(F.array_append(F.filter("centers", lambda c: c != F.col("best")), F.col("rep"))).alias("other"))
+    return stored(pairs.select(F.least("best", "other").alias("a"), F.greatest("best", "other").alias("b")).distinct(), "pairs")
 
 
-def unsettled(docs: DataFrame, least: float) -> DataFrame:
-    """Documents (rep, component, n, roots, sig) that share a leaf with one of another component and are near it by signature:
-    rows (cell, rep, component, side, n) in which those of a cell are to be compared."""
-    sigs = docs.select("rep", "sig")
-    rows = docs.select("rep", "component", "roots").mapInArrow(_roots(TREES), "rep long, component long, node long")
+def unsettled(docs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Documents (rep, component, roots) that share a leaf with one of another component and are near it by signature:
+    rows (cell, rep, component, side, n) in which those of a cell are to be compared.  sets: (rep, n, sig)."""
+    rows = docs.mapInArrow(_roots(TREES), "rep long, component long, node long")
     leaves, visits = None, None
     for depth in range(DEPTH):
         rows = stored(rows, "nodes")
-        parts = rows.groupBy("node", "component").agg(F.count("*").alias("many"))
-        mixed = parts.groupBy("node").agg(F.max(F.struct("many", "component")).alias("main"), F.sum("many").alias("size"), F.count("*").alias("parts"))
-        mixed = mixed.filter("parts > 1").select("node", F.col("main.component").alias("main"), F.col("main.many").alias("many"), "size")
+        parts = rows.groupBy("node", "component").agg(F.count("*").alias("many"), *(F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in (0, 1)))
+        mixed = parts.groupBy("node").agg(F.max_by("component", "many").alias("main"), F.max("many").alias("many"), F.sum("many").alias("size"), F.count("*").alias("parts"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
         crowd = F.expr(f"many > {LEAF} and 2 * many >= size")
-        rows = stored(rows.join(mixed, "node").filter(~crowd | (F.col("component") != F.col("main"))), "mixed")
         leaf = F.lit(True) if depth == DEPTH - 1 else F.when(crowd, F.col("size") - F.col("many")).otherwise(F.col("size")) <= LEAF
-        ends = rows.filter(leaf).select("node", "rep", "component", F.when(F.col("component") == F.col("main"), 0).otherwise(2).alias("side"))
+        # leaves with equal members count once
+        mixed = mixed.filter("parts > 1").withColumn("leaf", leaf).groupBy("size", "x0", "x1", F.when(~F.col("leaf"), F.col("node")).alias("own"))
+        mixed = mixed.agg(F.min(F.struct("node", "main", "many", "leaf")).alias("one")).select("size", "one.*")
+        rows = stored(rows.join(mixed, "node").filter(~crowd | (F.col("component") != F.col("main"))), "mixed")
+        ends = rows.filter("leaf").select(F.col("node").alias("cell"), "rep", "component", F.when(F.col("component") == F.col("main"), 0).otherwise(2).alias("side"))
         calls = rows.filter(crowd).select("rep", "component", "main")
         leaves, visits = (ends, calls) if leaves is None else (leaves.union(ends), visits.union(calls))
-        rows = rows.filter(~leaf)
+        rows = rows.filter("not leaf")
         if depth == DEPTH - 1 or rows.limit(1).count() == 0:
             break
-        rows = rows.select("rep", "component", "node").join(sigs, "rep").mapInArrow(_branch, "rep long, component long, node long").distinct()
-    # leaves with equal members count once
-    alike = leaves.groupBy("node").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum")).filter("size > 1")
-    alike = alike.groupBy("size", "sum").agg(F.min("node").alias("node")).select("node")
-    leaves = leaves.join(alike, "node").withColumnRenamed("node", "cell")
-    # a crowd is in one cell of its own, once, whatever the number of nodes that it fills
-    visits = stored(visits.distinct(), "visits")
-    name = lambda c: F.xxhash64(c, F.lit("crowd")).alias("cell")
-    at_home = docs.select("rep", "component").join(visits.select(F.col("main").alias("component")).distinct(), "component", "left_semi")
-    crowds = visits.select(name("main"), "rep", "component", F.lit(1).alias("side")).union(at_home.select(name("component"), "rep", "component", F.lit(0)))
-    rows = stored(leaves.union(crowds.select(leaves.columns)).join(docs.select("rep", "n"), "rep"), "cells")
-    cells = _dealt(rows, F.lit(1), BLOCK).join(sigs, "rep")
+        rows = rows.select("rep", "component", "node").join(sets.select("rep", "sig"), "rep").mapInArrow(_branch, "rep long, component long, node long").distinct()
+    if visits.limit(1).count():
+        # a crowd is in one cell of its own, once, whatever the number of nodes that it fills
+        visits = visits.distinct()
+        name = lambda c: F.xxhash64(c, F.lit("crowd")).alias("cell")
+        at_home = docs.select("rep", "component").join(visits.select(F.col("main").alias("component")).distinct(), "component", "left_semi")
+        leaves = leaves.union(visits.select(name("main"), "rep", "component", F.lit(1))).union(at_home.select(name("component"), "rep", "component", F.lit(0)))
+    cells = _dealt(stored(leaves, "cells"), F.lit(1), BLOCK).join(sets, "rep")
     return stored(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_involved(least), "cell long, rep long, component long, side int, n long"), "involved")
 
 
@@ -329,9 +322,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
 
     # by signature only: which documents have a neighbour at all
     pairs = stars(classes, least)
-    guess = stored(labelled(classes.select("rep", "n", "roots", "sig"), components(pairs)), "guessed")
-    near = unsettled(guess, least).select("rep").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    near = stored(near, "near")
+    guess = labelled(classes.select("rep", "roots"), components(pairs))
+    near = unsettled(guess.select("rep", "component", "roots"), classes.select("rep", "n", "sig"), least).select("rep")
+    near = stored(near.union(pairs.select("a")).union(pairs.select("b")).distinct(), "near")
     # the texts are shuffled for them once, at every size: what has neighbours grows with the input
     texts = docs.withColumnRenamed("doc_id", "rep").join(near.hint("merge"), "rep", "left_semi").distinct()
     texts = stored(texts, "near-texts")
@@ -339,7 +332,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     # by the full sets
     links = confirmed(texts, pairs, shingle, percent)
     labels = components(links)
-    open_ = _dealt(unsettled(labelled(few, labels), least), F.col("n"), SHINGLES)
+    again = labelled(few.select("rep", "roots"), labels).select("rep", "component", "roots")
+    open_ = _dealt(unsettled(again, few.select("rep", "n", "sig"), least), F.col("n"), SHINGLES)
     fresh = open_.join(texts, "rep").repartition("cell").sortWithinPartitions("cell").mapInArrow(_linked(shingle, percent), "a long, b long")
     merged = components(fresh).select(F.col("id").alias("component"), F.col("component").alias("into"))  # names of components are their smallest ids
     whole = labelled(classes.select("rep", "h1", "h2", "n"), labels).join(merged, "component", "left").withColumn("component", F.coalesce("into", "component"))

@@ -42,20 +42,16 @@ def components(links: DataFrame) -> DataFrame:
     together join little more than the links once, also for a chain or a hub.  The picks are then followed from the
     last round back to the first, again over fewer rows each.  No links give an empty table."""
 
-    def reduced(rows: DataFrame, salt: int) -> DataFrame:
-        rows = rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-        rows = rows.select("a", "b", F.xxhash64("a", F.lit(salt)).alias("rank_a"), F.xxhash64("b", F.lit(salt)).alias("rank_b"))
-        return stored(rows.mapInArrow(_forests, "a long, b long"), "links")
-
-    links = reduced(links, 0)
+    links = _distinct(links)
     rounds: list[DataFrame] = []
     while links.limit(1).count():
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("rank"), F.col(c).alias("id"))  # noqa: B023, E731
-        both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
-        best = both.groupBy("id").agg(F.min(rank("other")).alias("best"))
-        rounds.append(stored(best.select("id", F.least("best", rank("id"))["id"].alias("pick")), "picks"))
+        rank = lambda c: F.xxhash64(c, F.lit(len(rounds)))  # noqa: B023, E731
+        stars = links.select("a", "b", rank("a").alias("rank_a"), rank("b").alias("rank_b")).mapInArrow(_forests, "a long, b long")
+        both = stars.select(F.col("a").alias("id"), F.col("b").alias("other")).union(stars.select("b", "a"))
+        best = both.groupBy("id").agg(F.min(rank("other")).alias("rank"), F.min_by("other", rank("other")).alias("other"))
+        rounds.append(stored(best.select("id", F.when(F.col("rank") < rank("id"), F.col("other")).otherwise(F.col("id")).alias("pick")), "picks"))
         one, two = (rounds[-1].select(F.col("id").alias(c), F.col("pick").alias(f"pick_{c}")) for c in "ab")
-        links = reduced(links.join(one, "a").join(two, "b").select(F.col("pick_a").alias("a"), F.col("pick_b").alias("b")), len(rounds))
+        links = _distinct(stars.join(one, "a").join(two, "b").select(F.col("pick_a").alias("a"), F.col("pick_b").alias("b")))
     if not rounds:
         return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
     found = rounds[-1]
@@ -63,4 +59,8 @@ def components(links: DataFrame) -> DataFrame:
         top = found.select(F.col("id").alias("pick"), F.col("pick").alias("top"))
         found = picks.join(top, "pick", "left").select("id", F.coalesce("top", "pick").alias("pick"))
     least = found.groupBy("pick").agg(F.min("id").alias("component"))
-    return found.join(least, "pick").select("id", "component")
+    return stored(found.join(least, "pick").select("id", "component"), "components")
+
+
+def _distinct(links: DataFrame) -> DataFrame:
+    return stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
