@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .steps import stored
 
+FOREST = 10_000  #: links that a task turns into stars at a time
+
 
 def _forests(batches):
     """Rows (a, b, rank_a, rank_b) to the links (a, b) of stars that join the same ids: within each batch, around the id of least rank."""
@@ -44,9 +46,9 @@ def components(links: DataFrame) -> DataFrame:
 
     links = _distinct(links)
     rounds: list[DataFrame] = []
-    while links.limit(1).count():
+    while count := links.count():
         rank = lambda c: F.xxhash64(c, F.lit(len(rounds)))  # noqa: B023, E731
-        stars = links.select("a", "b", rank("a").alias("rank_a"), rank("b").alias("rank_b")).mapInArrow(_forests, "a long, b long")
+        stars = links.coalesce(-(-count // FOREST)).select("a", "b", rank("a").alias("rank_a"), rank("b").alias("rank_b")).mapInArrow(_forests, "a long, b long")
         both = stars.select(F.col("a").alias("id"), F.col("b").alias("other")).union(stars.select("b", "a"))
         best = both.groupBy("id").agg(F.min(rank("other")).alias("rank"), F.min_by("other", rank("other")).alias("other"))
         rounds.append(stored(best.select("id", F.when(F.col("rank") < rank("id"), F.col("other")).otherwise(F.col("id")).alias("pick")), "picks"))
