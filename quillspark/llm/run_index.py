@@ -16,7 +16,7 @@ The run of windows with one anchor is a *context*.
      hash instead, which is exact as well.
 Lineage is cut by written tables; no step keeps a document's repeats anywhere but in its own row.
 doc_id is the key of a document: rows that repeat it must repeat its text, and are then repeats of
-each other.  Rows with a null doc_id are left out, and other columns are not read.
+each other.  Rows with a null doc_id take no part and are returned whole, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -248,6 +248,7 @@ def _keeps(least_bytes: int, over_words: int | None):
 
 
 def _kept(batches, goes):
+    """Rows (row, text, spans) to (row, n_bytes, n_removed, n_spans, kept)."""
     for batch in batches:
         for part in tc.slices(batch, "text"):
             rows = []
@@ -267,11 +268,8 @@ def _kept(batches, goes):
                 kept = b"".join([*kept, data[at:].tobytes()])
                 rows.append((len(data), len(data) - len(kept), len(runs), kept))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
-            names = [n for n in part.schema.names if n != "spans"]
-            yield pa.record_batch(
-                [*(part.column(n) for n in names), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())],
-                names=[*names, "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+            numbers = [pa.array(c, pa.int64()) for c in cols[:3]]
+            yield pa.record_batch([part.column("row"), *numbers, pa.array(cols[3], pa.binary())], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def repeat_spans(documents: DataFrame, length: int = 400, anchor: int = ANCHOR) -> DataFrame:
@@ -296,27 +294,30 @@ def repeat_spans(documents: DataFrame, length: int = 400, anchor: int = ANCHOR)
 
 
 def drop_repeats(documents: DataFrame, length: int = 400, anchor: int = ANCHOR, least_bytes: int = 0, over_words: int | None = None) -> DataFrame:
-    """The documents with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes left, joined).
+    """One row per document: row (a struct of all its columns but the text), n_bytes, n_removed, n_spans (maximal removed
+    runs) and kept (the bytes left, joined).
 
-    An empty table, empty and null texts, and texts shorter than `length` lose nothing.  Input columns named
-    n_bytes, n_removed, n_spans, kept or spans are replaced.  Of the runs, only those of least_bytes bytes or, if given, of
-    more than over_words words go."""
+    An empty table, empty and null texts, and texts shorter than `length` lose nothing.  Rows with a null doc_id
+    take no part and stay whole.  Of the runs, only those of least_bytes bytes or, if given, of more than over_words words go."""
     spans = repeat_spans(documents, length, anchor)
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    docs = documents.drop("n_bytes", "n_removed", "n_spans", "kept", "spans").filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
+    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("spans")).withColumnRenamed("doc_id", "id")
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns if c != "text"), F.col("text").isNull().alias("text"))
+    docs = documents.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
     added = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept", BinaryType())]
-    schema = StructType([*docs.schema.fields, *added])
-    return docs.join(by_doc, "doc_id", "left").mapInArrow(_keeps(least_bytes, over_words), schema)
+    return docs.join(by_doc, "id", "left").select("row", "text", "spans").mapInArrow(_keeps(least_bytes, over_words), StructType([docs.schema["row"], *added]))
 
 
 def texts_without_repeats(documents: DataFrame, length: int = 400, anchor: int = ANCHOR, least_bytes: int = 0, over_words: int | None = None) -> DataFrame:
     """The documents, all of them, with the text that is left; a character that was cut apart goes as a whole.
 
-    Rows with a null doc_id keep their text."""
-    named = documents.filter("doc_id is not null")
-    cut = drop_repeats(named, length, anchor, least_bytes, over_words)
-    left = F.when(F.col("text").isNull(), None).when(F.col("n_removed") == 0, F.col("text")).otherwise(_whole_characters("kept"))
-    return cut.select(*(left.alias(c) if c == "text" else F.col(c) for c in documents.columns)).union(documents.filter("doc_id is null"))
+    Columns may have any name.  Rows with a null doc_id keep their text."""
+    cut = drop_repeats(documents, length, anchor, least_bytes, over_words)
+    return cut.select(*(_left().alias(c) if c == "text" else F.col(f"row.`{c}`") for c in documents.columns))
+
+
+def _left():
+    """The text that is left; null if there was none."""
+    return F.when(F.col("row.text"), F.lit(None).cast("string")).when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(_whole_characters("kept"))
 
 
 def _whole_characters(kept: str):
@@ -327,5 +328,6 @@ def _whole_characters(kept: str):
 
 
 def repeat_digest(documents: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes kept."""
-    return drop_repeats(documents.select("doc_id", "text"), length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_bytes, n_removed, n_spans, the SHA-256 of the bytes kept, and the text that is left."""
+    cut = drop_repeats(documents.select("doc_id", "text"), length)
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), _left().alias("text"))

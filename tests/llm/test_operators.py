@@ -116,6 +116,9 @@ def test_repeats(spark, corpus, group, monkeypatch):
     got = run_index.repeat_digest(frame(spark, rows), 400).collect()
     want = brute_repeats(rows, 400)
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((i, *w) for (i, _), w in zip(rows, want))
+    texts = dict(rows)
+    for r in got:
+        assert r.text == texts[r.doc_id] if not r.n_removed else len(r.text.encode()) <= r.n_bytes - r.n_removed
     assert run_index.repeat_digest(frame(spark, []), 400).count() == 0
 
 
@@ -141,6 +144,23 @@ def test_texts_without_repeats_keep_whole_characters(spark):
     assert got == {1: "x�", 2: "éend", 3: None, 4: "short"}  # the first byte of ß ends a string that repeats
 
 
+CLASHES = "nodes spans kept score predicted _keys _host row id rep component cell node n_bytes n_removed n_spans first end n sig"
+
+
+def test_any_column_name(spark):
+    """Columns that are named like inner ones come through as they are, also of rows without an id."""
+    names = CLASHES.split()
+    common = "same " * 100
+    rows = [(1, common + "one", *names), (2, common + "two", *names), (None, common, *names), (3, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    got = run_index.texts_without_repeats(docs, 400).collect()
+    assert {r.doc_id: r.text for r in got} == {1: "one", 2: "two", None: common, 3: None}
+    assert all(r[2:] == tuple(names) for r in got) and len(got) == 4
+    near = {r.doc_id: (r.component_id, r.kept) for r in chosen_path.near_duplicates(docs, 4, 80).collect()}
+    assert near == {1: (1, True), 2: (2, True), None: (None, True), 3: (3, True)}
+    assert sorted((r.n_bytes, r.n_removed) for r in run_index.repeat_digest(docs, 400).collect() if r.doc_id is None) == [(500, 0)]
+
+
 def test_containment(spark, corpus):
     rng = random.Random(8)
     long = next(t for i, t in corpus if i == 116)
