@@ -9,7 +9,7 @@ Each stage takes all that the one before kept; all but the last give the columns
   pieces           subword ids, their number, and whether they decode to the text again
 
 Empty and null texts pass all stages.  Rows with a null doc_id can't be grouped or matched and pass the
-stages that need an id; rows that repeat a doc_id are copies, and one stays.  Extra columns are carried along.
+stages that need an id; rows that repeat a doc_id are copies, and the least of them stays.  Extra columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -30,12 +30,15 @@ FOUND_ANCHOR = 32
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(*docs.columns)
+    row = F.struct(*(f"`{c}`" for c in docs.columns if c != "text"))  # so that columns may have any name
+    scored = toxicity.toxicity(docs.select(row.alias("row"), "doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.filter("predicted = 0").select(*("text" if c == "text" else f"row.`{c}`" for c in docs.columns))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = chosen_path.near_duplicates(docs, shingle=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null"))
+    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*(f"`{c}`" for c in docs.columns))).alias("row"))
+    return rows.select("row.*").union(docs.filter("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
