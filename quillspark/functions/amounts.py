@@ -22,7 +22,7 @@ def normalize_amount(raw: Column) -> Column:
     clean = trim(F.regexp_replace(F.regexp_replace(cut(raw, r"\bBs\.?\s*"), "[$€£¥]", ""), r"\s+", " "))
     marked = lambda bare: F.struct(bare.alias("t"), _count(bare, ".").alias("dots"), _count(bare, ",").alias("commas"))
     value = let(let(F.regexp_replace(clean, "[-−]", ""), marked), lambda m: prefix_number(F.regexp_replace(_plain(m), "[^0-9.]", "")))
-    minus = lambda s: s.startswith("-") | s.startswith("−") | (s.contains("-") & ~has(s, r"\d\s*-\s*\d"))
+    minus = lambda s: s.startswith("-") | s.startswith("−") | (s.contains("-") & ~has(s, r"\d-\d"))
     return let(clean, lambda s: F.when(has(s, r"\d"), value * F.when(minus(s), -1.0).otherwise(1.0)))
 
 
@@ -68,9 +68,11 @@ def last(values: Column) -> Column:
 
 
 def first_amount(text: Column, patterns: list[str], flags: str = "im") -> Column:
-    """The first pattern in order whose first match is a positive amount with two decimals at least."""
-    raws = F.filter(F.array(*(first(text, p, flags=flags) for p in patterns)), lambda r: r.isNotNull() & r.rlike(r"[.,]\d{2}"))
-    return F.get(F.filter(F.transform(raws, normalize_amount), lambda x: x > 0), 0)
+    """The first pattern in order whose first match is a positive amount with two decimals at least; later ones are not tried.
+
+    A match is positive if it holds a digit other than 0, as every digit of a match counts."""
+    fits = lambda r: F.when(r.rlike(r"[.,]\d{2}") & r.rlike("[1-9]"), r)
+    return normalize_amount(F.coalesce(*(let(first(text, p, flags=flags), fits) for p in patterns)))
 
 
 def compute_fields(f: dict[str, Column]) -> dict[str, Column]:

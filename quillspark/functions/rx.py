@@ -6,6 +6,8 @@ Java differs from that."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ _SPACE = r"\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{2
 
 def rx(pattern: str, flags: str = "i") -> str:
     """A pattern for Spark; flags: i (ignore case), m (^ and $ at lines)."""
-    out = pattern.replace(r"\b", _EDGE)
+    # beside a letter or digit of the pattern itself one look is enough
+    out = re.sub(r"\\b(?=[A-Za-z0-9])", r"(?<!\\w)", pattern)
+    out = re.sub(r"(?<=[^\\][A-Za-z0-9])\\b", r"(?!\\w)", out).replace(r"\b", _EDGE)
     if "m" not in flags and out.endswith("$"):
         out = out[:-1] + r"\z"
     return ("(?iu)" if "i" in flags else "") + ("(?m)" if "m" in flags else "") + out

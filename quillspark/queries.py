@@ -152,9 +152,11 @@ def parser_overlay(spark, d):
 
 
 def ai_merge(spark, d):
-    rows = receipts(spark, d).filter("total < 100000").withColumns({"r": fields.rules(_t()), "ai": structure.mock(_t())})
+    """The merge of rules and mock over every receipt: money is the mock's wherever it reads any, the rest the rules'."""
+    rows = receipts(spark, d).withColumns({"r": fields.rules(_t()), "ai": structure.mock(_t())})
     got = structure.merge({f: F.col("r")[f] for f in country.FIELDS}, F.col("ai"))
-    return rows.select("k", _cents(got["amount"]).alias("amount"), got["vendor_name"].alias("vendor_name"), got["currency"].alias("currency"))
+    money = (_cents(got[c]).alias(c) for c in ("amount", "subtotal", "tax"))
+    return rows.select("k", *money, got["date"].alias("date"), got["invoice_number"].alias("invoice"), F.get(got["vendor_ids"], 0).alias("vendor_id"), got["vendor_name"].alias("vendor_name"), got["currency"].alias("currency"))
 
 
 def ai_merge_all(spark, d):
@@ -215,7 +217,7 @@ def _start(line, i):
 def page_combine(spark, d):
     k = F.col("l_orderkey")
     pages = table(spark, d, "lineitem").select(k.alias("doc_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("page"), F.when(F.col("l_linenumber") % 3 == 0, "  ").otherwise(F.concat(F.lit(" part "), F.col("l_partkey").cast("string"))).alias("text"), (F.col("l_quantity") / 100).alias("confidence"))
-    return layout.combine_pages(pages).select("doc_id", "text", F.floor(F.col("confidence") * 10000 + 0.5).cast("long").alias("confidence"), "n_pages")
+    return layout.combine_pages(pages).select("doc_id", "text", F.floor(F.col("confidence").cast("decimal(22,10)") * 10000 + F.lit("0.5").cast("decimal(2,1)")).cast("long").alias("confidence"), "n_pages")
 
 
 def _stored(spark, d):
@@ -289,6 +291,25 @@ def _money(c: str) -> str:
     return f"format('{{:,}}', CAST({c} // 100 AS BIGINT)) || '.' || lpad(CAST({c} % 100 AS VARCHAR), 2, '0')"
 
 
+def _mocked(c: str) -> str:
+    """What the mock reads of an amount in cents: the first group of digits and the first two digits of the next."""
+    return f"CASE WHEN {c} < 100000 THEN {c} WHEN {c} < 100000000 THEN {c} // 1000 WHEN {c} < 100000000000 THEN {c} // 1000000 ELSE {c} // 1000000000 END"
+
+
+#: i: the item lines of each receipt, in order; w: each receipt's whole text
+_I = f""", i AS (SELECT l_orderkey AS k, l_linenumber, l_partkey, q, cents, 'Pieza modelo ' || l_partkey || '  ' || q || '  ' || {_money('(cents // q)')} || '  ' || {_money('cents')} AS line
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INTEGER) AS q, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents FROM lineitem JOIN orders ON o_orderkey = l_orderkey))
+"""
+_MONTH = "['enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio', 'julio', 'agosto', 'septiembre', 'octubre', 'noviembre', 'diciembre'][month(day)]"
+_W = f"""{_I}, g AS (SELECT k, string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, q, cents) AS items FROM i GROUP BY 1),
+w AS (SELECT o.k, concat_ws(chr(10), {_HEAD.replace('CAST(k', 'CAST(o.k')}, 'RUC: ' || {_RUC.replace('k %', 'o.k %')}, 'Factura Nro: ' || {_INV.replace('CAST(k', 'CAST(o.k')},
+  CASE o.k % 5 WHEN 0 THEN 'Fecha: ' || strftime(day, '%d/%m/%Y') WHEN 1 THEN strftime(day, '%Y-%m-%d') WHEN 2 THEN day(day) || '-' || month(day) || '-' || year(day) WHEN 3 THEN day(day) || ' de ' || {_MONTH} || ' de ' || year(day) ELSE 'fecha ' || day(day) || ' - ' || month(day) || ' - ' || year(day) END,
+  'Cliente: ' || c_name, 'NIT: ' || {_NIT}, items, 'Subtotal: ' || {_money('sub')}, CASE WHEN tax = 0 THEN 'IVA exento' ELSE 'IVA ' || pct || '%: ' || {_money('tax')} END,
+  ['Total a pagar: ', 'TOTAL: ', 'Importe total: ', 'Grand Total: '][(o.k // 4) % 4 + 1] || {_money('total')},
+  ['Pagado con tarjeta', 'Pago en efectivo', 'Pago por transferencia', 'Gracias por su compra'][o.k % 4 + 1]) AS text FROM o JOIN g ON g.k = o.k)
+"""
+
+
 def _itemless_keywords() -> str:
     """Keyword account of a rendered receipt: none of its words is a keyword but `tienda`s; it falls back to the first expense account."""
     return "'Aseo/Limpieza'"
@@ -314,7 +335,10 @@ def oracle_sql() -> dict[str, str]:
         "payment_methods": _O + f"SELECT {_PAY} AS method, count(*) AS n FROM o GROUP BY 1",
         "currency_detect": "SELECT c_custkey, CASE c_nationkey % 10 WHEN 0 THEN 'VES' WHEN 1 THEN 'PAB' WHEN 2 THEN 'EUR' WHEN 3 THEN 'USD' WHEN 4 THEN 'MXN' WHEN 5 THEN 'COP' WHEN 6 THEN 'ARS' WHEN 7 THEN 'CLP' WHEN 8 THEN 'PEN' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'EUR' ELSE 'USD' END END AS currency FROM customer",
         "line_items": "SELECT l_orderkey AS k, 'Pieza modelo ' || CAST(l_partkey AS VARCHAR) AS description, CAST(l_quantity AS INTEGER) AS quantity, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
-        "total_candidates": _O + f"SELECT k, sub AS cents, 'subtotal' AS role FROM o UNION ALL SELECT k, total, {label} FROM o UNION ALL SELECT k, cents, 'ambiguous' FROM (SELECT DISTINCT l_orderkey AS k, cents, 'Pieza modelo ' || CAST(l_partkey AS VARCHAR) || '  ' || CAST(q AS VARCHAR) || '  ' || {_money('(cents // q)')} || '  ' || {_money('cents')} AS line FROM (SELECT l_orderkey, l_partkey, CAST(l_quantity AS INTEGER) AS q, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents FROM lineitem JOIN orders ON o_orderkey = l_orderkey)) WHERE regexp_matches(line, '\\b(7074[1]|771|707)\\b') UNION ALL SELECT k, k % 2000 * 100, 'ambiguous' FROM o WHERE k % 2000 IN (707, 771)",
+        # beside the subtotal and the total, any line in which a group of digits reads as one of the words
+        "total_candidates": _O + _I + f""", x AS (SELECT k, 'RUC: ' || {_RUC} AS line, CASE WHEN k % 2000 > 0 THEN k % 2000 ELSE 2 END * 100 AS cents FROM o UNION ALL SELECT k, 'Factura Nro: ' || {_INV}, k * 100 FROM o UNION ALL SELECT k, 'Cliente: ' || c_name, o_custkey * 100 FROM o UNION ALL SELECT k, 'NIT: ' || {_NIT}, 100 FROM o
+UNION ALL SELECT k, line, cents FROM i UNION ALL SELECT k, 'IVA ' || pct || '%: ' || {_money('tax')}, tax FROM o WHERE tax > 0)
+SELECT k, sub AS cents, 'subtotal' AS role FROM o UNION ALL SELECT k, total, {label} FROM o UNION ALL SELECT k, cents, 'ambiguous' FROM (SELECT DISTINCT k, line, cents FROM x) WHERE regexp_matches(line, '\\b(70741|707|771)\\b')""",
         "subtotal_candidates": _O + "SELECT k, sub AS cents FROM o",
         "tax_candidates": _O + "SELECT k, tax AS cents FROM o WHERE tax > 0",
         "labeled_fields": _O + f"SELECT k, 'RUC' AS label, {_RUC} AS value FROM o UNION ALL SELECT k, 'NIT', {_NIT} FROM o UNION ALL SELECT k, 'Cliente', c_name FROM o",
@@ -329,15 +353,18 @@ def oracle_sql() -> dict[str, str]:
         "compute_missing": _O + f", m AS (SELECT k, {m_amount} AS a, {m_sub} AS s, {m_tax} AS t, {m_pct} AS p FROM o) SELECT k, coalesce(a, CASE WHEN s IS NOT NULL AND t IS NOT NULL THEN s + t WHEN s IS NOT NULL AND p IS NOT NULL THEN s + CAST(floor(CAST(floor(s * p / 100.0 + 0.5) AS BIGINT)) AS BIGINT) END) AS amount, coalesce(s, CASE WHEN a IS NOT NULL AND t IS NOT NULL THEN CASE WHEN t > 0 AND a > t THEN a - t END WHEN a IS NOT NULL AND p IS NOT NULL THEN CASE WHEN p = 0 THEN a ELSE CAST(floor(a / (1 + p / 100.0) + 0.5) AS BIGINT) END END) AS subtotal, coalesce(t, CASE WHEN a IS NOT NULL AND s IS NOT NULL THEN CASE WHEN a - s >= 0 THEN a - s END WHEN s IS NOT NULL AND p IS NOT NULL THEN CAST(floor(s * p / 100.0 + 0.5) AS BIGINT) WHEN a IS NOT NULL AND p IS NOT NULL THEN CASE WHEN p = 0 THEN 0 ELSE a - CAST(floor(a / (1 + p / 100.0) + 0.5) AS BIGINT) END END) AS tax FROM m",
         "reconcile": _O + f", m AS (SELECT k, {m_amount} AS a, {m_sub} AS s, {m_tax} AS t, {m_pct} AS p FROM o) SELECT k, CASE WHEN a IS NOT NULL THEN CASE WHEN s IS NOT NULL THEN s WHEN t IS NOT NULL AND a - t > 0 THEN a - t END END AS subtotal, CASE WHEN a IS NOT NULL THEN CASE WHEN t IS NOT NULL THEN t WHEN s IS NOT NULL THEN CASE WHEN p IS NOT NULL THEN CAST(floor(s * p / 100.0 + 0.5) AS BIGINT) WHEN a - s >= 0 THEN a - s END END END AS tax FROM m",
         "parser_overlay": _O + "SELECT k, CASE k % 3 WHEN 0 THEN 'generic' WHEN 1 THEN 'generic + panama' ELSE 'generic + seniat' END AS parser, total, CASE k % 3 WHEN 0 THEN 'Tienda Central ' WHEN 1 THEN 'Bodega Canal ' ELSE 'Inversiones Orinoco ' END || CAST(k % 50 AS VARCHAR) AS vendor_name, CASE k % 3 WHEN 1 THEN '8-' || CAST(k % 1000 + 100 AS VARCHAR) || '-' || CAST(k AS VARCHAR) WHEN 2 THEN 'J-' || lpad(CAST(k % 100000000 AS VARCHAR), 8, '3') || '-5' END AS vendor_id, CASE k % 3 WHEN 1 THEN CAST(k + 1 AS VARCHAR) WHEN 2 THEN 'A' || lpad(CAST(k AS VARCHAR), 8, '0') END AS invoice, CASE k % 3 WHEN 1 THEN 'PAB' WHEN 2 THEN 'VES' END AS currency FROM o",
-        "ai_merge": _O + f"SELECT k, CASE WHEN sub < 100000 THEN sub ELSE CAST(sub / 1000 AS BIGINT) END AS amount, {_HEAD} AS vendor_name, 'USD' AS currency FROM o WHERE total < 100000",
+        # without a tax the mock takes the next number behind `IVA`, the total, for it
+        "ai_merge": _O + f"SELECT k, {_mocked('sub')} AS amount, sub AS subtotal, CASE WHEN tax > 0 THEN tax ELSE {_mocked('total')} END AS tax, {_DAY} AS date, {_INV} AS invoice, {_RUC} AS vendor_id, {_HEAD} AS vendor_name, 'USD' AS currency FROM o",
         # the mock's number is the first group and the first two digits of the next: 1,234.56 is read as 1.23, 1,234,567.89 too
         "ai_merge_all": _O + f"SELECT k, CASE WHEN sub < 100000 THEN sub WHEN sub < 100000000 THEN sub // 1000 WHEN sub < 100000000000 THEN sub // 1000000 ELSE sub // 1000000000 END AS amount, {_HEAD} AS vendor_name, 'USD' AS currency FROM o",
         "ai_json_validate": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 100 + 0.5::DOUBLE END AS amount, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 2 = 0 THEN '12.5' END AS vendor_name, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 3 = 0 THEN 'EUR' END AS currency, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 5 = 0 THEN 'income' ELSE 'expense' END AS type, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 30 BETWEEN 1 AND 17 THEN CAST(o_orderkey % 30 AS INTEGER) END AS category, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 2 = 0 THEN 'CARD' END AS payment_method FROM orders",
         "categorize_keywords": f"WITH a(id, name, type) AS (VALUES {accounts}), w(prio, kw, name) AS (VALUES {keys}), h AS (SELECT p_partkey, lower(p_name || ' ' || CASE p_partkey % {len(_WORDS)} {words} END) AS hay FROM part), m AS (SELECT p_partkey, arg_min(a.id, prio) AS category, arg_min(a.name, prio) AS category_name FROM h JOIN w ON contains(hay, kw) JOIN a ON a.name = w.name GROUP BY 1) SELECT h.p_partkey, category, category_name FROM h LEFT JOIN m ON m.p_partkey = h.p_partkey",
         "vendor_name_documents": f"WITH x AS (SELECT doc_id, ({full})[1:10] AS ls FROM documents), y AS (SELECT doc_id, list_filter(ls, lambda x: length(x) BETWEEN 4 AND 80 AND NOT regexp_matches(x, '(?i){skip}') AND NOT regexp_matches(x, '(?i)^(DC\\d+|POS[\\-\\s]?\\d*|TERM[\\-\\s]?\\d+|CAJA\\s*\\d+|REG\\s*\\d+|TML\\s*\\d+|[A-Z]{{1,3}}\\d{{1,4}})$') AND NOT regexp_matches(x, '^[\\d\\s\\-/\\\\.,;:()+]+$') AND NOT regexp_matches(x, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') AND NOT (regexp_matches(x, '^\\d+\\s+\\w{{1,4}}\\.?\\s') AND len(string_split(x, ' ')) <= 4) AND regexp_matches(x, '[a-záéíóúñA-ZÁÉÍÓÚÑ]{{3,}}')) AS ok FROM x) SELECT doc_id, trim(regexp_replace(ok[1], '[,;:.]+$', '')) AS name FROM y",
         "useful_documents": f"SELECT doc_id, len(list_filter({full}, lambda x: length(x) > 3)) >= 3 AND regexp_matches(text, '\\d{{2}}') AND regexp_matches(text, '(?i)[a-záéíóúñ]{{3}}') AS useful FROM documents",
+        "ocr_score": _O + _W + "SELECT k, CAST(floor((0.9::DOUBLE * 10 + len(regexp_extract_all(text, '[0-9]{1,3}(?:[.,][0-9]{3})*[.,][0-9]{2}')) * 5 + len(regexp_extract_all(text, '(?i)\\b(total|subtotal|iva|factura|ruc|nit)\\b')) * 10 + len(regexp_extract_all(text, '(?i)\\b(ruc|nit)\\b')) * 10 + least(length(text) / 100.0::DOUBLE, 10.0::DOUBLE)) * 1000 + 0.5) AS BIGINT) AS score FROM w",
+        "layout_lines": _O + _W + "SELECT k, text FROM w",
         "best_variant": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_discount) AS i, l_quantity >= 40.0 AND l_discount >= 0.06 AS good FROM lineitem), g AS (SELECT l_orderkey, min(CASE WHEN good THEN i END) AS first_good, max(l_quantity) AS top FROM r GROUP BY 1), t AS (SELECT r.l_orderkey, min(i) AS best FROM r JOIN g ON g.l_orderkey = r.l_orderkey AND r.l_quantity = g.top GROUP BY 1) SELECT r.l_orderkey, r.l_linenumber AS at, r.l_partkey AS part FROM r JOIN g ON g.l_orderkey = r.l_orderkey JOIN t ON t.l_orderkey = r.l_orderkey WHERE r.i = coalesce(g.first_good, t.best)",
-        "page_combine": "SELECT l_orderkey AS doc_id, string_agg('part ' || CAST(l_partkey AS VARCHAR), chr(10) || chr(10) ORDER BY l_linenumber * 1000000 + l_partkey) AS text, CAST(floor(avg(l_quantity / 100) * 10000 + 0.5) AS BIGINT) AS confidence, count(*) AS n_pages FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY 1",
+        "page_combine": "SELECT l_orderkey AS doc_id, string_agg('part ' || CAST(l_partkey AS VARCHAR), chr(10) || chr(10) ORDER BY l_linenumber * 1000000 + l_partkey) AS text, CAST((200 * sum(CAST(l_quantity AS BIGINT)) + count(*)) // (2 * count(*)) AS BIGINT) AS confidence, count(*) AS n_pages FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY 1",
         "list_receipts": _O + "SELECT k AS id, day AS created_at FROM o ORDER BY day DESC, k LIMIT 100",
         "reparse_append": _O + "SELECT CAST(k AS VARCHAR) AS id, 'first' AS kind, total FROM o UNION ALL SELECT CAST(k AS VARCHAR) || 'r', 'again', total FROM o WHERE k % 10 = 0",
         "history_rows": _O + f"SELECT k AS id, CASE WHEN k % 2 = 0 THEN c_name ELSE 'a.pdf' END AS name, '—' AS date, 'Sin categoría' AS category, translate({_money('total')}, ',.', '.,') || CASE WHEN k % 3 = 0 THEN ' €' ELSE ' $' END AS amount FROM o",

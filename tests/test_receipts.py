@@ -14,8 +14,8 @@ from quillspark.streaming import ingest
 def _t():
     return F.col("t")
 CASES = [
-    (amounts.normalize_amount, [("1,234.56", 1234.56), ("1.234,56", 1234.56), ("1.000", 1000), ("1,000", 1000), ("500,00", 500), ("1.2345", 1.2345), (".50", 0.5), ("12.", 12), (".", None), ("", None), ("abc", None), ("€$", None), ("Bs. 3.500,25", 3500.25), ("-12,50", -12.5), ("12abc", 12), ("1.234,56,78", 1234.5678), (None, None)]),
-    (fields.total, [("total: $12.50", 12.5), ("TOTAL A PAGAR 1.234,56", 1234.56), ("total\n45.00", 45), ("Total Neto 10.00", None), ("nothing", None), ("total 100", None), ("Sub Total: 3.00\nTotal: 4.00", 4)]),
+    (amounts.normalize_amount, [("1,234.56", 1234.56), ("1.234,56", 1234.56), ("1.000", 1000), ("1,000", 1000), ("500,00", 500), ("1.2345", 1.2345), (".50", 0.5), ("12.", 12), (".", None), ("", None), ("abc", None), ("€$", None), ("Bs. 3.500,25", 3500.25), ("-12,50", -12.5), ("12 - 5", -125), ("12-5", 125), ("12abc", 12), ("1.234,56,78", 1234.5678), (None, None)]),
+    (fields.total, [("total: $12.50", 12.5), ("TOTAL A PAGAR 1.234,56", 1234.56), ("total\n45.00", 45), ("Total Neto 10.00", None), ("nothing", None), ("total 100", None), ("Sub Total: 3.00\nTotal: 4.00", 4), ("grand total 0.00\namount due 7.00", 7)]),
     (fields.subtotal, [("base imponible: 80.00", 80), ("neto: 90.00", 90), ("subtotal500", 500), ("subtotal 500€", 500), ("Sub total 1,000.50", 1000.5), ("x", None)]),
     (fields.tax, [("iva 12%: 12.00", 12), ("iva 21% 105€", 105), ("iva (21%): 105", 105), ("IVA exento", 0), ("ITBMS 0.00", 0), ("x 5.00", None)]),
     (fields.tax_percentage, [("iva 12%", 12), ("total con 19% de iva", 19), ("ITBMS 7%", None)]),
