@@ -314,7 +314,7 @@ def media(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in tc.slices(batch, "text"):
+            for part in tc.slices(batch, "text", 1 << 20):
                 data, at = tc.column_bytes(part.column("text"))
                 made = [encode(padded(data[at[i] : at[i + 1]].tobytes())) for i in range(part.num_rows)]
                 yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(at)), pa.array(made, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -337,26 +337,25 @@ def tensors(stored: DataFrame) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary")
 
 
-def media_digest(documents: DataFrame) -> DataFrame:
-    """The digests of payload, stored form and tensor of each text.  Each picture is stored, read back and let go in turn,
-    in one Python worker, so that a task holds a slice of texts and one picture."""
+def media_digest(stored: DataFrame) -> DataFrame:
+    """The digests of payload, stored form and tensor of the rows of media(), all from the stored bytes.
+
+    One picture is decoded at a time, and its tensor goes before the next."""
 
     def run(batches):
         for batch in batches:
-            for part in tc.slices(batch, "text", 1 << 20):
-                data, at = tc.column_bytes(part.column("text"))
+            for part in tc.slices(batch, "media", 1 << 20):
                 rows = []
                 for i in range(part.num_rows):
-                    jpeg = encode(padded(data[at[i] : at[i + 1]].tobytes()))
+                    jpeg = part.column("media")[i].as_py()
                     p = Picture(jpeg)
                     back = p.payload()
                     rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(jpeg), hashlib.sha256(jpeg).hexdigest(), feature(p.rgb())))
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(np.diff(at)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
+                    [part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
                     names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
                 )
 
-    docs = documents.select(F.col("doc_id").cast("long"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

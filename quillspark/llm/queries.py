@@ -35,7 +35,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg.media_digest(table(spark, sf_dir, "documents"))
+    return jpeg.media_digest(jpeg.media(table(spark, sf_dir, "documents")))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillspark.llm import chosen_path, components, containment, jpeg, language, pieces, run_index, style_tree, toxicity, url_cascade
+from quillspark.llm import chosen_path, components, containment, jpeg, language, pieces, run_index, steps, style_tree, toxicity, url_cascade
 from quillspark.llm import textcodes as tc
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ru", "te") for b in ("n", "rp", "sta", "vel", "")]
@@ -294,16 +294,20 @@ def test_jpeg(spark, monkeypatch):
     made = jpeg.encode(payload)
     assert jpeg.Picture(made).payload() == payload == Slow(made).payload()
     rows = [(1, "hello"), (2, None), (3, ""), (4, "hello"), (5, "é" * 5000), (6, "x" * 64)]
-    got = {r.doc_id: r for r in jpeg.media_digest(frame(spark, rows)).collect()}
+    table = steps.stored(jpeg.media(frame(spark, rows)), "media")
+    got = {r.doc_id: r for r in jpeg.media_digest(table).collect()}
     for i, t in rows:
         raw = (t or "").encode()
         pad = raw + bytes(-len(raw) % 64 if raw else 64)
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
     assert got[1][2:] == got[4][2:] and got[2][1:] == got[3][1:]
-    full = jpeg.tensors(jpeg.media(frame(spark, rows))).collect()
+    full = jpeg.tensors(table).collect()
     assert all(len(r.rgb) == 3 * r.height * r.width for r in full)
-    assert jpeg.media_digest(frame(spark, [])).count() == 0
+    for r in full:
+        jpg = next(m.media for m in table.filter(f"doc_id = {r.doc_id}").collect())
+        assert (got[r.doc_id].media_bytes, got[r.doc_id].media_sha256) == (len(jpg), hashlib.sha256(jpg).hexdigest())
+    assert jpeg.media_digest(jpeg.media(frame(spark, []))).count() == 0
 
 
 def test_idct_matches_the_definition():
