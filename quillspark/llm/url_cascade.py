@@ -17,7 +17,6 @@ what is sent to the tasks.  The universe is never shuffled, only what passes lev
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +25,12 @@ from .steps import stored
 
 MAX_BYTES = 64 << 20
 BUCKET_BITS = 32_768  #: of Spark's bitmap functions
+RATE = 1 / 16  #: of false positives of the levels after the first
 
-#: The rules of the query, and keys that its list blocks where no rule fits.
+#: The rules of the query.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-LISTED = ("example.net/de/", "m.tiontion.example.com/en/")
+#: The query's list: host and path of every url of the table whose query holds this mark of a referral.
+LISTED_BY = "ref="
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -50,20 +51,25 @@ def split_key(key: str) -> tuple[str, str]:
 
 def candidates(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
     """The url's candidate keys, an array in which each comes once."""
-    keys = [F.when((F.length(path) >= k) & (host != ""), F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, k))) for n in labels for k in lengths]
-    return F.array_distinct(F.filter(F.array(F.lit(None).cast("string"), *keys), lambda k: k.isNotNull()))
+    parts = F.split(host, r"\.", -1)
+    ends = F.transform(F.filter(F.array(*map(F.lit, labels)), lambda n: n <= F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
+    begins = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= F.length(path)), lambda k: path.substr(F.lit(1), k))
+    keys = F.array_distinct(F.flatten(F.transform(ends, lambda e: F.transform(begins, lambda b: F.concat(e, b)))))
+    return F.when((host != "") & F.lit(bool(labels and lengths)), keys).otherwise(F.array().cast("array<string>"))
 
 
 class Level:
     """A Bloom filter: its bits as a binary value, tested by built-in functions."""
 
-    def __init__(self, bits: bytes, hashes: int, salt: int):
-        self.bits, self.hashes, self.salt = bits, hashes, salt
+    def __init__(self, bits: bytes, size: int, hashes: int, salt: int):
+        self.bits, self.size, self.hashes, self.salt = bits, size, hashes, salt
 
-    @staticmethod
-    def places(key: Column, size: int, hashes: int, salt: int) -> list[Column]:
-        """Places from 1 on, as Spark's bitmap functions count them."""
-        return [F.pmod(F.xxhash64(key, F.lit(salt * 64 + i)), F.lit(size).cast("long")) + 1 for i in range(hashes)]
+    def places(self, key: Column, use) -> Column:
+        """use(number) for the places of a key, from 1 on as Spark's bitmap functions count them: two hashes, and steps of the second."""
+        size = F.lit(self.size).cast("long")
+        start, step = (F.pmod(F.xxhash64(key, F.lit(2 * self.salt + i)), size - i) + i for i in (0, 1))
+        steps = F.sequence(F.lit(0), F.lit(self.hashes - 1))
+        return F.transform(F.array(F.struct(start.alias("a"), step.alias("b"))), lambda h: use(steps, lambda i: F.pmod(h["a"] + i * h["b"], size) + 1))[0]
 
     @classmethod
     def build(cls, keys: DataFrame, count: int, rate: float, salt: int) -> Level:
@@ -72,27 +78,27 @@ class Level:
         size = -(-size // 8) * 8
         if size // 8 > MAX_BYTES:
             raise ValueError(f"a filter of {size // 8} bytes is above the bound; split the list")
-        hashes = max(1, min(24, round(size / max(count, 1) * math.log(2))))
-        place = F.explode(F.array(*cls.places(F.col("key"), size, hashes, salt)))
+        level = cls(b"", size, max(1, min(24, round(size / max(count, 1) * math.log(2)))), salt)
+        place = F.explode(level.places(F.col("key"), F.transform))
         rows = keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket"))
         rows = rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()  # size / 8 bytes at most
         bits = bytearray(-(-size // BUCKET_BITS) * (BUCKET_BITS // 8) + BUCKET_BITS // 8)
         for r in rows:
             begin = (r["bucket"] - 1) * (BUCKET_BITS // 8)
             bits[begin : begin + len(r["bits"])] = r["bits"]
-        level = cls(bytes(bits), hashes, salt)
-        level.size = size
+        level.bits = bytes(bits[: -(-size // 8) + 1])
         return level
 
     def holds(self, key: Column) -> Column:
-        bits = F.lit(bytes(self.bits))
-        tests = []
-        for place in self.places(key, self.size, self.hashes, self.salt):
+        bits = F.lit(self.bits)
+
+        def set_(place: Column) -> Column:
             bit, bucket = F.bitmap_bit_position(place), F.bitmap_bucket_number(place)
             byte = ((bucket - 1) * (BUCKET_BITS // 8) + F.floor(bit / 8) + 1).cast("int")
             value = F.conv(F.hex(F.substring(bits, byte, F.lit(1))), 16, 10).cast("int")
-            tests.append(F.getbit(value, (bit % 8).cast("int")) == 1)
-        return reduce(lambda a, b: a & b, tests)
+            return F.getbit(value, (bit % 8).cast("int")) == 1
+
+        return self.places(key, lambda steps, place: F.forall(steps, lambda i: set_(place(i))))
 
 
 class Cascade:
@@ -120,7 +126,7 @@ class Cascade:
             found = outside.count()
             if not found:
                 return cls(levels)
-            level = Level.build(outside, found, 0.5 if len(levels) < 12 else 0.5 ** (len(levels) - 10), len(levels) + 1)
+            level = Level.build(outside, found, RATE, len(levels) + 1)
             levels.append(level)
             inside, outside = outside, stored(inside.filter(level.holds(F.col("key"))), "wrong")
 
@@ -132,37 +138,44 @@ class Cascade:
         return out
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], listed: list[str]) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame) -> DataFrame:
     """The pages with host, path, rule (the longest fitting one, else null) and verdict (its own, else block
-    if a listed key fits and allow if none does).  Columns of these names are replaced.
+    if a key of listed(key) fits and allow if none does).  Columns of these names are replaced; others may have any name.
 
+    Rules are few and their verdicts a literal map; the list may be large.  One cascade holds the keys of both.
     Null urls and urls without `://` have an empty host and path, fit nothing and are allowed.  Of two rules of one
-    length that fit, the one with the longer path wins; repeated rules and rows change nothing."""
+    length that fit, the one with the longer path wins; repeated rules, keys and rows change nothing; null keys and keys
+    without a `/` fit nothing."""
     spark = pages.sparkSession
     verdicts = dict((k, v) for v, k in rules)
-    every = [split_key(k) for k in {*verdicts, *listed}]
-    labels = sorted({h.count(".") + 1 for h, _ in every})
-    lengths = sorted({len(p) for _, p in every})
+    own = spark.createDataFrame([(k,) for k in verdicts], "key string")
+    keys = stored(listed.select("key").union(own).filter("instr(key, '/') > 0").distinct(), "keys")
+    at = F.instr("key", "/")
+    shape = keys.agg(F.collect_set(F.size(F.split(F.substring_index("key", "/", 1), r"\.", -1))).alias("labels"), F.collect_set(F.length("key") - at + 1).alias("lengths")).first()  # numbers below an url's length
     host, path = host_and_path(F.col("url"))
-    parsed = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    parsed = parsed.withColumn("_keys", candidates(F.col("host"), F.col("path"), labels, lengths))
-    universe = parsed.select(F.explode("_keys").alias("key"))
-
-    def cascade(keys) -> Cascade:
-        return Cascade.build(spark.createDataFrame([(k,) for k in keys], "key string"), universe)
-
-    # tests stand in lambdas: the generated code holds each cascade once, however many keys a url has
-    by_verdict = {v: cascade([k for k, w in verdicts.items() if w == v]) for v in sorted(set(verdicts.values()))}
-    ruled = F.filter("_keys", lambda k: reduce(lambda a, b: a | b, (c.holds(k) for c in by_verdict.values()), F.lit(False)))
-    out = parsed.withColumn("rule", F.array_max(F.transform(ruled, lambda k: F.struct(F.length(k).alias("length"), (F.length(k) - F.instr(k, "/")).alias("rest"), k.alias("rule"))))["rule"])
-    verdict = F.when(F.exists("_keys", cascade(listed).holds), "block").otherwise("allow")
-    for v, c in by_verdict.items():
-        verdict = F.when(F.exists(F.filter(F.array("rule"), lambda k: k.isNotNull()), c.holds), v).otherwise(verdict)
-    return out.withColumn("verdict", verdict).drop("_keys")
+    fits = candidates(host, path, sorted(shape["labels"]), sorted(shape["lengths"]))
+    cascade = Cascade.build(keys, pages.select(F.explode(fits).alias("key")))
+    # tests stand in a lambda: the generated code holds the cascade once, however many keys an url has
+    held = F.filter(fits, cascade.holds)
+    words = F.create_map(*(F.lit(x) for kv in verdicts.items() for x in kv)) if verdicts else F.create_map().cast("map<string,string>")
+    ruled = F.filter(held, lambda k: F.map_contains_key(words, k))
+    rule = F.array_max(F.transform(ruled, lambda k: F.struct(F.length(k).alias("length"), (F.length(k) - F.instr(k, "/")).alias("rest"), k.alias("rule"))))["rule"]
+    others = F.struct(*(f"`{c}`" for c in pages.columns if c not in ("host", "path", "rule", "verdict")))
+    out = pages.select(others.alias("page"), host.alias("host"), path.alias("path"), held.alias("held"), rule.alias("rule"))
+    verdict = F.coalesce(F.try_element_at(words, F.col("rule")), F.when(F.size("held") > 0, "block").otherwise("allow"))
+    return out.select("page.*", "host", "path", "rule", verdict.alias("verdict"))
+
+
+def listed_urls(pages: DataFrame, mark: str = LISTED_BY) -> DataFrame:
+    """(key): host and path of every url whose query holds the mark; a host or path that is empty gives none."""
+    host, path = host_and_path(F.col("url"))
+    query = F.regexp_extract(F.col("url"), r"\?([^#]*)", 1)
+    rows = pages.select(host.alias("host"), path.alias("path"), query.alias("query"))
+    return rows.filter(F.contains("query", F.lit(mark)) & (F.col("host") != "") & F.startswith("path", F.lit("/"))).select(F.concat("host", "path").alias("key")).distinct()
 
 
 def url_digest(pages: DataFrame) -> DataFrame:
-    return filter_urls(pages.select("page_id", "url"), list(RULES), list(LISTED)).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages.select("page_id", "url"), list(RULES), listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def url_sql() -> str:
@@ -175,10 +188,11 @@ def url_sql() -> str:
     rules = sorted(RULES, key=lambda r: -len(r[1]))
     rule = " ".join(f"WHEN {fits(k)} THEN '{k}'" for _, k in rules)
     verdict = " ".join(f"WHEN rule = '{k}' THEN '{v}'" for v, k in rules)
-    block = " OR ".join(fits(k) for k in LISTED)
     return f"""
-WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, regexp_extract(url, '\\?([^#]*)', 1) AS query FROM pages),
+b AS (SELECT page_id, query, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-c AS (SELECT *, CASE {rule} END AS rule FROM b)
-SELECT page_id, host, path, rule, CASE {verdict} WHEN {block} THEN 'block' ELSE 'allow' END AS verdict FROM c"""
+c AS (SELECT *, CASE {rule} END AS rule FROM b),
+listed AS (SELECT DISTINCT host, path FROM b WHERE contains(query, '{LISTED_BY}') AND host <> '' AND starts_with(path, '/')),
+held AS (SELECT DISTINCT page_id FROM b JOIN listed l ON (b.host = l.host OR ends_with(b.host, '.' || l.host)) AND starts_with(b.path, l.path))
+SELECT page_id, host, path, rule, CASE {verdict} WHEN page_id IN (SELECT page_id FROM held) THEN 'block' ELSE 'allow' END AS verdict FROM c"""

@@ -362,21 +362,36 @@ URLS = [
 ]
 
 
+LISTED = ["example.net/de/", "m.tiontion.example.com/en/", "a.org/p", "nokey", None, "", "a.org/p"] + [f"site{i}.example.net/en/{i}" for i in range(400)]
+
+
 def test_urls(spark):
-    rows = [(i, u, "v", "k") for i, u in enumerate(URLS * 2)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, verdict string, key string")
-    got = {r.page_id: r for r in url_cascade.filter_urls(pages, list(url_cascade.RULES), list(url_cascade.LISTED)).collect()}
-    for i, u, *_ in rows:
+    every = URLS * 2 + [f"https://{'www.' * (i % 2)}site{i}.example.net/en/{i + i % 3}x?ref={i}" for i in range(500)]
+    rows = [(i, u, "v", "k", "x") for i, u in enumerate(every)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, verdict string, key string, _keys string")
+    listed = spark.createDataFrame([(k,) for k in LISTED], "key string")
+    got = {r.page_id: r for r in url_cascade.filter_urls(pages, list(url_cascade.RULES), listed).collect()}
+
+    def parsed(u):
         rest = u.split("://", 1)[1] if u and "://" in u else ""
         host = re.match("[^/?#]*", rest)[0]
-        path = re.match("[^?#]*", rest[len(host) :])[0]
-        host = host.lower()
-        fits = lambda k: (host == k.split("/", 1)[0] or host.endswith("." + k.split("/", 1)[0])) and path.startswith("/" + k.split("/", 1)[1])  # noqa: B023, E731
+        return host.lower(), re.match("[^?#]*", rest[len(host) :])[0]
+
+    def verdict_of(host, path, keys):
+        fits = lambda k: (host == k.split("/", 1)[0] or host.endswith("." + k.split("/", 1)[0])) and path.startswith("/" + k.split("/", 1)[1])
         rule = max((r for r in url_cascade.RULES if fits(r[1])), key=lambda r: len(r[1]), default=None)
-        verdict = rule[0] if rule else "block" if any(map(fits, url_cascade.LISTED)) else "allow"
-        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule and rule[1], verdict)
+        return rule and rule[1], rule[0] if rule else "block" if any(map(fits, keys)) else "allow"
+
+    for i, u, *_ in rows:
+        host, path = parsed(u)
+        rule, verdict = verdict_of(host, path, [k for k in LISTED if k and "/" in k])
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict, got[i].key, got[i]._keys) == (host, path, rule, verdict, "k", "x")
+    assert {r.verdict for r in got.values() if r.rule is None} == {"allow", "block"}
+    keys = {"".join(parsed(u)) for u in every if u and "ref=" in u}
+    for r in url_cascade.url_digest(pages).collect():
+        assert (r.rule, r.verdict) == verdict_of(r.host, r.path, keys)
     assert url_cascade.url_digest(pages.limit(0)).count() == 0
-    assert {r.verdict for r in url_cascade.filter_urls(pages, [], []).collect()} == {"allow"}
+    assert {r.verdict for r in url_cascade.filter_urls(pages, [], listed.limit(0)).collect()} == {"allow"}
 
 
 def test_cascade_is_exact_with_wrong_filters(spark):
