@@ -4,8 +4,9 @@ A text's features are its distinct words, pairs of neighbours and pairs with one
 into 2**BITS places.  Training takes at most MAX_ROWS labelled rows (those with the least hash of
 doc_id; the bound is a documented parameter).  The rows are dealt to tasks of about SHARD_ROWS by a hash; each
 runs FTRL-proximal with per-coordinate rates and L1 over its rows, and the shards' weights are
-averaged by an aggregation and calibrated on the sample.  L1 leaves a few thousand weights, at most MAX_WEIGHTS (the largest; more
-would mean that L1 is set too low): that is what is sent to the scoring tasks.  Scoring reads every whole text.
+averaged by an aggregation and calibrated on the sample.  L1 leaves a few thousand weights: that is what is sent to the
+scoring tasks.  More than MAX_WEIGHTS would mean that L1 is set too low; training then fails and says so, and drops none.
+Scoring reads every whole text.
 
 Null and empty texts have no features and get the score of the intercept.  Labels that are null,
 or of unknown documents, are ignored; a document labelled twice counts once, as toxic if either says
@@ -112,7 +113,9 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     mean = made.groupBy("place").agg((F.sum("weight") / F.lit(float(shards))).alias("weight"), F.count("*").alias("shards"))
     # a weight that one shard alone found is noise or a very rare word: half the shards have to agree
     mean = mean.filter((F.col("place") == INTERCEPT) | (F.col("shards") * 2 >= shards))
-    got = mean.orderBy((F.col("place") != INTERCEPT).cast("int"), F.abs("weight").desc(), "place").limit(MAX_WEIGHTS).select("place", "weight").toArrow()
+    got = mean.limit(MAX_WEIGHTS + 1).select("place", "weight").toArrow()
+    if got.num_rows > MAX_WEIGHTS:
+        raise ValueError(f"more than {MAX_WEIGHTS} weights; raise L1_ROW")
     places, weights = got.column("place").to_numpy(), got.column("weight").to_numpy()
     is_intercept = places == INTERCEPT
     if not is_intercept.any():

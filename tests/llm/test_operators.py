@@ -219,6 +219,45 @@ def test_toxicity(spark):
     assert full.columns == ["doc_id", "text", "n", "sig", "kept", "score", "predicted"]
 
 
+def plain_ftrl(docs, labels, size, epochs):
+    """FTRL-proximal with a loop over coordinates, the intercept without L1 and L2."""
+    l1 = max(0.5, toxicity.L1_ROW * len(docs))
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(k):
+        if k == size:
+            return -z[k] / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA)
+        if abs(z[k]) <= l1:
+            return 0.0
+        return -(z[k] - (l1 if z[k] > 0 else -l1)) / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for epoch in range(epochs):
+        for i in np.random.default_rng(epoch).permutation(len(docs)):
+            w = {int(k): weight(int(k)) for k in [*docs[i], size]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - labels[i]
+            for k, old in w.items():
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / toxicity.ALPHA * old
+                n[k] += g * g
+    return [weight(k) for k in range(size + 1)]
+
+
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(3)
+    docs = [np.flatnonzero(rng.random(30) < 0.2) for _ in range(80)]
+    labels = np.array([float(3 in d or 7 in d) for d in docs])
+    got = toxicity.ftrl(docs, labels, 30, 3)
+    assert np.allclose(got, plain_ftrl(docs, labels, 30, 3)) and 0 < np.count_nonzero(got[:-1]) < 30 and got[3] > 0 < got[7]
+
+
+def test_groups_over_batches():
+    keys = [1, 1, 2, 3, 3, 3, 3, 3, 4, 5, 5]
+    for size in range(1, 12):
+        batches = [pa.record_batch([pa.array(keys[i : i + size])], names=["k"]) for i in range(0, len(keys), size)]
+        parts = [t.column("k").to_pylist() for t in steps.groups(batches, "k")]
+        assert sum(parts, []) == keys and all(a[-1] != b[0] for a, b in zip(parts, parts[1:]))
+    assert list(steps.groups([], "k")) == []
+
+
 def plain_viterbi(v, text):
     """Best segmentation by a table of pieces, without a trie."""
     known = {k: i for i, k in enumerate(v.keys)}
