@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcodes as tc
+from .steps import stored
 
 BLOCK_ITEMS = 20_000
 BLOCK_SHINGLES = 1_000_000
@@ -124,7 +125,8 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, shingle: int = 5
     out = None
     for block in _blocks(items, shingle):
         found = docs.mapInArrow(_search(Index(block, percent), shingle), "doc_id long, item_id long, n_shingles long, n_shared long")
-        out = found if out is None else out.union(found)
+        # what the blocks before have found is written, so that the driver holds no index but the last two
+        out = found if out is None else stored(out, "found").union(found)
     if out is None:
         out = docs.limit(0).selectExpr("doc_id", "0L item_id", "0L n_shingles", "0L n_shared")
     return out.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
