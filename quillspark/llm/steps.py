@@ -46,19 +46,22 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
     Each table holds the complete groups of one batch (the last group waits for the next batch),
     so memory is bounded by one batch and one group."""
-    rest: pa.Table | None = None
+    rest: list[pa.Table] = []  # of one key, joined once it ends
     for batch in batches:
         if not batch.num_rows:
             continue
         now = pa.Table.from_batches([batch])
-        now = pa.concat_tables([rest, now]).combine_chunks() if rest is not None else now
         keys = now.column(key).to_numpy()
-        last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] or (keys != keys[-1]).any() else 0
-        if last:
-            yield now.slice(0, last)
-        rest = now.slice(last)
-    if rest is not None and rest.num_rows:
-        yield rest
+        starts = cuts(keys)[:-1]
+        if rest and rest[-1].column(key)[0].as_py() != keys[0]:
+            yield pa.concat_tables(rest).combine_chunks()
+            rest = []
+        if len(starts) > 1:
+            yield pa.concat_tables([*rest, now.slice(0, starts[-1])]).combine_chunks()
+            rest = []
+        rest.append(now.slice(starts[-1]))
+    if rest:
+        yield pa.concat_tables(rest).combine_chunks()
 
 
 def cuts(keys: np.ndarray) -> np.ndarray:
