@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .functions import amounts, candidates, fields
 from .functions.rx import lines
 from .operators import categorize, country, layout, structure
-from .plans.extract import extract
+from .plans import intake
+from .plans.extract import extract, payload
 from .sources import store
 from .sources.rendered import RATES, cents, country_receipts, eu, orders, receipts, table, us
 
@@ -264,9 +265,33 @@ def account_checks_all(spark, d):
     return missing.groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
+def _documents(spark, d):
+    """Receipts as documents, by key: PDFs with embedded text, PDFs of three pages of which one is blank, pictures."""
+    k, text = F.col("k") % 3, F.col("text")
+    docs = receipts(spark, d).select("id", "k", F.when(k == 2, "image/png").otherwise(intake.PDF).alias("mime"), F.when(k == 0, text).when(k == 1, "scan").alias("embedded"))
+    page = lambda n, t, c: F.struct(F.lit(n).alias("page"), t.alias("text"), F.lit(c).cast("double").alias("confidence"))
+    several = F.array(page(1, text, 0.9), page(2, F.lit(" \n"), 0.1), page(3, F.lit(" Gracias"), 0.7))
+    pages = receipts(spark, d).select("id", F.explode(F.when(k == 1, several).otherwise(F.array(page(1, text, 0)))).alias("p")).select("id", "p.*")
+    return intake.texts(docs, pages)
+
+
+def payloads(spark, d):
+    """The documents' texts through the whole plan, as JSON, read back from it."""
+    rows = payload(extract(_documents(spark, d), categorize.seed_accounts(spark)))
+    at = lambda path: F.get_json_object("json", f"$.{path}")
+    return rows.select("k", _cents(at("amount").cast("double")).alias("total"), at("invoiceNumber").alias("invoice"), at("vendorName").alias("vendor_name"), at("type").alias("type"), at("extraFields").alias("extra"), at("vendorId").alias("vendor_id"), _cents(at("ocrConfidence").cast("double")).alias("confidence"), at("pipeline.pdfMethod").alias("method"))
+
+
+def reparse_stored(spark, d):
+    """Every receipt and, parsed again, every receipt: what the store holds after a full reparse."""
+    kept = receipts(spark, d).select("id", "text")
+    again = intake.reparse(kept, kept, lambda df: df.withColumn("total", fields.total(F.col("text"))), F.concat("id", F.lit("-2")))
+    return kept.select("id", fields.total(_t()).alias("total")).union(again.select("id", "total")).select("id", _cents(F.col("total")).alias("total"))
+
+
 NAMES = (
     receipts_extracted, receipt_totals, receipt_subtotal_tax, tax_percentage, receipt_dates, normalize_amount_formats, invoice_numbers, vendor_ids, payment_methods, currency_detect, line_items, total_candidates, subtotal_candidates, tax_candidates, labeled_fields, customer_names, classified_ids, table_rows, table_rows_all,
-    identifications, identifications_all, vendor_candidates, compute_missing, reconcile, parser_overlay, ai_merge, ai_merge_all, ai_json_validate, categorize_keywords, vendor_name_documents, useful_documents, ocr_score, best_variant, layout_lines, page_combine, list_receipts, reparse_append, history_rows, transactions, file_names, account_checks, account_checks_all,
+    payloads, reparse_stored, identifications, identifications_all, vendor_candidates, compute_missing, reconcile, parser_overlay, ai_merge, ai_merge_all, ai_json_validate, categorize_keywords, vendor_name_documents, useful_documents, ocr_score, best_variant, layout_lines, page_combine, list_receipts, reparse_append, history_rows, transactions, file_names, account_checks, account_checks_all,
 )
 
 
@@ -367,6 +392,8 @@ SELECT k, sub AS cents, 'subtotal' AS role FROM o UNION ALL SELECT k, total, {la
         "page_combine": "SELECT l_orderkey AS doc_id, string_agg('part ' || CAST(l_partkey AS VARCHAR), chr(10) || chr(10) ORDER BY l_linenumber * 1000000 + l_partkey) AS text, CAST((200 * sum(CAST(l_quantity AS BIGINT)) + count(*)) // (2 * count(*)) AS BIGINT) AS confidence, count(*) AS n_pages FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY 1",
         "list_receipts": _O + "SELECT k AS id, day AS created_at FROM o ORDER BY day DESC, k LIMIT 100",
         "reparse_append": _O + "SELECT CAST(k AS VARCHAR) AS id, 'first' AS kind, total FROM o UNION ALL SELECT CAST(k AS VARCHAR) || 'r', 'again', total FROM o WHERE k % 10 = 0",
+        "payloads": _O + f"SELECT k, total, {_INV} AS invoice, {_HEAD} AS vendor_name, 'expense' AS type, '{{}}' AS extra, CAST(NULL AS VARCHAR) AS vendor_id, CASE k % 3 WHEN 0 THEN 100 WHEN 1 THEN 80 ELSE 50 END AS confidence, CASE k % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'ocr' ELSE 'image' END AS method FROM o",
+        "reparse_stored": _O + "SELECT CAST(k AS VARCHAR) AS id, total FROM o UNION ALL SELECT CAST(k AS VARCHAR) || '-2', total FROM o",
         "history_rows": _O + f"SELECT k AS id, CASE WHEN k % 2 = 0 THEN c_name ELSE 'a.pdf' END AS name, '—' AS date, 'Sin categoría' AS category, translate({_money('total')}, ',.', '.,') || CASE WHEN k % 3 = 0 THEN ' €' ELSE ' $' END AS amount FROM o",
         "transactions": "SELECT CAST(o_orderkey AS INTEGER) AS k, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS cents, CASE WHEN o_orderkey % 2 = 0 THEN 'expense' ELSE 'income' END AS type, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 7 > 0 AND o_orderkey % 5 > 0 AND o_orderkey % 11 > 0 AND (o_orderkey % 2 = 0 OR o_orderkey % 3 > 0)",
         "file_names": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '.pdf' WHEN p_partkey % 3 = 1 THEN '.jpeg' WHEN p_partkey % 2 = 0 THEN '.png' ELSE '.bin' END AS extension FROM part",
