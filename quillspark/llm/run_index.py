@@ -6,6 +6,7 @@ Texts are UTF-8 bytes; matches never cross documents; a null text is empty.
 Finding all repeats needs no index over the whole corpus.  Each window of `length` bytes has an
 anchor, the leftmost of its k-byte strings with the least hash; equal windows have equal anchors.
 The run of windows with one anchor is a *context*.
+  0. Anchors are counted (partial aggregation), and contexts whose anchor comes once in the corpus are dropped.
   1. Contexts with equal bytes are counted (partial aggregation, also for a passage in a third of
      all documents): two or more places, and all their windows are repeats.
   2. Only anchors with several different contexts need a closer look.  One of each kind goes to the
@@ -85,6 +86,17 @@ def _contexts(length: int, anchor: int):
     return run
 
 
+def _anchors(length: int, anchor: int):
+    """The anchors of each document's contexts, once for each context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tc.slices(batch, "text"):
+                yield pa.record_batch([pa.array(contexts(*tc.column_bytes(part.column("text")), length, anchor)[3].view(np.int64))], names=["ah"])
+
+    return run
+
+
 _PARTS = "doc_id long, lo int, ah long, kinds long, bytes binary"
 
 
@@ -275,7 +287,12 @@ def _kept(batches, goes):
 def repeat_spans(documents: DataFrame, length: int = 400, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, first, end): byte ranges that repeats cover; ranges may overlap.  See the module's text."""
     docs = documents.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
-    rows = stored(docs.filter(F.octet_length("text") >= length).mapInArrow(_contexts(length, anchor), "doc_id long, lo int, hi int, ah long, ch long"), "contexts")
+    long = docs.filter(F.octet_length("text") >= length)
+    # most anchors come once; only the others' contexts are written
+    twice = long.select("text").mapInArrow(_anchors(length, anchor), "ah long").groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah")
+    twice = stored(twice, "anchors")
+    rows = long.mapInArrow(_contexts(length, anchor), "doc_id long, lo int, hi int, ah long, ch long")
+    rows = stored(rows.join(twice.hint("merge"), "ah", "left_semi"), "contexts")
     kinds = stored(rows.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo", "hi")).alias("at")), "kinds")
     copied = kinds.filter("n > 1").select("ah", "ch")
     whole = rows.join(copied, ["ah", "ch"]).select("doc_id", F.col("lo").alias("first"), (F.col("hi") + length).cast("int").alias("end"))
