@@ -26,7 +26,7 @@ REPEAT_BYTES = 240
 #: more can have (a byte a word, and one between), with anchors short enough for that.
 REPEAT_WORDS = 50
 FOUND_BYTES = 2 * REPEAT_WORDS + 1
-FOUND_ANCHOR = 32
+FOUND_ANCHOR = 24
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
