@@ -120,7 +120,7 @@ def _predict(samples: dict[str, bytes]):
         tables = [automaton(classes[np.frombuffer(samples[k], np.uint8)].tolist(), width) for k in names]
         norm = np.array([np.log2(len(samples[k]) + 2) for k in names])
         for batch in batches:
-            for part in tc.slices(batch, "text"):
+            for part in tc.slices(batch, "text", 2 << 20):
                 data, offsets = tc.column_bytes(part.column("text"))
                 symbols = classes[data].astype(np.int32)
                 sizes = np.diff(offsets)
