@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textcodes as tc
 from .components import components
-from .steps import cuts, groups, stored
+from .steps import Scratch, cuts, groups, stored
 
 COORDINATES = 256  #: of the signature, 16 bits each
 TREES = 4
@@ -259,48 +259,51 @@ def stars(classes: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) near by signature: each class with the best of the centers of its nodes in the first tree, and that one with the others.
 
     A node's center is found among LEAF or so of its members, picked by a hash."""
-    rows = classes.select("rep", F.col("rep").alias("component"), "roots").mapInArrow(_roots(1), "rep long, component long, node long").select("rep", "node")
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = stored(rows.join(sizes, "node").join(classes.select("rep", "sig"), "rep"), "first-tree")
-    sample = rows.filter(F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / LEAF)) == 0).select("node", "rep", "sig")
-    centers = sample.repartition("node").sortWithinPartitions("node").mapInArrow(_central, "node long, center long, sig_center binary")
-    near = rows.join(centers, "node").filter("rep <> center").select("rep", "center", "sig", "sig_center").mapInArrow(_near(least), "rep long, center long, share double")
-    own = near.groupBy("rep").agg(F.max(F.struct("share", "center"))["center"].alias("best"), F.collect_set("center").alias("centers"))  # four centers at most
-    # itself a center of some node, and other documents' best: the links between centers join their stars
-    pairs = own.select("best", F.explode(F.array_append(F.filter("centers", lambda c: c != F.col("best")), F.col("rep"))).alias("other"))
-    return stored(pairs.select(F.least("best", "other").alias("a"), F.greatest("best", "other").alias("b")).distinct(), "pairs")
+    with Scratch(classes.sparkSession) as made:
+        rows = classes.select("rep", F.col("rep").alias("component"), "roots").mapInArrow(_roots(1), "rep long, component long, node long").select("rep", "node")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        rows = made.stored(rows.join(sizes, "node").join(classes.select("rep", "sig"), "rep"), "first-tree")
+        sample = rows.filter(F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / LEAF)) == 0).select("node", "rep", "sig")
+        centers = sample.repartition("node").sortWithinPartitions("node").mapInArrow(_central, "node long, center long, sig_center binary")
+        near = rows.join(centers, "node").filter("rep <> center").select("rep", "center", "sig", "sig_center").mapInArrow(_near(least), "rep long, center long, share double")
+        own = near.groupBy("rep").agg(F.max(F.struct("share", "center"))["center"].alias("best"), F.collect_set("center").alias("centers"))  # four centers at most
+        # itself a center of some node, and other documents' best: the links between centers join their stars
+        pairs = own.select("best", F.explode(F.array_append(F.filter("centers", lambda c: c != F.col("best")), F.col("rep"))).alias("other"))
+        return stored(pairs.select(F.least("best", "other").alias("a"), F.greatest("best", "other").alias("b")).distinct(), "pairs")
 
 
 def unsettled(docs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Documents (rep, component, roots) that share a leaf with one of another component and are near it by signature:
     rows (cell, rep, component, side, n) in which those of a cell are to be compared.  sets: (rep, n, sig)."""
-    rows = docs.mapInArrow(_roots(TREES), "rep long, component long, node long")
-    leaves, visits = None, None
-    for depth in range(DEPTH):
-        rows = stored(rows, "nodes")
-        parts = rows.groupBy("node", "component").agg(F.count("*").alias("many"), *(F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in (0, 1)))
-        mixed = parts.groupBy("node").agg(F.max_by("component", "many").alias("main"), F.max("many").alias("many"), F.sum("many").alias("size"), F.count("*").alias("parts"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
-        crowd = F.expr(f"many > {LEAF} and 2 * many >= size")
-        leaf = F.lit(True) if depth == DEPTH - 1 else F.when(crowd, F.col("size") - F.col("many")).otherwise(F.col("size")) <= LEAF
-        # leaves with equal members count once
-        mixed = mixed.filter("parts > 1").withColumn("leaf", leaf).groupBy("size", "x0", "x1", F.when(~F.col("leaf"), F.col("node")).alias("own"))
-        mixed = mixed.agg(F.min(F.struct("node", "main", "many", "leaf")).alias("one")).select("size", "one.*")
-        rows = stored(rows.join(mixed, "node").filter(~crowd | (F.col("component") != F.col("main"))), "mixed")
-        ends = rows.filter("leaf").select(F.col("node").alias("cell"), "rep", "component", F.when(F.col("component") == F.col("main"), 0).otherwise(2).alias("side"))
-        calls = rows.filter(crowd).select("rep", "component", "main")
-        leaves, visits = (ends, calls) if leaves is None else (leaves.union(ends), visits.union(calls))
-        rows = rows.filter("not leaf")
-        if depth == DEPTH - 1 or rows.limit(1).count() == 0:
-            break
-        rows = rows.select("rep", "component", "node").join(sets.select("rep", "sig"), "rep").mapInArrow(_branch, "rep long, component long, node long").distinct()
-    if visits.limit(1).count():
-        # a crowd is in one cell of its own, once, whatever the number of nodes that it fills
-        visits = visits.distinct()
-        name = lambda c: F.xxhash64(c, F.lit("crowd")).alias("cell")
-        at_home = docs.select("rep", "component").join(visits.select(F.col("main").alias("component")).distinct(), "component", "left_semi")
-        leaves = leaves.union(visits.select(name("main"), "rep", "component", F.lit(1))).union(at_home.select(name("component"), "rep", "component", F.lit(0)))
-    cells = _dealt(stored(leaves, "cells"), F.lit(1), BLOCK).join(sets, "rep")
-    return stored(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_involved(least), "cell long, rep long, component long, side int, n long"), "involved")
+    with Scratch(docs.sparkSession) as made:
+        rows = docs.mapInArrow(_roots(TREES), "rep long, component long, node long")
+        leaves, visits = None, None
+        for depth in range(DEPTH):
+            rows = made.stored(rows, f"nodes-{depth}")
+            parts = rows.groupBy("node", "component").agg(F.count("*").alias("many"), *(F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in (0, 1)))
+            mixed = parts.groupBy("node").agg(F.max_by("component", "many").alias("main"), F.max("many").alias("many"), F.sum("many").alias("size"), F.count("*").alias("parts"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"))
+            crowd = F.expr(f"many > {LEAF} and 2 * many >= size")
+            leaf = F.lit(True) if depth == DEPTH - 1 else F.when(crowd, F.col("size") - F.col("many")).otherwise(F.col("size")) <= LEAF
+            # leaves with equal members count once
+            mixed = mixed.filter("parts > 1").withColumn("leaf", leaf).groupBy("size", "x0", "x1", F.when(~F.col("leaf"), F.col("node")).alias("own"))
+            mixed = mixed.agg(F.min(F.struct("node", "main", "many", "leaf")).alias("one")).select("size", "one.*")
+            rows = made.stored(rows.join(mixed, "node").filter(~crowd | (F.col("component") != F.col("main"))), f"mixed-{depth}")
+            made.discard(f"nodes-{depth}")
+            ends = rows.filter("leaf").select(F.col("node").alias("cell"), "rep", "component", F.when(F.col("component") == F.col("main"), 0).otherwise(2).alias("side"))
+            calls = rows.filter(crowd).select("rep", "component", "main")
+            leaves, visits = (ends, calls) if leaves is None else (leaves.union(ends), visits.union(calls))
+            rows = rows.filter("not leaf")
+            if depth == DEPTH - 1 or rows.limit(1).count() == 0:
+                break
+            rows = rows.select("rep", "component", "node").join(sets.select("rep", "sig"), "rep").mapInArrow(_branch, "rep long, component long, node long").distinct()
+        if visits.limit(1).count():
+            # a crowd is in one cell of its own, once, whatever the number of nodes that it fills
+            visits = visits.distinct()
+            name = lambda c: F.xxhash64(c, F.lit("crowd")).alias("cell")
+            at_home = docs.select("rep", "component").join(visits.select(F.col("main").alias("component")).distinct(), "component", "left_semi")
+            leaves = leaves.union(visits.select(name("main"), "rep", "component", F.lit(1))).union(at_home.select(name("component"), "rep", "component", F.lit(0)))
+        cells = _dealt(made.stored(leaves, "cells"), F.lit(1), BLOCK).join(sets, "rep")
+        return stored(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_involved(least), "cell long, rep long, component long, side int, n long"), "involved")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -320,22 +323,23 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
         return rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
-    # by signature only: which documents have a neighbour at all
-    pairs = stars(classes, least)
-    guess = labelled(classes.select("rep", "roots"), components(pairs))
-    near = unsettled(guess.select("rep", "component", "roots"), classes.select("rep", "n", "sig"), least).select("rep")
-    near = stored(near.union(pairs.select("a")).union(pairs.select("b")).distinct(), "near")
-    # the texts are shuffled for them once, at every size: what has neighbours grows with the input
-    texts = docs.withColumnRenamed("doc_id", "rep").join(near.hint("merge"), "rep", "left_semi").distinct()
-    texts = stored(texts, "near-texts")
-    few = stored(classes.select("rep", "n", "roots", "sig").join(near, "rep", "left_semi"), "near-classes")
-    # by the full sets
-    links = confirmed(texts, pairs, shingle, percent)
-    labels = components(links)
-    again = labelled(few.select("rep", "roots"), labels).select("rep", "component", "roots")
-    open_ = _dealt(unsettled(again, few.select("rep", "n", "sig"), least), F.col("n"), SHINGLES)
-    fresh = open_.join(texts, "rep").repartition("cell").sortWithinPartitions("cell").mapInArrow(_linked(shingle, percent), "a long, b long")
-    merged = components(fresh).select(F.col("id").alias("component"), F.col("component").alias("into"))  # names of components are their smallest ids
+    with Scratch(documents.sparkSession) as made:
+        # by signature only: which documents have a neighbour at all
+        pairs = stars(classes, least)
+        guess = labelled(classes.select("rep", "roots"), components(pairs))
+        near = unsettled(guess.select("rep", "component", "roots"), classes.select("rep", "n", "sig"), least).select("rep")
+        near = made.stored(near.union(pairs.select("a")).union(pairs.select("b")).distinct(), "near")
+        # the texts are shuffled for them once, at every size: what has neighbours grows with the input
+        texts = docs.withColumnRenamed("doc_id", "rep").join(near.hint("merge"), "rep", "left_semi").distinct()
+        texts = made.stored(texts, "texts")
+        few = made.stored(classes.select("rep", "n", "roots", "sig").join(near, "rep", "left_semi"), "classes")
+        # by the full sets
+        links = confirmed(texts, pairs, shingle, percent)
+        labels = components(links)
+        again = labelled(few.select("rep", "roots"), labels).select("rep", "component", "roots")
+        open_ = _dealt(unsettled(again, few.select("rep", "n", "sig"), least), F.col("n"), SHINGLES)
+        fresh = open_.join(texts, "rep").repartition("cell").sortWithinPartitions("cell").mapInArrow(_linked(shingle, percent), "a long, b long")
+        merged = components(fresh).select(F.col("id").alias("component"), F.col("component").alias("into"))  # names of components are their smallest ids
     whole = labelled(classes.select("rep", "h1", "h2", "n"), labels).join(merged, "component", "left").withColumn("component", F.coalesce("into", "component"))
     out = described.select("doc_id", "n", "h1", "h2").join(whole, ["h1", "h2", "n"], "left")
     named = F.col("doc_id").isNotNull()

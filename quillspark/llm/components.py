@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .steps import stored
+from .steps import Scratch, stored
 
 FOREST = 10_000  #: links that a task turns into stars at a time
 
@@ -44,25 +44,28 @@ def components(links: DataFrame) -> DataFrame:
     together join little more than the links once, also for a chain or a hub.  The picks are then followed from the
     last round back to the first, again over fewer rows each.  No links give an empty table."""
 
-    links = _distinct(links)
-    rounds: list[DataFrame] = []
-    while count := links.count():
-        rank = lambda c: F.xxhash64(c, F.lit(len(rounds)))  # noqa: B023, E731
-        stars = links.coalesce(-(-count // FOREST)).select("a", "b", rank("a").alias("rank_a"), rank("b").alias("rank_b")).mapInArrow(_forests, "a long, b long")
-        both = stars.select(F.col("a").alias("id"), F.col("b").alias("other")).union(stars.select("b", "a"))
-        best = both.groupBy("id").agg(F.min(rank("other")).alias("rank"), F.min_by("other", rank("other")).alias("other"))
-        rounds.append(stored(best.select("id", F.when(F.col("rank") < rank("id"), F.col("other")).otherwise(F.col("id")).alias("pick")), "picks"))
-        one, two = (rounds[-1].select(F.col("id").alias(c), F.col("pick").alias(f"pick_{c}")) for c in "ab")
-        links = _distinct(stars.join(one, "a").join(two, "b").select(F.col("pick_a").alias("a"), F.col("pick_b").alias("b")))
-    if not rounds:
-        return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    found = rounds[-1]
-    for picks in reversed(rounds[:-1]):
-        top = found.select(F.col("id").alias("pick"), F.col("pick").alias("top"))
-        found = picks.join(top, "pick", "left").select("id", F.coalesce("top", "pick").alias("pick"))
-    least = found.groupBy("pick").agg(F.min("id").alias("component"))
-    return stored(found.join(least, "pick").select("id", "component"), "components")
+    with Scratch(links.sparkSession) as made:
+        links = made.stored(_distinct(links), "links-0")
+        rounds: list[DataFrame] = []
+        while count := links.count():
+            rank = lambda c: F.xxhash64(c, F.lit(len(rounds)))  # noqa: B023, E731
+            stars = links.coalesce(-(-count // FOREST)).select("a", "b", rank("a").alias("rank_a"), rank("b").alias("rank_b")).mapInArrow(_forests, "a long, b long")
+            both = stars.select(F.col("a").alias("id"), F.col("b").alias("other")).union(stars.select("b", "a"))
+            best = both.groupBy("id").agg(F.min(rank("other")).alias("rank"), F.min_by("other", rank("other")).alias("other"))
+            rounds.append(made.stored(best.select("id", F.when(F.col("rank") < rank("id"), F.col("other")).otherwise(F.col("id")).alias("pick")), f"picks-{len(rounds)}"))
+            one, two = (rounds[-1].select(F.col("id").alias(c), F.col("pick").alias(f"pick_{c}")) for c in "ab")
+            moved = stars.join(one, "a").join(two, "b").select(F.col("pick_a").alias("a"), F.col("pick_b").alias("b"))
+            links = made.stored(_distinct(moved), f"links-{len(rounds)}")
+            made.discard(f"links-{len(rounds) - 1}")
+        if not rounds:
+            return stored(links.select(F.col("a").alias("id"), F.col("b").alias("component")), "components")
+        found = rounds[-1]
+        for picks in reversed(rounds[:-1]):
+            top = found.select(F.col("id").alias("pick"), F.col("pick").alias("top"))
+            found = picks.join(top, "pick", "left").select("id", F.coalesce("top", "pick").alias("pick"))
+        least = found.groupBy("pick").agg(F.min("id").alias("component"))
+        return stored(found.join(least, "pick").select("id", "component"), "components")
 
 
 def _distinct(links: DataFrame) -> DataFrame:
-    return stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()

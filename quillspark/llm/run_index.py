@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import textcodes as tc
-from .steps import cuts, groups, stored
+from .steps import Scratch, cuts, groups, stored
 
 ANCHOR = 64  #: bytes of an anchor
 GROUP = 4096  #: kinds of contexts of an anchor that are indexed together
@@ -288,26 +288,31 @@ def repeat_spans(documents: DataFrame, length: int = 400, anchor: int = ANCHOR)
     """(doc_id, first, end): byte ranges that repeats cover; ranges may overlap.  See the module's text."""
     docs = documents.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     long = docs.filter(F.octet_length("text") >= length)
-    # most anchors come once; only the others' contexts are written
-    twice = long.select("text").mapInArrow(_anchors(length, anchor), "ah long").groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah")
-    twice = stored(twice, "anchors")
-    rows = long.mapInArrow(_contexts(length, anchor), "doc_id long, lo int, hi int, ah long, ch long")
-    rows = stored(rows.join(twice.hint("merge"), "ah", "left_semi"), "contexts")
-    kinds = stored(rows.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo", "hi")).alias("at")), "kinds")
-    copied = kinds.filter("n > 1").select("ah", "ch")
-    whole = rows.join(copied, ["ah", "ch"]).select("doc_id", F.col("lo").alias("first"), (F.col("hi") + length).cast("int").alias("end"))
-    several = kinds.groupBy("ah").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    wanted = kinds.join(several, "ah").select("at.doc_id", F.struct("at.lo", "at.hi", "ah", "kinds").alias("span"))
-    wanted = stored(wanted.groupBy("doc_id").agg(F.collect_list("span").alias("spans")), "open")
-    parts = stored(docs.join(wanted, "doc_id").mapInArrow(_cut(length), _PARTS), "parts")
-    few = parts.filter(F.col("kinds") <= GROUP).repartition("ah").sortWithinPartitions("ah").mapInArrow(_indexed(length, BLOCK), "doc_id long, first int, end int")
-    spans = whole.union(few)
-    many = parts.filter(F.col("kinds") > GROUP)
-    if many.limit(1).count():
-        windows = stored(many.mapInArrow(_windows(length), "doc_id long, first int, code long").distinct(), "windows")
-        twice = windows.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").select("code")
-        spans = spans.union(windows.join(twice, "code").select("doc_id", "first", (F.col("first") + length).cast("int").alias("end")))
-    return stored(spans, "spans")
+    with Scratch(documents.sparkSession) as made:
+        # most anchors come once; only the others' contexts are written
+        twice = long.select("text").mapInArrow(_anchors(length, anchor), "ah long").groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah")
+        twice = made.stored(twice, "anchors")
+        rows = long.mapInArrow(_contexts(length, anchor), "doc_id long, lo int, hi int, ah long, ch long")
+        rows = made.stored(rows.join(twice.hint("merge"), "ah", "left_semi"), "contexts")
+        made.discard("anchors")
+        kinds = made.stored(rows.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo", "hi")).alias("at")), "kinds")
+        copied = kinds.filter("n > 1").select("ah", "ch")
+        spans = made.stored(rows.join(copied, ["ah", "ch"]).select("doc_id", F.col("lo").alias("first"), (F.col("hi") + length).cast("int").alias("end")), "whole")
+        made.discard("contexts")
+        several = kinds.groupBy("ah").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+        wanted = kinds.join(several, "ah").select("at.doc_id", F.struct("at.lo", "at.hi", "ah", "kinds").alias("span"))
+        wanted = made.stored(wanted.groupBy("doc_id").agg(F.collect_list("span").alias("spans")), "open")
+        made.discard("kinds")
+        parts = made.stored(docs.join(wanted, "doc_id").mapInArrow(_cut(length), _PARTS), "parts")
+        made.discard("open")
+        few = parts.filter(F.col("kinds") <= GROUP).repartition("ah").sortWithinPartitions("ah").mapInArrow(_indexed(length, BLOCK), "doc_id long, first int, end int")
+        spans = spans.union(few)
+        many = parts.filter(F.col("kinds") > GROUP)
+        if many.limit(1).count():
+            windows = made.stored(many.mapInArrow(_windows(length), "doc_id long, first int, code long").distinct(), "windows")
+            twice = windows.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").select("code")
+            spans = spans.union(windows.join(twice, "code").select("doc_id", "first", (F.col("first") + length).cast("int").alias("end")))
+        return stored(spans, "spans")
 
 
 def drop_repeats(documents: DataFrame, length: int = 400, anchor: int = ANCHOR, least_bytes: int = 0, over_words: int | None = None) -> DataFrame:

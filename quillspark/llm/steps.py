@@ -36,6 +36,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator writes on its way; they go when the block ends, so what it returns has to be written by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.discard()
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """As the function of this name; each name once a block."""
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def discard(self, *names: str) -> None:
+        """Delete tables whose readers are done, or all."""
+        for path in [f"{self.folder}/{n}" for n in names] or [self.folder]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows kept for evaluation: crc32 of the id as text is divisible by 5."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0
