@@ -21,7 +21,8 @@ reach LEAST.  No branch that holds an article is left out.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined
 by a line feed.  A header within an article stays if it holds the heading.  Unclosed and
-misnested tags end with the element around them; scripts and styles run to their own end tags.
+misnested tags end with the element around them; scripts and styles run to their own end tags.  A quoted value
+that isn't closed ends with its tag.
 A null page is empty text, a page without markup is one block.  Equal rows give equal results.
 """
 
@@ -58,7 +59,7 @@ NOISE_NAMES = frozenset(
 SPECIAL = frozenset({"article", "main"})
 CLOSED_BY = {"p": BLOCKS - {"html", "body", "head"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "tbody", "tfoot"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option", "optgroup"})}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)(?=[\s=/]|$)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 ADVERT_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored comment comments respond replies disqus".split())
 WEAK = 0.5  #: prior of a name that may also be an article's; the branch's importance and words decide
@@ -100,7 +101,7 @@ def parse(page: str) -> Node:
     """The page's tree of block elements."""
     root = Node("", "", 0, None)
     stack, words = [root], []
-    skip: str | None = None
+    unclosed: set[str] = set()  # tags that don't end any more, so that a page is searched for each of them once
     at = 0
 
     def flush():
@@ -143,8 +144,10 @@ def parse(page: str) -> Node:
         elif tag in SKIPPED and tag not in VOID:
             if tag in ("head",):
                 continue
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else at
+            if not end:
+                unclosed.add(tag)
         elif tag in BLOCKS:
             flush()
             while len(stack) > 1 and tag in CLOSED_BY.get(stack[-1].tag, ()):
@@ -281,25 +284,25 @@ def main_blocks(page: str, own: dict[int, float], many: Iterable[int] = ()) -> l
 
 
 def _extract(batches):
-    """Joined rows (..., html, _nodes, _many) to their main texts."""
+    """Joined rows (row with html, nodes, many) to (row, main text)."""
     for batch in batches:
-        texts = []
-        for page, nodes, many in zip(batch.column("html").to_pylist(), batch.column("_nodes").to_pylist(), batch.column("_many").to_pylist(), strict=True):
-            own = dict(nodes or ())
-            texts.append("\n".join(main_blocks(page or "", own, many or ())))
-        names = [c for c in batch.schema.names if c not in ("_nodes", "_many")]
-        yield pa.record_batch([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "text"])
+        rows = batch.column("row")
+        pages, nodes, many = rows.field("html").to_pylist(), batch.column("nodes").to_pylist(), batch.column("many").to_pylist()
+        texts = ["\n".join(main_blocks(page or "", dict(own or ()), often or ())) for page, own, often in zip(pages, nodes, many, strict=True)]
+        yield pa.record_batch([rows, pa.array(texts, pa.string())], names=["row", "text"])
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """The pages (page_id, url, html and whatever else) with text; a column of this name is replaced."""
+    """The pages (page_id, url, html and whatever else, of any name) with text; a column of this name is replaced."""
     host, _ = host_and_path(F.col("url"))
-    pages = pages.drop("text")
+    names = [f"`{c}`" for c in pages.columns if c != "text"]
     # written first: a small table is then broadcast by its true size, and with a large one both sides of the join are
     # shuffled for it, so that Spark can split a host with very many pages
     trees = stored(site_trees(pages.select(host.alias("host"), "html")), "trees")
-    joined = pages.withColumn("_host", host).join(trees.select(F.col("host").alias("_host"), F.col("nodes").alias("_nodes"), F.col("many").alias("_many")), "_host", "left").select(*pages.columns, "_nodes", "_many")
-    return joined.mapInArrow(_extract, StructType([*pages.schema.fields, StructField("text", StringType())]))
+    rows = pages.select(F.struct(*names).alias("row"), host.alias("host"))  # so that no name can clash
+    joined = rows.join(trees, "host", "left").select("row", "nodes", "many")
+    out = joined.mapInArrow(_extract, StructType([joined.schema["row"], StructField("text", StringType())]))
+    return out.select(*(F.col(f"row.{c}") for c in names), "text")
 
 
 def page_digest(pages: DataFrame) -> DataFrame:

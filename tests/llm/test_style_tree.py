@@ -1,6 +1,7 @@
 """Style trees on copies, telling names and boilerplate within articles."""
 
 import random
+import time
 
 from quillspark.llm import style_tree
 
@@ -43,3 +44,24 @@ def test_tree_decides_within_articles(spark):
     assert all(t.endswith("all stories") for t in texts(spark, few))
     same = "<body><div>{}</div><article><p>The one story</p></article></body>"  # nothing would be left
     assert texts(spark, [same.format(i) for i in range(9)]) == ["The one story"] * 9
+
+
+def test_any_column_name(spark):
+    """Columns that are named like inner ones come through as they are; a column named text is replaced."""
+    names = "row host nodes many _host _nodes _many node importance spans kept score predicted a.b".split()
+    pages = spark.createDataFrame([(1, "http://s.com/", "<p>One</p>", *names, "old"), (2, None, None, *names, None)], "page_id long, url string, html string, " + ", ".join(f"`{c}` string" for c in names) + ", text string")
+    got = sorted(style_tree.main_texts(pages).collect())
+    assert [tuple(r) for r in got] == [(1, "http://s.com/", "<p>One</p>", *names, "One"), (2, None, None, *names, "")]
+    assert [r.text for r in style_tree.page_digest(pages).orderBy("page_id").collect()] == ["One", ""]
+
+
+def test_broken_pages_take_time_in_proportion():
+    """Quotes and elements that don't end, many times over: what follows is still text."""
+    many = 20_000
+    for bad in ("<p title='x>a", '<p title="x>a', "<button>b", "<svg>c", "</b <i ", "<!x", "<p it's>d"):
+        began = time.process_time()
+        blocks = style_tree.main_blocks(bad * many + "<p>end", {})
+        assert time.process_time() - began < 5, bad
+        assert blocks or bad in ("</b <i ", "<!x"), bad
+    assert style_tree.main_blocks('<p>one</p><p title="x>two</p>', {}) == ["one", "two"]
+    assert style_tree.main_blocks("<p it's>one</p><p>it's two</p>", {}) == ["one", "it's two"]
