@@ -7,7 +7,8 @@ the node, with c pages for a presentation or a block,
   importance by presentation = - sum p * log_m p, with p = c / m for each presentation,
   importance by content = 1 - mean of log_m c over the distinct blocks,
 and both are 1 if m = 1.  Copies of a page (equal html) on one host count once.  The counts are partial aggregations, so that a host with a third of all pages
-is no larger a task than another.  Only nodes with an importance below 1 are kept, a row per host.
+is no larger a task than another.  Only nodes with an importance below 1 are kept.  A host with at most MAP_NODES of them
+has them in one row, joined to its pages; pages of other hosts are joined to the nodes that they hold themselves, so that no row grows with a host.
 
 In the second pass each page's branches get a composite importance, (1 - G^l) * own + G^l * mean of the
 children's, l their number; a branch goes if it and all within it are below LEAST.  Elements whose tag, role, class or id says what they are weigh in as
@@ -45,6 +46,7 @@ GAMMA = 0.9
 LEAST = 0.35
 INSIDE = 0.1  #: LEAST within an article
 MANY = 5  #: pages
+MAP_NODES = 500  #: of a host, in one row
 
 #: What tags and names mean.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -194,8 +196,7 @@ def page_features(page: str) -> set[tuple[int, str, int]]:
 def _features(batches):
     for batch in batches:
         hosts, paths, kinds, values, copies = [], [], [], [], []
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            same = code(page or "")
+        for host, page, same in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "page")), strict=True):
             for path, kind, value in page_features(page or ""):
                 hosts.append(host)
                 paths.append(path)
@@ -205,9 +206,15 @@ def _features(batches):
         yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(kinds, pa.string()), pa.array(values, pa.int64()), pa.array(copies, pa.int64())], names=["host", "node", "kind", "value", "page"])
 
 
-def site_trees(pages: DataFrame) -> DataFrame:
-    """(host, nodes: map of a path's code to its importance, many: those on MANY pages) from pages(host, html); paths with importance 1 are left out."""
-    rows = pages.mapInArrow(_features, "host string, node long, kind string, value long, page long").distinct()
+def _feature_rows(pages: DataFrame) -> DataFrame:
+    """(host, node, kind, value, page: the html's code) from pages(host, html)."""
+    keyed = pages.select("host", "html", F.xxhash64(F.coalesce("html", F.lit(""))).alias("page"))
+    return keyed.mapInArrow(_features, "host string, node long, kind string, value long, page long")
+
+
+def node_importances(pages: DataFrame) -> DataFrame:
+    """(host, node, importance, often: on MANY pages) from pages(host, html); nodes with importance 1 are left out."""
+    rows = _feature_rows(pages).distinct()
     counts = rows.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"))
     # every page has one presentation of each of its nodes: their counts add up to m
     sums = counts.groupBy("host", "node").agg(
@@ -219,8 +226,18 @@ def site_trees(pages: DataFrame) -> DataFrame:
     shown = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("presentation") / F.col("m") / log_m)  # - sum p log_m p
     told = F.lit(1.0) - F.col("content") / log_m
     importance = F.when(F.col("m") <= 1, 1.0).otherwise(F.coalesce(told, shown))
-    known = sums.select("host", "node", "m", importance.alias("importance")).filter("importance < 0.999")
-    return known.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("node", "importance"))).alias("nodes"), F.collect_list(F.when(F.col("m") >= MANY, F.col("node"))).alias("many"))
+    return sums.select("host", "node", importance.alias("importance"), (F.col("m") >= MANY).alias("often")).filter("importance < 0.999")
+
+
+def _gathered(known: DataFrame, *keys: str) -> DataFrame:
+    """(keys, nodes: map of a path's code to its importance, many: those on MANY pages)."""
+    nodes = F.map_from_entries(F.collect_list(F.struct("node", "importance"))).alias("nodes")
+    return known.groupBy(*keys).agg(nodes, F.collect_list(F.when(F.col("often"), F.col("node"))).alias("many"))
+
+
+def site_trees(pages: DataFrame) -> DataFrame:
+    """(host, nodes, many) from pages(host, html), a row per host."""
+    return _gathered(node_importances(pages), "host")
 
 
 def composite(node: Node, own: dict[int, float]) -> dict[int, float]:
@@ -292,15 +309,25 @@ def _extract(batches):
         yield pa.record_batch([rows, pa.array(texts, pa.string())], names=["row", "text"])
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
-    """The pages (page_id, url, html and whatever else, of any name) with text; a column of this name is replaced."""
+def main_texts(pages: DataFrame, map_nodes: int = MAP_NODES) -> DataFrame:
+    """The pages (page_id, url, html and whatever else, of any name) with text; a column of this name is replaced.
+    map_nodes changes how importances come to the pages, not the texts."""
     host, _ = host_and_path(F.col("url"))
     names = [f"`{c}`" for c in pages.columns if c != "text"]
+    rows = pages.select(F.struct(*names).alias("row"), host.alias("host"))  # so that no name can clash
     # written first: a small table is then broadcast by its true size, and with a large one both sides of the join are
     # shuffled for it, so that Spark can split a host with very many pages
-    trees = stored(site_trees(pages.select(host.alias("host"), "html")), "trees")
-    rows = pages.select(F.struct(*names).alias("row"), host.alias("host"))  # so that no name can clash
-    joined = rows.join(trees, "host", "left").select("row", "nodes", "many")
+    known = stored(node_importances(rows.select("host", "row.html")), "importances")
+    large = stored(known.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > map_nodes).select("host"), "large")
+    trees = stored(_gathered(known.join(large, "host", "left_anti"), "host"), "trees")
+    if large.isEmpty():
+        joined = rows.join(trees, "host", "left").select("row", "nodes", "many")
+    else:
+        joined = rows.join(large, "host", "left_anti").join(trees, "host", "left").select("row", "nodes", "many")
+        rest = rows.join(large, "host", "left_semi").withColumn("page", F.xxhash64(F.coalesce("row.html", F.lit(""))))
+        held = _feature_rows(rest.select("host", "row.html")).filter("kind = 'p'").select("host", "page", "node").distinct()
+        own = _gathered(held.join(known, ["host", "node"]), "host", "page")
+        joined = joined.union(rest.join(own, ["host", "page"], "left").select("row", "nodes", "many"))
     out = joined.mapInArrow(_extract, StructType([joined.schema["row"], StructField("text", StringType())]))
     return out.select(*(F.col(f"row.{c}") for c in names), "text")
 

@@ -46,6 +46,51 @@ def test_tree_decides_within_articles(spark):
     assert texts(spark, [same.format(i) for i in range(9)]) == ["The one story"] * 9
 
 
+def test_large_hosts_give_the_same_texts(spark):
+    """Importances joined to pages by their own nodes, instead of in a row per host."""
+    rng = random.Random(8)
+    menu = "<div class=m><p>Home</p><p>Contact</p></div>"
+    pages = [f"<body>{menu if i % 4 else ''}<div id=s{i % 3}><p>{prose(rng, 30)}</p><p>{prose(rng, 12)}</p></div><div class=f>All rights reserved</div></body>" for i in range(30)]
+    rows = [(i, f"http://h{i % 2}.com/{i}", h) for i, h in enumerate(pages + pages[:3] + [None, ""])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [sorted((r.page_id, r.text) for r in style_tree.main_texts(df, n).collect()) for n in (500, 4, 0)]
+    assert got[0] == got[1] == got[2]
+    assert len(got[0]) == 35 and not any("All rights" in t or "Contact" in t for _, t in got[0])
+
+
+def plain_importances(pages):
+    """(node, importance) of one host, by the formulas over whole pages."""
+    import math
+    from collections import Counter
+
+    shown, told = {}, {}
+    for page in set(pages):
+        for path, kind, value in style_tree.page_features(page):
+            (shown if kind == "p" else told).setdefault(path, Counter())[value] += 1
+    out = {}
+    for path, kinds in shown.items():
+        m = sum(kinds.values())
+        if m > 1 and path in told:
+            out[path] = 1 - sum(math.log(c, m) for c in told[path].values()) / len(told[path])
+        elif m > 1:
+            out[path] = max(0.0, -sum(c / m * math.log(c / m, m) for c in kinds.values()))
+    return {k: v for k, v in out.items() if v < 0.999}
+
+
+def test_tree_equals_a_plain_one_and_decides(spark):
+    """Without landmarks or telling names the tree alone finds the article: menus and notes that a site repeats go."""
+    rng = random.Random(9)
+    notes = [prose(rng, 9) for _ in range(2)]
+    told = [[prose(rng, 5), prose(rng, 40), prose(rng, 25)] for _ in range(24)]
+    pages = [f"<body><div class=a1><ul><li>Start</li><li>Archive</li></ul></div><div class=a2><h1>{t[0]}</h1><p>{t[1]}</p><p>{t[2]}</p></div><div class=a3>{notes[i % 2]}</div></body>" for i, t in enumerate(told)]
+    df = spark.createDataFrame([("s.com", p) for p in pages + pages[:2]], "host string, html string")
+    got = {r.node: r.importance for r in style_tree.node_importances(df).collect()}
+    want = plain_importances(pages)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert texts(spark, pages) == ["\n".join(t) for t in told]
+    assert all("Archive" in "\n".join(style_tree.main_blocks(p, {})) for p in pages)  # taking the tree out changes results
+
+
 def test_any_column_name(spark):
     """Columns that are named like inner ones come through as they are; a column named text is replaced."""
     names = "row host nodes many _host _nodes _many node importance spans kept score predicted a.b".split()
