@@ -40,7 +40,7 @@ class Scratch:
     """Tables that an operator writes on its way; they go when the block ends, so what it returns has to be written by then."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}"
+        self.spark, self.folder, self.views = spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}", []
 
     def __enter__(self) -> Scratch:
         return self
@@ -54,8 +54,18 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, n: int, key: str) -> DataFrame:
+        """As stored, in n buckets by the key: grouping by it needs no further shuffle."""
+        view = f"steps_{uuid.uuid4().hex}"
+        df.repartition(n, key).write.option("path", f"{self.folder}/{name}").bucketBy(n, key).saveAsTable(view)
+        self.views.append(view)
+        return self.spark.table(view)
+
     def discard(self, *names: str) -> None:
         """Delete tables whose readers are done, or all."""
+        if not names:
+            for view in self.views:
+                self.spark.sql(f"DROP TABLE IF EXISTS {view}")
         for path in [f"{self.folder}/{n}" for n in names] or [self.folder]:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
