@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chosen_path, containment, jpeg, language, pieces, run_index, style_tree, toxicity, url_cascade
+from . import chosen_path, containment, grace, importance, jpeg, language, pieces, run_index, style_tree, toxicity, turn_trie, url_cascade
 from .steps import table
 
 
@@ -50,10 +50,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_index.repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grace.copies_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampling_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_url_filter, op2_html_text, op3_toxicity, op4_pieces, op5_token_counts, op6_near_dedup, op7_media, op8_decontamination, op9_language, op10_suffix_dedup)
+    every = (op1_url_filter, op2_html_text, op3_toxicity, op4_pieces, op5_token_counts, op6_near_dedup, op7_media, op8_decontamination, op9_language, op10_suffix_dedup, op11_exact_dedup, op12_turn_trie, op13_importance_resampling)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_cascade.url_sql()}
+    return {"op1_url_filter": url_cascade.url_sql(), "op11_exact_dedup": grace.copies_sql(), "op12_turn_trie": turn_trie.trie_sql(), "op13_importance_resampling": importance.resampling_sql()}
