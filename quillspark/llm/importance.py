@@ -5,7 +5,7 @@ A bucket's gain is floor(1000 ln((t + 1)(S + BUCKETS) / ((s + 1)(T + BUCKETS))))
 in it; a document's weight is the sum of its features' gains, and its score the weight and a Gumbel term from its doc_id.
 
 1. Each task counts features by document over slices of SLICE_BYTES of text: a slice's distinct strings with
-   their counts, and for each document the numbers of its strings in that list, with counts.  This table is written; texts are read once.
+   their counts, and for each document the numbers of its strings in that list, as gaps, with counts.  This table is written; texts are read once.
 2. The slices' strings are counted over all slices, and each distinct string is hashed once.  Counts are summed by bucket: BUCKETS rows at most.
 3. The strings of a slice get their gains from the dictionary.  A string comes once a slice, so that the commonest word is as many
    rows as there are slices, not documents; slices then meet their gains in tasks of their own.
@@ -31,7 +31,7 @@ from . import textcodes as tc
 from .steps import Scratch, stored
 
 BUCKETS, LONGEST, LEAST_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 16 << 20
 RESULT = ("n_features", "weight", "score", "rank")
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -73,14 +73,17 @@ def _sliced(longest: int):
                 codes, n = features.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(features.dictionary))
                 pairs, times = np.unique(rows * n + codes, return_counts=True)
                 bounds = np.searchsorted(pairs, np.arange(len(n_words) + 1) * n)
-                at, times = (pairs % n).astype(np.int32), times.astype(np.int32)
+                at = pairs % n
+                gaps, firsts = np.diff(at, prepend=0), bounds[:-1][bounds[:-1] < bounds[1:]]
+                gaps[firsts] = at[firsts]
+                gaps, times = gaps.astype(np.int32), times.astype(np.int32)
                 empty = [None] * (len(n_words) - 1)
                 yield pa.record_batch(
                     [
                         pa.array(np.full(len(n_words), number)),
                         part.column("row"),
                         pa.array(n_words, pa.int64()),
-                        *(pa.array([x[a:b].tobytes() for a, b in pairwise(bounds)], pa.binary()) for x in (at, times)),
+                        *(pa.array([x[a:b].tobytes() for a, b in pairwise(bounds)], pa.binary()) for x in (gaps, times)),
                         pa.array([features.dictionary.to_pylist(), *empty], pa.list_(pa.binary())),
                         pa.array([np.bincount(codes, minlength=len(features.dictionary)).tolist(), *empty], pa.list_(pa.int64())),
                     ],
@@ -98,7 +101,7 @@ def _weighed(docs: pa.Table, gains: pa.Table) -> pa.Table:
     weight, n = [], []
     for at, times in zip(docs.column("at").to_pylist(), docs.column("times").to_pylist(), strict=True):
         times = np.frombuffer(times, np.int32).astype(np.int64)
-        weight.append(int((gain[np.frombuffer(at, np.int32)] * times).sum()))
+        weight.append(int((gain[np.cumsum(np.frombuffer(at, np.int32))] * times).sum()))
         n.append(int(times.sum()))
     return pa.table([docs.column("row"), docs.column("n_words"), pa.array(n, pa.int64()), pa.array(weight, pa.int64())], names=["row", "n_words", "n_features", "weight"])
 
