@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rx import cut, every, first, has, let, prefix_number, round2, trim
+from .rx import cut, every, first, folded, has, holds, let, prefix_number, round2, trim
 
 
 def _count(text: Column, mark: str) -> Column:
@@ -18,10 +18,15 @@ def _without(text: Column, mark: str) -> Column:
 
 def normalize_amount(raw: Column) -> Column:
     """The value of an amount, null if there is none.  The last of two kinds of separators is the decimal one; a
-    single separator is one for thousands if exactly three characters follow."""
-    clean = trim(F.regexp_replace(F.regexp_replace(cut(raw, r"\bBs\.?\s*"), "[$€£¥]", ""), r"\s+", " "))
+    single separator is one for thousands if exactly three characters follow.  Amounts like 1,234.56 and 12.50 need no more than a look."""
+    plain = r"^\d{1,3}(?:,\d{3})*\.\d{2}\z|^\d+\.\d{2}\z"
+    return let(raw, lambda r: F.when(r.rlike(plain), _without(r, ",").cast("double")).otherwise(_any_amount(r)))
+
+
+def _any_amount(raw: Column) -> Column:
+    clean = trim(F.regexp_replace(F.translate(F.when(F.contains(F.lower(raw), F.lit("bs")), cut(raw, r"\bBs\.?\s*")).otherwise(raw), "$€£¥", ""), r"\s+", " "))
     marked = lambda bare: F.struct(bare.alias("t"), _count(bare, ".").alias("dots"), _count(bare, ",").alias("commas"))
-    value = let(let(F.regexp_replace(clean, "[-−]", ""), marked), lambda m: prefix_number(F.regexp_replace(_plain(m), "[^0-9.]", "")))
+    value = let(let(F.translate(clean, "-−", ""), marked), lambda m: prefix_number(F.regexp_replace(_plain(m), "[^0-9.]", "")))
     minus = lambda s: s.startswith("-") | s.startswith("−") | (s.contains("-") & ~has(s, r"\d-\d"))
     return let(clean, lambda s: F.when(has(s, r"\d"), value * F.when(minus(s), -1.0).otherwise(1.0)))
 
@@ -67,12 +72,13 @@ def last(values: Column) -> Column:
     return F.get(values, F.size(values) - 1)
 
 
-def first_amount(text: Column, patterns: list[str], flags: str = "im") -> Column:
-    """The first pattern in order whose first match is a positive amount with two decimals at least; later ones are not tried.
+def first_amount(text: Column, patterns: list[tuple[str, str]], flags: str = "im") -> Column:
+    """The first pattern in order whose first match is a positive amount with two decimals at least; later ones are not tried,
+    nor are those whose word the text doesn't hold.
 
     A match is positive if it holds a digit other than 0, as every digit of a match counts."""
     fits = lambda r: F.when(r.rlike(r"[.,]\d{2}") & r.rlike("[1-9]"), r)
-    return normalize_amount(F.coalesce(*(let(first(text, p, flags=flags), fits) for p in patterns)))
+    return normalize_amount(let(folded(text), lambda low: F.coalesce(*(F.when(holds(low, word), let(first(text, p, flags=flags), fits)) for word, p in patterns))))
 
 
 def compute_fields(f: dict[str, Column]) -> dict[str, Column]:

@@ -6,46 +6,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .amounts import first_amount, last, normalize_amount, numbers
-from .rx import cut, first, full_lines, has, let, lines, trim
+from .rx import cut, first, folded, full_lines, groups, has, holds, let, lines, trim
 
-# Labels, words and patterns, in the order in which they are tried.
-_BS = r"(?:bs\.?\s*)?"
-_CUR = r"(?:[\$€£B\/\.]\s*)?"
-_N = r"([\d.,]+)"
-_SEP = r"\s*[:\-=]?\s*"
+# A word that the text must hold, and a pattern, in the order in which they are tried.
 TOTALS = [
-    r"total\s+a\s+pagar" + _SEP + _BS + _N,
-    r"\btotal\s+factura" + _SEP + _BS + _N,
-    r"\bgrand\s+total" + _SEP + _BS + _N,
-    r"\bamount\s+due" + _SEP + _CUR + _N,
-    r"\btotal\s+due" + _SEP + _CUR + _N,
-    r"\bbalance\s+due" + _SEP + _CUR + _N,
-    r"\bimporte\s+total" + _SEP + _BS + _N,
-    r"\btotal\s+a\s+cobrar" + _SEP + _BS + _N,
-    *(rf"\b{label}" + _SEP + _BS + _CUR + _N for label in (r"monto\s+total", r"total\s+general", r"neto\s+a\s+pagar", r"valor\s+total", r"total\s+venta", r"total\s+pagado")),
-    r"\btotal\s+(?:bs|usd|\$|b\/\.)" + _SEP + _N,
-    r"^\s*total" + _SEP + _BS + _CUR + _N + r"\s*$",
-    r"^total\s*$\s*" + _N,
-    r"\btotal\b(?!\s+(?:iva|igv|vat|tax|itbms|itbis|impuesto|impuestos|de\s|items?|productos?|l[ií]nea|por\s|neto|exento|gravado|base|imponible|parcial|abonado|anterior|del\s+mes|descuento))[^\d\n]{0,25}" + _N,
+    ("pagar", r"total\s+a\s+pagar\s*[:\-=]?\s*(?:bs\.?\s*)?([\d.,]+)"),
+    ("factura", r"\btotal\s+factura\s*[:\-=]?\s*(?:bs\.?\s*)?([\d.,]+)"),
+    ("grand", r"\bgrand\s+total\s*[:\-=]?\s*(?:bs\.?\s*)?([\d.,]+)"),
+    ("amount", r"\bamount\s+due\s*[:\-=]?\s*(?:[\$€£B\/\.]\s*)?([\d.,]+)"),
+    ("due", r"\btotal\s+due\s*[:\-=]?\s*(?:[\$€£B\/\.]\s*)?([\d.,]+)"),
+    ("balance", r"\bbalance\s+due\s*[:\-=]?\s*(?:[\$€£B\/\.]\s*)?([\d.,]+)"),
+    ("importe", r"\bimporte\s+total\s*[:\-=]?\s*(?:bs\.?\s*)?([\d.,]+)"),
+    ("cobrar", r"\btotal\s+a\s+cobrar\s*[:\-=]?\s*(?:bs\.?\s*)?([\d.,]+)"),
+    ("monto", r"\bmonto\s+total\s*[:\-=]?\s*(?:bs\.?\s*)?(?:[\$€£B\/\.]\s*)?([\d.,]+)"),
+    ("general", r"\btotal\s+general\s*[:\-=]?\s*(?:bs\.?\s*)?(?:[\$€£B\/\.]\s*)?([\d.,]+)"),
+    ("neto", r"\bneto\s+a\s+pagar\s*[:\-=]?\s*(?:bs\.?\s*)?(?:[\$€£B\/\.]\s*)?([\d.,]+)"),
+    ("valor", r"\bvalor\s+total\s*[:\-=]?\s*(?:bs\.?\s*)?(?:[\$€£B\/\.]\s*)?([\d.,]+)"),
+    ("venta", r"\btotal\s+venta\s*[:\-=]?\s*(?:bs\.?\s*)?(?:[\$€£B\/\.]\s*)?([\d.,]+)"),
+    ("pagado", r"\btotal\s+pagado\s*[:\-=]?\s*(?:bs\.?\s*)?(?:[\$€£B\/\.]\s*)?([\d.,]+)"),
+    ("total", r"\btotal\s+(?:bs|usd|\$|b\/\.)\s*[:\-=]?\s*([\d.,]+)"),
+    ("total", r"^\s*total\s*[:\-=]?\s*(?:bs\.?\s*)?(?:[\$€£B\/\.]\s*)?([\d.,]+)\s*$"),
+    ("total", r"^total\s*$\s*([\d.,]+)"),
+    ("total", r"\btotal\b(?!\s+(?:iva|igv|vat|tax|itbms|itbis|impuesto|impuestos|de\s|items?|productos?|l[ií]nea|por\s|neto|exento|gravado|base|imponible|parcial|abonado|anterior|del\s+mes|descuento))[^\d\n]{0,25}([\d.,]+)"),
 ]
 SUBTOTALS = [
-    r"sub\s*total" + _SEP + _BS + _N,
-    r"\bbase\s+imponible" + _SEP + _BS + _N,
-    r"\bnet\s+amount" + _SEP + r"(?:[\$€£]\s*)?" + _N,
-    r"\btaxable\s+amount" + _SEP + r"(?:[\$€£]\s*)?" + _N,
-    r"\btotal\s+neto\s*[:\|]?\s*" + _N,
-    r"^\s*subt?l?[.\s]*[:\-=]?\s*(?:\$\s*)?" + _N,
-    r"\bsubtotal\b[^\d\n]{0,25}" + _N,
-    r"\bneto" + _SEP + r"(?:[\$€£]\s*)?" + _N,
-    r"\bvalor\s+total" + _SEP + _BS + _CUR + _N,
+    ("sub", r"sub\s*total\s*[:\-=]?\s*(?:bs\.?\s*)?([\d.,]+)"),
+    ("imponible", r"\bbase\s+imponible\s*[:\-=]?\s*(?:bs\.?\s*)?([\d.,]+)"),
+    ("amount", r"\bnet\s+amount\s*[:\-=]?\s*(?:[\$€£]\s*)?([\d.,]+)"),
+    ("amount", r"\btaxable\s+amount\s*[:\-=]?\s*(?:[\$€£]\s*)?([\d.,]+)"),
+    ("neto", r"\btotal\s+neto\s*[:\|]?\s*([\d.,]+)"),
+    ("sub", r"^\s*subt?l?[.\s]*[:\-=]?\s*(?:\$\s*)?([\d.,]+)"),
+    ("subtotal", r"\bsubtotal\b[^\d\n]{0,25}([\d.,]+)"),
+    ("neto", r"\bneto\s*[:\-=]?\s*(?:[\$€£]\s*)?([\d.,]+)"),
+    ("valor", r"\bvalor\s+total\s*[:\-=]?\s*(?:bs\.?\s*)?(?:[\$€£B\/\.]\s*)?([\d.,]+)"),
 ]
 TAX_WORD = r"\b(iva|igv|itbms|itbis|vat|tax|impuesto|sales\s+tax)\b"
 EXEMPT = r"\b(exento|exempt|exclu[íi]do|excluido|libre\s+de\s+iva|sin\s+iva|no\s+sujeto)\b"
 ZERO_TAX = r"\b(exento|exempt|0\s*%\s*(?:iva|igv|itbms|vat)|iva\s*0[.,]?0*%?|itbms\s*0|sin\s+impuesto|libre\s+de\s+impuesto)\b"
-SKIP_VENDOR = (
-    r"^(seniat|sentat|sen[il]at|providencia|administraci[oó]n\s+tributaria|servicio\s+nacional|ministerio|repúblic|gobierno|national\s+tax|iva\b|tax\s+auth|fecha\b|factura\b|invoice\b|recibo\b|receipt\b|tel[eé]f|fax|e-?mail|www\.|http|rif\b|ruc\b|nit\b|dv\b|comprobante\b|dgi\b|"
-    r"factura\s+de\s+operaci[oó]n|tipo\s+de\s+receptor|emisor\b|cliente\b|receptor\b|direcci[oó]n\b|punto\s+de\s+facturaci[oó]n|electr[oó]nica\b|nota\s+de\s+(?:cr[eé]dito|d[eé]bito)|ticket\b|boleta\b|original\b|copia\b)"
-)
+SKIP_VENDOR = r"^(seniat|sentat|sen[il]at|providencia|administraci[oó]n\s+tributaria|servicio\s+nacional|ministerio|repúblic|gobierno|national\s+tax|iva\b|tax\s+auth|fecha\b|factura\b|invoice\b|recibo\b|receipt\b|tel[eé]f|fax|e-?mail|www\.|http|rif\b|ruc\b|nit\b|dv\b|comprobante\b|dgi\b|factura\s+de\s+operaci[oó]n|tipo\s+de\s+receptor|emisor\b|cliente\b|receptor\b|direcci[oó]n\b|punto\s+de\s+facturaci[oó]n|electr[oó]nica\b|nota\s+de\s+(?:cr[eé]dito|d[eé]bito)|ticket\b|boleta\b|original\b|copia\b)"
 SKIP_TERMINAL = r"^(DC\d+|POS[\-\s]?\d*|TERM[\-\s]?\d+|CAJA\s*\d+|REG\s*\d+|TML\s*\d+|[A-Z]{1,3}\d{1,4})$"
 NO_NAME = r"^[\d\s\-\/\\.,;:()+]+$"
 LETTERS = r"[a-záéíóúñA-ZÁÉÍÓÚÑ]{3,}"
@@ -84,8 +82,8 @@ MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agost
 SHORT_MONTHS = ("ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "nov", "dic")
 CURRENCIES = ("VES", "USD", "EUR", "COP", "MXN", "ARS", "CLP", "PAB", "PEN")
 CURRENCY_MARKS = [
-    ("VES", r"\bBs\.?\s*[\d,.]|\bBs\b|\bVES\b", "i"), ("PAB", r"\bITBMS\b|\bB\/\.|\bPAB\b|Panam[aá]", "i"), ("EUR", r"€|\bEUR\b", ""), ("USD", r"\bUSD\b|\bUS\$\b", ""), ("MXN", r"\bMXN\b|M[eé]xico", "i"),
-    ("COP", r"\bCOP\b|Colombia", "i"), ("ARS", r"\bARS\b|Argentina", "i"), ("CLP", r"\bCLP\b|Chile\b", "i"), ("PEN", r"\bPEN\b|S\/\.?\s?\d", "i"),
+    ("VES", "bs|ves", r"\bBs\.?\s*[\d,.]|\bBs\b|\bVES\b", "i"), ("PAB", "itbms|b/.|pab|panam", r"\bITBMS\b|\bB\/\.|\bPAB\b|Panam[aá]", "i"), ("EUR", "€|eur", r"€|\bEUR\b", ""), ("USD", "usd|us$", r"\bUSD\b|\bUS\$\b", ""), ("MXN", "mxn|xico", r"\bMXN\b|M[eé]xico", "i"),
+    ("COP", "cop|colombia", r"\bCOP\b|Colombia", "i"), ("ARS", "ars|argentina", r"\bARS\b|Argentina", "i"), ("CLP", "clp|chile", r"\bCLP\b|Chile\b", "i"), ("PEN", "pen|s/", r"\bPEN\b|S\/\.?\s?\d", "i"),
 ]
 
 
@@ -109,8 +107,8 @@ def tax(text: Column) -> Column:
 def tax_percentage(text: Column) -> Column:
     words = r"\b(?:iva|igv|vat|tax|impuesto)\b"
     got = F.coalesce(first(text, words + r"[^%\d\n]{0,30}(\d{1,2}(?:[.,]\d{1,2})?)\s*%"), first(text, r"(\d{1,2}(?:[.,]\d{1,2})?)\s*%[^%\n]{0,20}" + words))
-    value = F.replace(got, F.lit(","), F.lit(".")).try_cast("double")
-    return F.when((value > 0) & (value < 100), value)
+    value = F.when(F.contains(text, F.lit("%")), F.replace(got, F.lit(","), F.lit("."))).try_cast("double")
+    return let(value, lambda v: F.when((v > 0) & (v < 100), v))
 
 
 def zero_tax_signal(text: Column) -> Column:
@@ -159,13 +157,8 @@ def payment_method(text: Column) -> Column:
 
 def items(text: Column) -> Column:
     """Lines `description quantity unit total`, as an array of structs."""
-    rows = F.filter(full_lines(text), lambda x: ~has(x, NOT_ITEM) & has(x, ITEM, ""))
-    made = F.transform(
-        rows,
-        lambda x: F.struct(
-            trim(first(x, ITEM, 1, "")).alias("description"), first(x, ITEM, 2, "").cast("int").alias("quantity"), normalize_amount(first(x, ITEM, 3, "")).alias("unit_price"), normalize_amount(first(x, ITEM, 4, "")).alias("total")
-        ),
-    )
+    rows = F.filter(F.transform(F.filter(full_lines(text), lambda x: F.contains(F.lit("0123456789.,"), F.right(x, F.lit(1))) & ~has(x, NOT_ITEM)), lambda x: groups(x, ITEM, 4, "")), lambda g: g.isNotNull())
+    made = F.transform(rows, lambda g: F.struct(trim(g[0]).alias("description"), g[1].cast("int").alias("quantity"), normalize_amount(g[2]).alias("unit_price"), normalize_amount(g[3]).alias("total")))
     return F.filter(made, lambda i: (i["unit_price"] != 0) & (i["total"] != 0) & (i["quantity"] >= 1))
 
 
@@ -176,16 +169,20 @@ def labeled_fields(text: Column) -> Column:
     return F.map_filter(made, lambda _, v: v.isNotNull() & (v != ""))
 
 
-def customer_split(text: Column) -> tuple[Column, Column]:
-    """(text before the first line with a customer's label, text from there on; null if there is none)."""
-    rows = lines(text)
-    at = F.array_position(F.transform(rows, lambda x: has(x, CUSTOMER)), True).cast("int")  # 0: none
-    before = F.when(at == 0, text).otherwise(F.array_join(F.slice(rows, 1, F.greatest(at - 1, F.lit(0))), "\n"))
-    return before, F.when(at > 0, F.array_join(F.slice(rows, F.greatest(at, F.lit(1)), F.size(rows)), "\n"))
+def customer_split(text: Column) -> Column:
+    """Text before the first line with a customer's label, and text from there on; null if there is none."""
+    found = let(lines(text), lambda rows: F.struct(rows.alias("rows"), F.array_position(F.transform(rows, lambda x: F.contains(x, F.lit(":")) & has(x, CUSTOMER)), True).cast("int").alias("at")))  # 0: none
+
+    def split(f: Column) -> Column:
+        rows, at = f["rows"], f["at"]
+        before = F.when(at == 0, text).otherwise(F.array_join(F.slice(rows, 1, F.greatest(at - 1, F.lit(0))), "\n"))
+        return F.struct(before.alias("before"), F.when(at > 0, F.array_join(F.slice(rows, F.greatest(at, F.lit(1)), F.size(rows)), "\n")).alias("after"))
+
+    return let(found, split)
 
 
 def labeled_parties(text: Column) -> Column:
-    return let(F.struct(*(c.alias(n) for c, n in zip(customer_split(text), ("before", "after"), strict=True))), lambda p: _parties(text, p["before"], p["after"]))
+    return let(customer_split(text), lambda p: _parties(text, p["before"], p["after"]))
 
 
 def _parties(text: Column, before: Column, after: Column) -> Column:
@@ -204,21 +201,20 @@ def date(text: Column) -> Column:
     t = F.lower(text)
     two = lambda x: F.lpad(x, 2, "0")
 
-    def dmy(pattern: str, flags: str = "i") -> Column:
-        d, m, y = (first(t, pattern, g, flags) for g in (1, 2, 3))
-        return F.when(y.isNotNull(), F.concat(y, F.lit("-"), two(m), F.lit("-"), two(d)))
+    def dated(pattern: str, year: int, month: int, day: int, month_of=two) -> Column:
+        """The first match once, its parts from that match alone."""
+        return let(first(t, pattern, 0), lambda m: F.concat(first(m, pattern, year), F.lit("-"), month_of(first(m, pattern, month)), F.lit("-"), two(first(m, pattern, day))))
 
     def named(pattern: str, months: dict[str, str]) -> Column:
         table = F.create_map(*(F.lit(x) for kv in months.items() for x in kv))
-        return F.concat(first(t, pattern, 3), F.lit("-"), F.try_element_at(table, first(t, pattern, 2)), F.lit("-"), two(first(t, pattern, 1)))
+        return dated(pattern, 3, 2, 1, lambda m: F.try_element_at(table, m))
 
-    iso = r"\b(\d{4})[\/.-](\d{2})[\/.-](\d{2})\b"
     long = {m: f"{i:02}" for i, m in enumerate(MONTHS, 1)}
     short = {m: f"{i:02}" for i, m in enumerate(SHORT_MONTHS, 1) if m != "may"}
     return F.coalesce(
-        dmy(r"fecha\s*:?\s*(\d{1,2})\s*[-/]\s*(\d{1,2})\s*[-/]\s*(\d{4})"),
-        F.when(first(t, iso).isNotNull(), F.concat(first(t, iso, 1), F.lit("-"), first(t, iso, 2), F.lit("-"), first(t, iso, 3))),
-        dmy(r"\b(\d{1,2})[\/.-](\d{1,2})[\/.-](\d{4})\b"),
+        dated(r"fecha\s*:?\s*(\d{1,2})\s*[-/]\s*(\d{1,2})\s*[-/]\s*(\d{4})", 3, 2, 1),
+        dated(r"\b(\d{4})[\/.-](\d{2})[\/.-](\d{2})\b", 1, 2, 3),
+        dated(r"\b(\d{1,2})[\/.-](\d{1,2})[\/.-](\d{4})\b", 3, 2, 1),
         named(r"\b(\d{1,2})\s+de\s+(" + "|".join(MONTHS) + r")\s+(?:de\s+)?(\d{4})\b", long),
         named(r"\b(\d{1,2})\s+(" + "|".join(SHORT_MONTHS) + r")\s+(\d{4})\b", short),
     )
@@ -231,18 +227,22 @@ def sanitize_currency(code: Column) -> Column:
 
 def currency(text: Column, hint: Column) -> Column:
     """By marks in the text, in order; else the hint if it is a known code; else USD."""
-    out = F.when(text.isNull() | (text == ""), F.coalesce(sanitize_currency(hint), F.lit("USD")))
-    for code, pattern, flags in CURRENCY_MARKS:
-        out = out.when(has(text, pattern, flags), code)
-    return out.otherwise(F.coalesce(sanitize_currency(hint), F.lit("USD")))
+
+    def marked(low: Column) -> Column:
+        out = F.when(text.isNull() | (text == ""), F.lit(None).cast("string"))
+        for code, words, pattern, flags in CURRENCY_MARKS:
+            out = out.when(holds(low, words) & has(text, pattern, flags), code)
+        return out
+
+    return F.coalesce(let(folded(text), marked), sanitize_currency(hint), F.lit("USD"))
 
 
 def rules(text: Column) -> Column:
     """All generic rules over a text, as one struct."""
-    parts = F.struct(labeled_parties(text).alias("p"), tax(text).alias("t"), tax_percentage(text).alias("pct"), zero_tax_signal(text).alias("zero"))
+    parts = F.struct(labeled_parties(text).alias("p"), tax(text).alias("t"), tax_percentage(text).alias("pct"))
 
     def made(x: Column) -> Column:
-        p, exempt = x["p"], x["t"].isNull() & x["zero"]
+        p, exempt = x["p"], x["t"].isNull() & zero_tax_signal(text)
         return F.struct(
             total(text).alias("amount"),
             subtotal(text).alias("subtotal"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
-_SPACE = r"\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SPACE = " \t\n\x0b\f\r\u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def rx(pattern: str, flags: str = "i") -> str:
@@ -31,8 +31,18 @@ def spaced(text: Column) -> Column:
 
 
 def first(text: Column, pattern: str, group: int = 1, flags: str = "i") -> Column:
-    """The group of the first match, null if there is none or it is empty."""
-    return F.nullif(F.regexp_extract(text, rx(pattern, flags), group), F.lit(""))
+    """The group of the first match, null if there is none or it is empty.
+
+    An array of one, as nullif holds its argument twice: within a lambda both are computed."""
+    return F.get(F.array_remove(F.array(F.regexp_extract(text, rx(pattern, flags), group)), ""), 0)
+
+
+def groups(text: Column, pattern: str, n: int, flags: str = "i") -> Column:
+    """All n groups of a line that the pattern matches from its start to its end, as an array; null otherwise.
+
+    One match for all groups; a line holds no line feed, which separates them here."""
+    parts = F.split(F.regexp_replace(text, rx(pattern, flags), "\n".join(f"${g}" for g in range(1, n + 1))), "\n", -1)
+    return F.get(F.filter(F.array(parts), lambda p: F.size(p) == n), 0)
 
 
 def every(text: Column, pattern: str, group: int = 1, flags: str = "i") -> Column:
@@ -43,12 +53,25 @@ def has(text: Column, pattern: str, flags: str = "i") -> Column:
     return text.rlike(rx(pattern, flags))
 
 
+def folded(text: Column) -> Column:
+    """The text in one case, as matching without case sees it: what a pattern's letters match holds these letters here."""
+    return F.lower(F.upper(F.translate(text, "İ", "i")))
+
+
+def holds(low: Column, words: str) -> Column:
+    """Whether a folded text holds one of the words (between bars): a cheap look before a pattern that needs one."""
+    out = F.lit(False)
+    for word in words.split("|"):
+        out = out | F.contains(low, F.lit(word))
+    return out
+
+
 def cut(text: Column, pattern: str, by: str = "", flags: str = "i") -> Column:
     return F.regexp_replace(text, rx(pattern, flags), by)
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{_SPACE}]+|[{_SPACE}]+\z", "")
+    return F.btrim(text, F.lit(_SPACE))
 
 
 def lines(text: Column) -> Column:
