@@ -13,7 +13,7 @@ has them in one row, joined to its pages; pages of other hosts are joined to the
 In the second pass each page's branches get a composite importance, (1 - G^l) * own + G^l * mean of the
 children's, l their number; a branch goes if it and all within it are below LEAST.  Elements whose tag, role, class or id says what they are weigh in as
 prior: menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader comments have
-importance 0; an article (or `main`) has 1, and the rest of such a page has 0, as the article is what is asked for.
+importance 0 (a form that holds half of the page's words or more is a wrapper, and none); an article (or `main`) has 1, and the rest of such a page has 0, as the article is what is asked for.
 What an article holds inherits its 1 as a prior that only the tree's own evidence outweighs: nodes that MANY
 distinct pages have count with their importance, and a branch goes if its composite and all within are below INSIDE.
 An article of which nothing would be left stays whole.  Class and id names count as whole tokens.  Those of adverts and comments give
@@ -53,7 +53,7 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 SKIPPED = frozenset("script style template noscript iframe object svg math canvas audio video textarea select button head title".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noframes")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOISE_TAGS = frozenset("nav footer aside form menu dialog".split())
+NOISE_TAGS = frozenset("nav footer aside menu dialog".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar side aside widget widgets related recommended recommendations share sharing social footer comment comments respond replies disqus form search skip toolbar masthead topbar header".split()
@@ -62,10 +62,12 @@ SPECIAL = frozenset({"article", "main"})
 CLOSED_BY = {"p": BLOCKS - {"html", "body", "head"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "tbody", "tfoot"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option", "optgroup"})}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)(?=[\s=/]|$)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")  # each name with its value, in order
 ADVERT_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored comment comments respond replies disqus".split())
 WEAK = 0.5  #: prior of a name that may also be an article's; the branch's importance and words decide
 WEAK_WORDS = 20
+FORM = 0.25  #: prior of a form, which is left out unless it is wrapped around the page
+FORM_SHARE = 0.5  #: of the page's words, from which on it is
 
 
 class Node:
@@ -93,6 +95,8 @@ def _prior(tag: str, attributes: str) -> tuple[str, float | None]:
         prior = 0.0
     elif tag in SPECIAL:
         prior = 1.0
+    elif tag == "form" and prior is None:
+        prior = FORM
     elif prior is None and names and tag not in ("html", "body"):
         tokens = set(" ".join(names).split())
         prior = 0.0 if tokens & ADVERT_NAMES else WEAK if tokens & NOISE_NAMES else None
@@ -288,6 +292,8 @@ def main_blocks(page: str, own: dict[int, float], many: Iterable[int] = ()) -> l
         heading = inside and (n.tag == "header" or n.prior == WEAK) and _has_heading(n)
         if n.prior == 0.0 and not holds[id(n)] and not heading:
             continue
+        if n.prior == FORM and not holds[id(n)] and words[id(n)] < FORM_SHARE * words[id(root)]:
+            continue
         weighed = score[id(n)] * words[id(n)] / (words[id(n)] + WEAK_WORDS)
         if n.prior == WEAK and not holds[id(n)] and not heading and weighed < LEAST:
             continue

@@ -3,6 +3,8 @@
 import random
 import time
 
+import pytest
+
 from quillspark.llm import style_tree
 
 from .test_operators import prose
@@ -110,3 +112,17 @@ def test_broken_pages_take_time_in_proportion():
         assert blocks or bad in ("</b <i ", "<!x"), bad
     assert style_tree.main_blocks('<p>one</p><p title="x>two</p>', {}) == ["one", "two"]
     assert style_tree.main_blocks("<p it's>one</p><p>it's two</p>", {}) == ["one", "it's two"]
+
+
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        ('<article><div data-note="it is hidden now"><p>Text a</p></div></article>', ["Text a"]),
+        ('<article><div title="see id=nav class=ad here" alt=\'role="form"\'><p>Text b</p></div></article>', ["Text b"]),
+        ("<article><p>Kept</p><div hidden><p>no</p></div><div data-x=1 class='ad'><p>no</p></div></article>", ["Kept"]),
+        ("<body><form action=/x><input name=state><h1>Head</h1><p>" + "word " * 40 + "</p></form></body>", ["Head", " ".join(["word"] * 40)]),
+        ("<p>" + "word " * 40 + "</p><form><p>Your name</p></form>", [" ".join(["word"] * 40)]),
+    ],
+)
+def test_attributes_by_name_and_forms_by_what_they_hold(page, blocks):
+    assert style_tree.main_blocks(page, {}) == blocks
