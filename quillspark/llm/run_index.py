@@ -16,8 +16,8 @@ The run of windows with one anchor is a *context*.
   3. Anchors with more than GROUP kinds of contexts don't fit a block: their windows are counted by
      hash instead, which is exact as well.
 Lineage is cut by written tables; no step keeps a document's repeats anywhere but in its own row.
-doc_id is the key of a document: rows that repeat it must repeat its text, and are then repeats of
-each other.  Rows with a null doc_id take no part and are returned whole, and other columns are not read.
+Each row is a document of its own, with or without a doc_id, and also if others repeat it: rows are told apart by a 64-bit hash of
+doc_id and text.  Rows that repeat both are repeats of each other.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -284,9 +284,13 @@ def _kept(batches, goes):
             yield pa.record_batch([part.column("row"), *numbers, pa.array(cols[3], pa.binary())], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _row_key():
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def repeat_spans(documents: DataFrame, length: int = 400, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, first, end): byte ranges that repeats cover; ranges may overlap.  See the module's text."""
-    docs = documents.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
+    """(doc_id: the row's key, first, end): byte ranges that repeats cover; ranges may overlap.  See the module's text."""
+    docs = documents.select(_row_key().alias("doc_id"), "text")
     long = docs.filter(F.octet_length("text") >= length)
     with Scratch(documents.sparkSession) as made:
         # most anchors come once; only the others' contexts are written
@@ -319,12 +323,11 @@ def drop_repeats(documents: DataFrame, length: int = 400, anchor: int = ANCHOR,
     """One row per document: row (a struct of all its columns but the text), n_bytes, n_removed, n_spans (maximal removed
     runs) and kept (the bytes left, joined).
 
-    An empty table, empty and null texts, and texts shorter than `length` lose nothing.  Rows with a null doc_id
-    take no part and stay whole.  Of the runs, only those of least_bytes bytes or, if given, of more than over_words words go."""
+    An empty table, empty and null texts, and texts shorter than `length` lose nothing.  Of the runs, only those of least_bytes bytes or, if given, of more than over_words words go."""
     spans = repeat_spans(documents, length, anchor)
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("spans")).withColumnRenamed("doc_id", "id")
     row = F.struct(*(F.col(f"`{c}`") for c in documents.columns if c != "text"), F.col("text").isNull().alias("text"))
-    docs = documents.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
+    docs = documents.select(row.alias("row"), _row_key().alias("id"), "text")
     added = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept", BinaryType())]
     return docs.join(by_doc, "id", "left").select("row", "text", "spans").mapInArrow(_keeps(least_bytes, over_words), StructType([docs.schema["row"], *added]))
 
@@ -332,7 +335,7 @@ def drop_repeats(documents: DataFrame, length: int = 400, anchor: int = ANCHOR,
 def texts_without_repeats(documents: DataFrame, length: int = 400, anchor: int = ANCHOR, least_bytes: int = 0, over_words: int | None = None) -> DataFrame:
     """The documents, all of them, with the text that is left; a character that was cut apart goes as a whole.
 
-    Columns may have any name.  Rows with a null doc_id keep their text."""
+    Columns may have any name."""
     cut = drop_repeats(documents, length, anchor, least_bytes, over_words)
     return cut.select(*(_left().alias(c) if c == "text" else F.col(f"row.`{c}`") for c in documents.columns))
 

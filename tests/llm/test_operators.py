@@ -154,11 +154,24 @@ def test_any_column_name(spark):
     rows = [(1, common + "one", *names), (2, common + "two", *names), (None, common, *names), (3, None, *names)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
     got = run_index.texts_without_repeats(docs, 400).collect()
-    assert {r.doc_id: r.text for r in got} == {1: "one", 2: "two", None: common, 3: None}
+    assert {r.doc_id: r.text for r in got} == {1: "one", 2: "two", None: "", 3: None}
     assert all(r[2:] == tuple(names) for r in got) and len(got) == 4
     near = {r.doc_id: (r.component_id, r.kept) for r in chosen_path.near_duplicates(docs, 4, 80).collect()}
     assert near == {1: (1, True), 2: (2, True), None: (None, True), 3: (3, True)}
-    assert sorted((r.n_bytes, r.n_removed) for r in run_index.repeat_digest(docs, 400).collect() if r.doc_id is None) == [(500, 0)]
+    assert sorted((r.n_bytes, r.n_removed) for r in run_index.repeat_digest(docs, 400).collect() if r.doc_id is None) == [(500, 500)]
+
+
+@pytest.mark.parametrize("group", [4096, 1])
+def test_repeats_among_rows_with_equal_and_null_ids(spark, group, monkeypatch):
+    """Each row is a document of its own: nothing that comes once goes, whatever its id."""
+    monkeypatch.setattr(run_index, "GROUP", group)
+    rng = random.Random(5)
+    p, q = prose(rng, 90), prose(rng, 120)
+    rows = [(1, prose(rng, 80) + p), (1, prose(rng, 150)), (2, p + prose(rng, 70)), (None, p + prose(rng, 60)), (None, q + prose(rng, 20)), (3, prose(rng, 40) + q), (1, q), (4, prose(rng, 200)), (4, prose(rng, 200)), (None, prose(rng, 90)), (None, None)]
+    rows += [rows[7], rows[9]]  # rows that repeat id and text repeat each other
+    got = run_index.repeat_digest(frame(spark, rows), 400).collect()
+    want = brute_repeats(rows, 400)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == sorted(((i, *w) for (i, _), w in zip(rows, want)), key=str)
 
 
 def test_containment(spark, corpus):
