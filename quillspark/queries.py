@@ -203,10 +203,40 @@ def best_variant(spark, d):
     return rows.select("l_orderkey", best["at"].alias("at"), best["part"].alias("part"))
 
 
+def _words():
+    """Word boxes of the rendered text, ten units a character and twenty a line, upper edges a little off."""
+    boxes = F.transform(lines(_t()), lambda x, y: F.filter(F.transform(F.split(x, " ", -1), lambda w, i: F.struct(w.alias("text"), F.lit(0.9).alias("confidence"), _start(x, i).alias("x0"), (y * 20.0 + i % 2).alias("y0"), (_start(x, i) + F.length(w) * 10).alias("x1"), (y * 20.0 + 12).alias("y1"))), lambda w: w["text"] != ""))
+    return F.flatten(boxes).cast(f"array<{layout.WORD}>")
+
+
 def layout_lines(spark, d):
-    rows = lines(_t())
-    words = F.flatten(F.transform(rows, lambda x, y: F.filter(F.transform(F.split(x, " ", -1), lambda w, i: F.struct(w.alias("text"), F.lit(0.9).alias("confidence"), _start(x, i).alias("x0"), (y * 20.0 + i % 2).alias("y0"), (_start(x, i) + F.length(w) * 10).alias("x1"), (y * 20.0 + 12).alias("y1"))), lambda w: w["text"] != "")))
-    return receipts(spark, d).select("k", F.array_join(layout.layout_lines(_t(), words.cast(f"array<{layout.WORD}>")), "\n").alias("text"))
+    return receipts(spark, d).withColumn("words", _words()).select("k", F.array_join(layout.layout_lines(_t(), F.col("words")), "\n").alias("text"))
+
+
+def layout_extracted(spark, d):
+    """Pictures whose recognised text has lost its lines: word boxes to lines, table rows and the whole extraction."""
+    docs = receipts(spark, d).select("id", "k", F.lit("image/png").alias("mime"), F.lit(None).cast("string").alias("embedded"))
+    pages = receipts(spark, d).select("id", F.lit(1).alias("page"), F.regexp_replace("text", "\\s+", " ").alias("text"), F.lit(0.9).alias("confidence"), _words().alias("words"))
+    out = extract(intake.texts(docs, pages), categorize.seed_accounts(spark))
+    return out.select("k", _cents(F.col("amount")).alias("total"), _cents(F.col("subtotal")).alias("subtotal"), _cents(F.col("tax")).alias("tax"), "date", "invoice_number", "vendor_name", F.get("vendor_ids", 0).alias("vendor_id"), "customer_name", F.size("items").alias("n_items"), F.size("table_rows").alias("n_rows"), "method")
+
+
+def provider_chain(spark, d):
+    """Recorded answers of three providers, with errors, empty objects and gaps, over the rules of every receipt."""
+    k = F.col("k")
+    said = lambda n: F.to_json(F.struct((k * n / 100).alias("amount"), F.concat(F.lit("Vendor "), k.cast("string")).alias("vendorName")))
+    none = F.lit(None).cast("string")
+
+    def answers(n: int, content, error):
+        return orders(spark, d).select(k.cast("string").alias("id"), content(said(n)).alias("content"), error.alias("error"))
+
+    first = answers(1, lambda a: F.when(k % 4 == 0, a).when(k % 4 == 2, "{}"), F.when(k % 4 == 1, "timeout").otherwise(none)).filter("cast(id as long) % 4 < 3")
+    second = answers(2, lambda a: F.when(k % 3 == 0, a).otherwise("no json"), F.when(k % 3 == 1, "HTTP 500").otherwise(none))
+    third = answers(3, lambda a: F.when(k % 5 > 0, a), none)
+    rows = receipts(spark, d).select("id", "k", "text")
+    asked = structure.chain(rows, [("First", first), ("Second", second), ("Third", third)], categorize.account_rows(categorize.seed_accounts(spark)))
+    out = extract(asked, categorize.seed_accounts(spark), "given")
+    return out.select("k", _cents(F.col("amount")).alias("amount"), "vendor_name", F.col("ai_provider").alias("provider"), F.try_element_at("extra_fields", F.lit("Advertencias IA")).alias("warnings"))
 
 
 def _start(line, i):
@@ -291,7 +321,7 @@ def reparse_stored(spark, d):
 
 NAMES = (
     receipts_extracted, receipt_totals, receipt_subtotal_tax, tax_percentage, receipt_dates, normalize_amount_formats, invoice_numbers, vendor_ids, payment_methods, currency_detect, line_items, total_candidates, subtotal_candidates, tax_candidates, labeled_fields, customer_names, classified_ids, table_rows, table_rows_all,
-    payloads, reparse_stored, identifications, identifications_all, vendor_candidates, compute_missing, reconcile, parser_overlay, ai_merge, ai_merge_all, ai_json_validate, categorize_keywords, vendor_name_documents, useful_documents, ocr_score, best_variant, layout_lines, page_combine, list_receipts, reparse_append, history_rows, transactions, file_names, account_checks, account_checks_all,
+    payloads, reparse_stored, identifications, identifications_all, vendor_candidates, compute_missing, reconcile, parser_overlay, ai_merge, ai_merge_all, ai_json_validate, categorize_keywords, vendor_name_documents, useful_documents, ocr_score, best_variant, layout_lines, layout_extracted, provider_chain, page_combine, list_receipts, reparse_append, history_rows, transactions, file_names, account_checks, account_checks_all,
 )
 
 
@@ -387,6 +417,9 @@ SELECT k, sub AS cents, 'subtotal' AS role FROM o UNION ALL SELECT k, total, {la
         "vendor_name_documents": f"WITH x AS (SELECT doc_id, ({full})[1:10] AS ls FROM documents), y AS (SELECT doc_id, list_filter(ls, lambda x: length(x) BETWEEN 4 AND 80 AND NOT regexp_matches(x, '(?i){skip}') AND NOT regexp_matches(x, '(?i)^(DC\\d+|POS[\\-\\s]?\\d*|TERM[\\-\\s]?\\d+|CAJA\\s*\\d+|REG\\s*\\d+|TML\\s*\\d+|[A-Z]{{1,3}}\\d{{1,4}})$') AND NOT regexp_matches(x, '^[\\d\\s\\-/\\\\.,;:()+]+$') AND NOT regexp_matches(x, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') AND NOT (regexp_matches(x, '^\\d+\\s+\\w{{1,4}}\\.?\\s') AND len(string_split(x, ' ')) <= 4) AND regexp_matches(x, '[a-záéíóúñA-ZÁÉÍÓÚÑ]{{3,}}')) AS ok FROM x) SELECT doc_id, trim(regexp_replace(ok[1], '[,;:.]+$', '')) AS name FROM y",
         "useful_documents": f"SELECT doc_id, len(list_filter({full}, lambda x: length(x) > 3)) >= 3 AND regexp_matches(text, '\\d{{2}}') AND regexp_matches(text, '(?i)[a-záéíóúñ]{{3}}') AS useful FROM documents",
         "ocr_score": _O + _W + "SELECT k, CAST(floor((0.9::DOUBLE * 10 + len(regexp_extract_all(text, '[0-9]{1,3}(?:[.,][0-9]{3})*[.,][0-9]{2}')) * 5 + len(regexp_extract_all(text, '(?i)\\b(total|subtotal|iva|factura|ruc|nit)\\b')) * 10 + len(regexp_extract_all(text, '(?i)\\b(ruc|nit)\\b')) * 10 + least(length(text) / 100.0::DOUBLE, 10.0::DOUBLE)) * 1000 + 0.5) AS BIGINT) AS score FROM w",
+        "layout_extracted": _O + f"SELECT k, total, sub AS subtotal, tax, {_DAY} AS date, {_INV} AS invoice_number, {_HEAD} AS vendor_name, {_RUC} AS vendor_id, c_name AS customer_name, CAST(n AS INTEGER) AS n_items, 6 + CAST(tax > 0 AS INTEGER) + CAST(k % 5 = 0 AS INTEGER) AS n_rows, 'image' AS method FROM o",
+        # a provider's money goes before the rules', its names only into gaps
+        "provider_chain": _O + f"SELECT k, CASE WHEN k % 4 = 0 THEN k WHEN k % 3 = 0 THEN 2 * k WHEN k % 5 > 0 THEN 3 * k ELSE total END AS amount, {_HEAD} AS vendor_name, CASE WHEN k % 4 = 0 THEN 'First' WHEN k % 3 = 0 THEN 'Second' WHEN k % 5 > 0 THEN 'Third' ELSE 'None (All Failed)' END AS provider, CASE WHEN k % 4 > 0 AND (k % 4 = 1 OR k % 3 = 1) THEN concat_ws(' | ', CASE WHEN k % 4 = 1 THEN 'First: timeout' END, CASE WHEN k % 3 = 1 THEN 'Second: HTTP 500' END) END AS warnings FROM o",
         "layout_lines": _O + _W + "SELECT k, text FROM w",
         "best_variant": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_discount) AS i, l_quantity >= 40.0 AND l_discount >= 0.06 AS good FROM lineitem), g AS (SELECT l_orderkey, min(CASE WHEN good THEN i END) AS first_good, max(l_quantity) AS top FROM r GROUP BY 1), t AS (SELECT r.l_orderkey, min(i) AS best FROM r JOIN g ON g.l_orderkey = r.l_orderkey AND r.l_quantity = g.top GROUP BY 1) SELECT r.l_orderkey, r.l_linenumber AS at, r.l_partkey AS part FROM r JOIN g ON g.l_orderkey = r.l_orderkey JOIN t ON t.l_orderkey = r.l_orderkey WHERE r.i = coalesce(g.first_good, t.best)",
         "page_combine": "SELECT l_orderkey AS doc_id, string_agg('part ' || CAST(l_partkey AS VARCHAR), chr(10) || chr(10) ORDER BY l_linenumber * 1000000 + l_partkey) AS text, CAST((200 * sum(CAST(l_quantity AS BIGINT)) + count(*)) // (2 * count(*)) AS BIGINT) AS confidence, count(*) AS n_pages FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY 1",
