@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from .operators import categorize, country, layout, structure
 from .plans import intake
 from .plans.extract import extract, payload
 from .sources import store
+from .sources.scratch import shared_folder
 from .sources.rendered import RATES, cents, country_receipts, eu, orders, receipts, table, us
 
 def _t():
@@ -319,9 +321,28 @@ def reparse_stored(spark, d):
     return kept.select("id", fields.total(_t()).alias("total")).union(again.select("id", "total")).select("id", _cents(F.col("total")).alias("total"))
 
 
+def receipt_store(spark, d):
+    """Every receipt stored with its envelope, then parsed again: the last versions, read back."""
+    accounts = categorize.seed_accounts(spark)
+    parse = lambda df: payload(extract(df, accounts))
+    rows = receipts(spark, d).select("id", "text", F.col("day").cast("timestamp").alias("created_at"), F.concat("id", F.lit(".pdf")).alias("original_name"), F.lit(intake.PDF).alias("mime"), F.octet_length("text").alias("size"), F.concat(F.lit("/receipts/"), "id").alias("storage_path"))
+    name = f"receipts_{uuid.uuid4().hex}"
+    kept = store.ReceiptStore(spark, name, f"{shared_folder(spark)}/{name}", buckets=4)
+    kept.append(parse(rows))
+    kept.reparse(kept.rows().select("id"), parse, F.lit("2030-01-01").cast("timestamp"))
+    total = _cents(F.get_json_object("json", "$.amount").cast("double"))
+    return kept.latest().select("id", "first_id", "version", F.col("created_at").cast("date").alias("day"), "original_name", "mime_type", "storage_path", "ocr_provider", "ai_provider", F.octet_length("raw_text").cast("long").alias("n_bytes"), "size", total.alias("total"))
+
+
+def receipt_detail(spark, d):
+    """What a receipt's page shows: entries of the payload that hold something."""
+    rows = store.detail(payload(extract(_documents(spark, d), categorize.seed_accounts(spark))).select("k", "json"))
+    return rows.groupBy("k").agg(F.array_join(F.sort_array(F.collect_list("key")), ",").alias("keys"), F.max(F.when(F.col("key") == "vendorName", F.col("value"))).alias("vendor_name"), F.max(F.when(F.col("key") == "vendorIdentifications", F.col("value"))).alias("vendor_ids"))
+
+
 NAMES = (
     receipts_extracted, receipt_totals, receipt_subtotal_tax, tax_percentage, receipt_dates, normalize_amount_formats, invoice_numbers, vendor_ids, payment_methods, currency_detect, line_items, total_candidates, subtotal_candidates, tax_candidates, labeled_fields, customer_names, classified_ids, table_rows, table_rows_all,
-    payloads, reparse_stored, identifications, identifications_all, vendor_candidates, compute_missing, reconcile, parser_overlay, ai_merge, ai_merge_all, ai_json_validate, categorize_keywords, vendor_name_documents, useful_documents, ocr_score, best_variant, layout_lines, layout_extracted, provider_chain, page_combine, list_receipts, reparse_append, history_rows, transactions, file_names, account_checks, account_checks_all,
+    payloads, receipt_store, receipt_detail, reparse_stored, identifications, identifications_all, vendor_candidates, compute_missing, reconcile, parser_overlay, ai_merge, ai_merge_all, ai_json_validate, categorize_keywords, vendor_name_documents, useful_documents, ocr_score, best_variant, layout_lines, layout_extracted, provider_chain, page_combine, list_receipts, reparse_append, history_rows, transactions, file_names, account_checks, account_checks_all,
 )
 
 
@@ -426,6 +447,8 @@ SELECT k, sub AS cents, 'subtotal' AS role FROM o UNION ALL SELECT k, total, {la
         "list_receipts": _O + "SELECT k AS id, day AS created_at FROM o ORDER BY day DESC, k LIMIT 100",
         "reparse_append": _O + "SELECT CAST(k AS VARCHAR) AS id, 'first' AS kind, total FROM o UNION ALL SELECT CAST(k AS VARCHAR) || 'r', 'again', total FROM o WHERE k % 10 = 0",
         "payloads": _O + f"SELECT k, total, {_INV} AS invoice, {_HEAD} AS vendor_name, 'expense' AS type, '{{}}' AS extra, CAST(NULL AS VARCHAR) AS vendor_id, CASE k % 3 WHEN 0 THEN 100 WHEN 1 THEN 80 ELSE 50 END AS confidence, CASE k % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'ocr' ELSE 'image' END AS method FROM o",
+        "receipt_store": _O + _W + f"SELECT CAST(w.k AS VARCHAR) || '-v2' AS id, CAST(w.k AS VARCHAR) AS first_id, 2 AS version, DATE '2030-01-01' AS day, CAST(w.k AS VARCHAR) || '.pdf' AS original_name, 'application/pdf' AS mime_type, '/receipts/' || CAST(w.k AS VARCHAR) AS storage_path, 'tesseract' AS ocr_provider, 'mock' AS ai_provider, octet_length(encode(text)) AS n_bytes, octet_length(encode(text)) AS size, total FROM w JOIN o ON o.k = w.k",
+        "receipt_detail": _O + f"SELECT k, concat_ws(',', 'amount', 'category', 'categoryName', 'categoryType', 'currency', 'customerIdentifications', 'customerName', 'date', 'invoiceNumber', 'items', 'ocrConfidence', CASE WHEN k % 4 < 3 THEN 'paymentMethod' END, 'pipeline', 'subtotalAmount', 'taxAmount', 'taxPercentage', 'type', 'vendorIdentifications', 'vendorName') AS keys, {_HEAD} AS vendor_name, '[\"' || {_RUC} || '\"]' AS vendor_ids FROM o",
         "reparse_stored": _O + "SELECT CAST(k AS VARCHAR) AS id, total FROM o UNION ALL SELECT CAST(k AS VARCHAR) || '-2', total FROM o",
         "history_rows": _O + f"SELECT k AS id, CASE WHEN k % 2 = 0 THEN c_name ELSE 'a.pdf' END AS name, '—' AS date, 'Sin categoría' AS category, translate({_money('total')}, ',.', '.,') || CASE WHEN k % 3 = 0 THEN ' €' ELSE ' $' END AS amount FROM o",
         "transactions": "SELECT CAST(o_orderkey AS INTEGER) AS k, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS cents, CASE WHEN o_orderkey % 2 = 0 THEN 'expense' ELSE 'income' END AS type, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 7 > 0 AND o_orderkey % 5 > 0 AND o_orderkey % 11 > 0 AND (o_orderkey % 2 = 0 OR o_orderkey % 3 > 0)",
