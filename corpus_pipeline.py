@@ -8,8 +8,8 @@ Each stage takes all that the one before kept; all but the last give the columns
   decontamination  documents that contain a benchmark item (80 % of its five-word shingles) go
   pieces           subword ids, their number, and whether they decode to the text again
 
-Empty and null texts pass all stages.  Rows with a null doc_id can't be grouped or matched and pass the
-stages that need an id; rows that repeat a doc_id are copies, and the least of them stays.  Extra columns of any name are carried along.
+Empty and null texts pass all stages.  Rows with a null doc_id can't be grouped and pass near_dedup and
+decontamination as they are; suffix_dedup goes by rows.  Rows that repeat a doc_id are copies, and the least of them stays.  Extra columns of any name are carried along.
 """
 
 from __future__ import annotations
