@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from .functions import amounts, candidates, fields
 from .functions.rx import lines
-from .operators import categorize, country, layout, structure
+from .operators import categorize, chart, country, layout, structure
+from .operators.keywords import with_keyword
 from .plans import intake
 from .plans.extract import extract, payload
 from .sources import store
-from .sources.scratch import shared_folder
+from .sources.scratch import once, shared_folder
 from .sources.rendered import RATES, cents, country_receipts, eu, orders, receipts, table, us
+from .streaming.ledger import ACCEPTED, REJECTED, Ledger
 
 def _t():
     return F.col("text")
@@ -272,10 +274,62 @@ def history_rows(spark, d):
     return store.history_row(rows)
 
 
-def transactions(spark, d):
+def _requests(spark, d):
     k = F.col("o_orderkey")
-    rows = table(spark, d, "orders").select(F.when(k % 7 == 0, 0.0).otherwise(F.col("o_totalprice")).alias("amount"), F.when(k % 5 == 0, "").otherwise("USD").alias("currency"), F.when(k % 11 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.when(k % 2 == 0, "expense").when(k % 3 == 0, "gift").otherwise("income").alias("type"), F.lit(None).cast("string").alias("description"), k.cast("int").alias("category"))
-    return store.transactions(rows).select(F.col("category").alias("k"), (F.col("amount") * 100).cast("long").alias("cents"), "type", F.col("date").cast("date").alias("day"))
+    return table(spark, d, "orders").select(F.when(k % 7 == 0, 0.0).otherwise(F.col("o_totalprice")).alias("amount"), F.when(k % 5 == 0, "").otherwise("USD").alias("currency"), F.when(k % 11 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.when(k % 2 == 0, "expense").when(k % 3 == 0, "gift").otherwise("income").alias("type"), F.lit(None).cast("string").alias("description"), k.cast("int").alias("category"))
+
+
+def transactions(spark, d):
+    return store.transactions(_requests(spark, d)).select(F.col("category").alias("k"), (F.col("amount") * 100).cast("long").alias("cents"), "type", F.col("date").cast("date").alias("day"))
+
+
+def transaction_ledger(spark, d):
+    """The requests as a stream into the ledger, whose first batch then comes again."""
+    requests = once(spark, "requests", d, lambda: _requests(spark, d))
+    folder = requests.inputFiles()[0].rsplit("/", 1)[0]
+    name = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    ledger = Ledger(spark, f"{name}/ledger", store.judged, store.JUDGED)
+    ledger.run(spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 16).parquet(folder), f"{name}/checkpoint").awaitTermination()
+    ledger.write(requests, 0)
+    refused = ledger.rows(REJECTED).select(F.get_json_object("request", "$.category").cast("int").alias("k"), F.lit(None).cast("long").alias("cents"), "reason")
+    return ledger.rows(ACCEPTED).select(F.col("category").alias("k"), (F.col("amount") * 100).cast("long").alias("cents"), "reason").union(refused)
+
+
+def keyword_documents(spark, d):
+    """Whole documents by the longer words of all benchmark items as keywords, in an order by hash; one account is missing."""
+    accounts = categorize.seed_accounts(spark).filter("id <> 5")
+    words = table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("keyword")).filter("length(keyword) > 4").distinct()
+    prio = F.conv(F.substring(F.md5("keyword"), 1, 8), 16, 10).cast("long")
+    names = F.array(*(F.lit(n) for n, _ in categorize.ACCOUNTS))
+    keywords = words.select(prio.alias("prio"), "keyword", F.get(names, (prio % len(categorize.ACCOUNTS)).cast("int")).alias("account"))
+    found = with_keyword(table(spark, d, "documents").select("doc_id", "text"), _t(), keywords, accounts)
+    return found.select("doc_id", "found.keyword", "found.category")
+
+
+def _changes(spark, d):
+    """An account a nation, renamed every other year in which it has orders, from a first year on."""
+    year = F.year("o_orderdate")
+    nations = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("id"))
+    seen = table(spark, d, "orders").join(nations, "o_custkey").select("id", year.alias("year")).distinct().filter("year >= 1993 + id % 3")
+    named = seen.join(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), "n_name"), "id")
+    even = F.col("year") - F.col("year") % 2
+    return named.select(F.col("id").cast("int").alias("id"), F.concat_ws(" ", "n_name", even).alias("name"), F.when(even % 4 == 0, "expense").otherwise("tax").alias("type"), F.make_date("year", F.lit(1), F.lit(1)).cast("timestamp").alias("since"))
+
+
+def accounts_as_of(spark, d):
+    """Each order with its nation's account as it was on the order's day."""
+    nations = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("int").alias("category"))
+    rows = table(spark, d, "orders").join(nations, "o_custkey").select("o_orderkey", "o_orderdate", "category")
+    return chart.as_of(rows, chart.versions(_changes(spark, d)), "category", F.col("o_orderdate")).select("o_orderkey", "category_name", "category_type")
+
+
+def accounts_seeded(spark, d):
+    """A chart with the nations of three regions, seeded twice with all nations and all market segments."""
+    none = F.lit(None).cast("timestamp")
+    stored = table(spark, d, "nation").filter("n_regionkey < 3").select((F.col("n_nationkey") + 1).cast("int").alias("id"), F.col("n_name").alias("name"), F.lit("expense").alias("type"), none.alias("since"), none.alias("until"))
+    seeds = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.lit("tax").alias("type")).union(table(spark, d, "customer").select("c_mktsegment", F.lit("income")))
+    at = F.lit("2024-01-01").cast("timestamp")
+    return chart.seeded(chart.seeded(stored, seeds, at), seeds, at).select("id", "name", "type", F.col("since").isNotNull().alias("is_new"))
 
 
 def file_names(spark, d):
@@ -342,7 +396,7 @@ def receipt_detail(spark, d):
 
 NAMES = (
     receipts_extracted, receipt_totals, receipt_subtotal_tax, tax_percentage, receipt_dates, normalize_amount_formats, invoice_numbers, vendor_ids, payment_methods, currency_detect, line_items, total_candidates, subtotal_candidates, tax_candidates, labeled_fields, customer_names, classified_ids, table_rows, table_rows_all,
-    payloads, receipt_store, receipt_detail, reparse_stored, identifications, identifications_all, vendor_candidates, compute_missing, reconcile, parser_overlay, ai_merge, ai_merge_all, ai_json_validate, categorize_keywords, vendor_name_documents, useful_documents, ocr_score, best_variant, layout_lines, layout_extracted, provider_chain, page_combine, list_receipts, reparse_append, history_rows, transactions, file_names, account_checks, account_checks_all,
+    payloads, receipt_store, receipt_detail, reparse_stored, identifications, identifications_all, vendor_candidates, compute_missing, reconcile, parser_overlay, ai_merge, ai_merge_all, ai_json_validate, categorize_keywords, vendor_name_documents, useful_documents, ocr_score, best_variant, layout_lines, layout_extracted, provider_chain, page_combine, list_receipts, reparse_append, history_rows, transactions, transaction_ledger, keyword_documents, accounts_as_of, accounts_seeded, file_names, account_checks, account_checks_all,
 )
 
 
@@ -452,6 +506,11 @@ SELECT k, sub AS cents, 'subtotal' AS role FROM o UNION ALL SELECT k, total, {la
         "reparse_stored": _O + "SELECT CAST(k AS VARCHAR) AS id, total FROM o UNION ALL SELECT CAST(k AS VARCHAR) || '-2', total FROM o",
         "history_rows": _O + f"SELECT k AS id, CASE WHEN k % 2 = 0 THEN c_name ELSE 'a.pdf' END AS name, '—' AS date, 'Sin categoría' AS category, translate({_money('total')}, ',.', '.,') || CASE WHEN k % 3 = 0 THEN ' €' ELSE ' $' END AS amount FROM o",
         "transactions": "SELECT CAST(o_orderkey AS INTEGER) AS k, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS cents, CASE WHEN o_orderkey % 2 = 0 THEN 'expense' ELSE 'income' END AS type, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 7 > 0 AND o_orderkey % 5 > 0 AND o_orderkey % 11 > 0 AND (o_orderkey % 2 = 0 OR o_orderkey % 3 > 0)",
+        "transaction_ledger": "WITH r AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN 'amount' WHEN o_orderkey % 5 = 0 THEN 'currency' WHEN o_orderkey % 11 = 0 THEN 'date' WHEN o_orderkey % 2 > 0 AND o_orderkey % 3 = 0 THEN 'type' END AS reason FROM orders) SELECT CAST(o_orderkey AS INTEGER) AS k, CASE WHEN reason IS NULL THEN CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) END AS cents, reason FROM r",
+        # the theta join, document by keyword
+        "keyword_documents": f"WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS kw FROM benchmark), k AS (SELECT kw, ('0x' || left(md5(kw), 8))::BIGINT AS prio FROM w WHERE length(kw) > 4), a(id, name, type) AS (VALUES {accounts}), l AS (SELECT kw, prio, id FROM k JOIN a ON a.id = prio % {len(categorize.ACCOUNTS)} + 1 WHERE id <> 5), m AS (SELECT doc_id, arg_min(kw, prio) AS keyword, arg_min(id, prio) AS category FROM documents JOIN l ON contains(lower(text), kw) GROUP BY 1) SELECT doc_id, keyword, CAST(category AS INTEGER) AS category FROM documents LEFT JOIN m USING (doc_id)",
+        "accounts_as_of": "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, c_nationkey AS id FROM orders JOIN customer ON c_custkey = o_custkey), y AS (SELECT DISTINCT id, year(day) AS y FROM o), c AS (SELECT id, n_name || ' ' || CAST(y - y % 2 AS VARCHAR) AS name, CASE WHEN (y - y % 2) % 4 = 0 THEN 'expense' ELSE 'tax' END AS type, make_date(y, 1, 1) AS since FROM y JOIN nation ON n_nationkey = id WHERE y >= 1993 + id % 3) SELECT o_orderkey, c.name AS category_name, c.type AS category_type FROM o ASOF LEFT JOIN c ON o.id = c.id AND o.day >= c.since",
+        "accounts_seeded": "WITH s AS (SELECT CAST(n_nationkey + 1 AS INTEGER) AS id, n_name AS name, 'expense' AS type, false AS is_new FROM nation WHERE n_regionkey < 3), x AS (SELECT n_name AS name, 'tax' AS type FROM nation UNION ALL SELECT c_mktsegment, 'income' FROM customer), n AS (SELECT name, min(type) AS type FROM x WHERE name NOT IN (SELECT name FROM s) GROUP BY 1) SELECT * FROM s UNION ALL SELECT CAST(row_number() OVER (ORDER BY name) + (SELECT max(id) FROM s) AS INTEGER), name, type, true FROM n",
         "file_names": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '.pdf' WHEN p_partkey % 3 = 1 THEN '.jpeg' WHEN p_partkey % 2 = 0 THEN '.png' ELSE '.bin' END AS extension FROM part",
         "account_checks": "SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 100 < 50 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY 1",
         "account_checks_all": "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY 1",
