@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rx import cut, every, first, folded, has, holds, let, prefix_number, round2, trim
+from .rx import cut, every, first, has, holds, let, prefix_number, round2, trim, with_folded
 
 
 def _count(text: Column, mark: str) -> Column:
@@ -23,6 +23,11 @@ def normalize_amount(raw: Column) -> Column:
     return let(raw, lambda r: F.when(r.rlike(plain), _without(r, ",").cast("double")).otherwise(_any_amount(r)))
 
 
+def normalize_all(raws: list[Column]) -> Column:
+    """An array of the values of several amounts, null where there is none.  The plan holds the rule once, not once for each."""
+    return F.transform(F.array(*raws), lambda r: F.when(r.isNotNull(), normalize_amount(r)))
+
+
 def _any_amount(raw: Column) -> Column:
     clean = trim(F.regexp_replace(F.translate(F.when(F.contains(F.lower(raw), F.lit("bs")), cut(raw, r"\bBs\.?\s*")).otherwise(raw), "$€£¥", ""), r"\s+", " "))
     marked = lambda bare: F.struct(bare.alias("t"), _count(bare, ".").alias("dots"), _count(bare, ",").alias("commas"))
@@ -72,13 +77,13 @@ def last(values: Column) -> Column:
     return F.get(values, F.size(values) - 1)
 
 
-def first_amount(text: Column, patterns: list[tuple[str, str]], flags: str = "im") -> Column:
-    """The first pattern in order whose first match is a positive amount with two decimals at least; later ones are not tried,
+def first_amount(text: Column, patterns: list[tuple[str, str]], flags: str = "im", low: Column | None = None) -> Column:
+    """As text: the first pattern in order whose first match is a positive amount with two decimals at least; later ones are not tried,
     nor are those whose word the text doesn't hold.
 
     A match is positive if it holds a digit other than 0, as every digit of a match counts."""
     fits = lambda r: F.when(r.rlike(r"[.,]\d{2}") & r.rlike("[1-9]"), r)
-    return normalize_amount(let(folded(text), lambda low: F.coalesce(*(F.when(holds(low, word), let(first(text, p, flags=flags), fits)) for word, p in patterns))))
+    return with_folded(text, low, lambda low: F.coalesce(*(F.when(holds(low, word), let(first(text, p, flags=flags), fits)) for word, p in patterns)))
 
 
 def compute_fields(f: dict[str, Column]) -> dict[str, Column]:

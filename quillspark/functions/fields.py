@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .amounts import first_amount, last, normalize_amount, numbers
-from .rx import cut, first, folded, full_lines, groups, has, holds, let, lines, trim
+from .amounts import first_amount, last, normalize_all, normalize_amount, numbers
+from .rx import cut, first, first_found, folded, full_lines, groups, has, holds, let, lines, trim, with_folded
 
 # A word that the text must hold, and a pattern, in the order in which they are tried.
 TOTALS = [
@@ -40,34 +40,40 @@ SUBTOTALS = [
     ("neto", r"\bneto\s*[:\-=]?\s*(?:[\$€£]\s*)?([\d.,]+)"),
     ("valor", r"\bvalor\s+total\s*[:\-=]?\s*(?:bs\.?\s*)?(?:[\$€£B\/\.]\s*)?([\d.,]+)"),
 ]
+TAX_WORDS = "iva|igv|itbms|itbis|vat|tax|impuesto"
 TAX_WORD = r"\b(iva|igv|itbms|itbis|vat|tax|impuesto|sales\s+tax)\b"
 EXEMPT = r"\b(exento|exempt|exclu[íi]do|excluido|libre\s+de\s+iva|sin\s+iva|no\s+sujeto)\b"
+ZERO_TAX_WORDS = "exento|exempt|iva|igv|itbms|vat|impuesto"
 ZERO_TAX = r"\b(exento|exempt|0\s*%\s*(?:iva|igv|itbms|vat)|iva\s*0[.,]?0*%?|itbms\s*0|sin\s+impuesto|libre\s+de\s+impuesto)\b"
 SKIP_VENDOR = r"^(seniat|sentat|sen[il]at|providencia|administraci[oó]n\s+tributaria|servicio\s+nacional|ministerio|repúblic|gobierno|national\s+tax|iva\b|tax\s+auth|fecha\b|factura\b|invoice\b|recibo\b|receipt\b|tel[eé]f|fax|e-?mail|www\.|http|rif\b|ruc\b|nit\b|dv\b|comprobante\b|dgi\b|factura\s+de\s+operaci[oó]n|tipo\s+de\s+receptor|emisor\b|cliente\b|receptor\b|direcci[oó]n\b|punto\s+de\s+facturaci[oó]n|electr[oó]nica\b|nota\s+de\s+(?:cr[eé]dito|d[eé]bito)|ticket\b|boleta\b|original\b|copia\b)"
 SKIP_TERMINAL = r"^(DC\d+|POS[\-\s]?\d*|TERM[\-\s]?\d+|CAJA\s*\d+|REG\s*\d+|TML\s*\d+|[A-Z]{1,3}\d{1,4})$"
 NO_NAME = r"^[\d\s\-\/\\.,;:()+]+$"
 LETTERS = r"[a-záéíóúñA-ZÁÉÍÓÚÑ]{3,}"
 VENDOR_IDS = [
-    r"rif\s*[:\-]?\s*([jgve]-?\d[\d\-]+\d)",
-    r"ruc\s*[:\-]?\s*([a-z0-9\-\.]{6,20})",
-    r"nit\s*[:\-]?\s*([\d\-\.]{6,20})",
-    r"cif\s*[:\-]?\s*([a-z0-9\-\.]{6,20})",
-    r"cuit\s*[:\-]?\s*([\d\-\.]{8,20})",
-    r"ein\s*[:\-]?\s*(\d{2}-\d{7})",
-    r"vat\s*(?:id\s*)?[:\-]?\s*([a-z]{2}[a-z0-9]{6,18})",
+    ("rif", r"rif\s*[:\-]?\s*([jgve]-?\d[\d\-]+\d)"),
+    ("ruc", r"ruc\s*[:\-]?\s*([a-z0-9\-\.]{6,20})"),
+    ("nit", r"nit\s*[:\-]?\s*([\d\-\.]{6,20})"),
+    ("cif", r"cif\s*[:\-]?\s*([a-z0-9\-\.]{6,20})"),
+    ("cuit", r"cuit\s*[:\-]?\s*([\d\-\.]{8,20})"),
+    ("ein", r"ein\s*[:\-]?\s*(\d{2}-\d{7})"),
+    ("vat", r"vat\s*(?:id\s*)?[:\-]?\s*([a-z]{2}[a-z0-9]{6,18})"),
 ]
 INVOICES = [
-    r"(?:factura|invoice)\s*(?:nro\.?|no\.?|n[uú]m\.?|n[°o]\.?|#)?\s*[:\-]?\s*([a-z0-9][a-z0-9\-\/]{3,19})",
-    r"(?:n[uú]mero|number)\s+(?:de\s+)?(?:factura|comprobante|invoice)\s*[:\-]?\s*([a-z0-9][a-z0-9\-\/]{3,19})",
-    r"comprobante\s*(?:nro\.?|no\.?|#)?\s*[:\-]?\s*([a-z0-9][a-z0-9\-\/]{3,19})",
-    r"\bn[uú]mero\s*:\s*(\d{4,20})",
+    ("factura|invoice", r"(?:factura|invoice)\s*(?:nro\.?|no\.?|n[uú]m\.?|n[°o]\.?|#)?\s*[:\-]?\s*([a-z0-9][a-z0-9\-\/]{3,19})"),
+    ("mero|number", r"(?:n[uú]mero|number)\s+(?:de\s+)?(?:factura|comprobante|invoice)\s*[:\-]?\s*([a-z0-9][a-z0-9\-\/]{3,19})"),
+    ("comprobante", r"comprobante\s*(?:nro\.?|no\.?|#)?\s*[:\-]?\s*([a-z0-9][a-z0-9\-\/]{3,19})"),
+    ("mero", r"\bn[uú]mero\s*:\s*(\d{4,20})"),
 ]
 NOT_INVOICE = r"^(fecha|date|serie|hora|fax|tel|rif|ruc|nit|cif|vat)"
 ITEM = r"^(.+?)\s+(\d{1,4})\s+(?:[Bb][Ss]\.?\s*)?(?:[\$€£]\s*)?([\d.,]+)\s+(?:[Bb][Ss]\.?\s*)?(?:[\$€£]\s*)?([\d.,]+)\s*$"
 NOT_ITEM = r"^(descripci[oó]n|cant|total|subtotal|iva|fecha|factura)"
+CUSTOMER_WORDS = "ent|receptor|comprador|adquir|destinatario|customer|bill|sold|social"
 CUSTOMER = r"(?:Cl[ií]ent[eo]?|Ciente|Ciento|(?<!Tipo de )Receptor|Comprador|Adquir(?:iente|ente)|Destinatario|Customer|Client|Bill(?:ed)?\s+To|Sold\s+To|Raz[oó]n\s*Social)\s*:"
+VENDOR_WORDS = "emisor|proveedor|vendedor|issuer|seller|social|empresa|establecimiento"
 VENDOR_LABEL = r"(?:Emisor|Proveedor|Vendedor|Issuer|Seller|Raz[oó]n\s*Social\s*(?:Emisor|del\s+Emisor)?|Empresa|Establecimiento)\s*:\s*(.+)"
+VENDOR_ID_WORDS = "ruc|rfc|nit|cuit|rif|cif|ein|vat"
 VENDOR_ID_LABEL = r"(?:RUC|RFC|NIT|CUIT|RIF|CIF|EIN|VAT\s*(?:ID|No\.?)?)\s*[:\-]?\s*([\w\d\-\.]{5,25})"
+CUSTOMER_ID_WORDS = "ruc|rfc|nit|cuit|rif|ci|c.i|ein"
 CUSTOMER_ID_LABEL = r"(?:RUC\/C[eé]dula\/Pasaporte|RUC\s+Cliente|RFC|NIT|CUIT|RIF|C\.?I\.?|EIN)\s*[:\-]?\s*([\w\d\-\.\/]{4,25})"
 _ID = r"([\w\d\-\.]+)"
 LABELS = {
@@ -88,20 +94,26 @@ CURRENCY_MARKS = [
 
 
 def total(text: Column) -> Column:
-    return first_amount(text, TOTALS)
+    return normalize_amount(first_amount(text, TOTALS))
 
 
 def subtotal(text: Column) -> Column:
     """By label; else a whole number right behind `subtotal`, as merged columns leave it."""
-    merged = normalize_amount(first(text, r"\bsubtotal\s*[:\-=€$£B\/\.]?\s*(\d+(?:[.,]\d+)?)"))
-    return F.coalesce(first_amount(text, SUBTOTALS), F.when(merged > 0, merged))
+    return let(normalize_all(_subtotals(text, None)), lambda m: _either(m[0], m[1]))
+
+
+def _subtotals(text: Column, low: Column | None) -> list[Column]:
+    return [first_amount(text, SUBTOTALS, low=low), first(text, r"\bsubtotal\s*[:\-=€$£B\/\.]?\s*(\d+(?:[.,]\d+)?)")]
+
+
+def _either(labelled: Column, merged: Column) -> Column:
+    return F.coalesce(labelled, F.when(merged > 0, merged))
 
 
 def tax(text: Column) -> Column:
     """Of the first line with a tax word: 0 if it says exempt, else its last number that is no percentage."""
-    named = F.filter(lines(text), lambda x: has(x, TAX_WORD))
-    value = F.transform(named, lambda x: F.when(has(x, EXEMPT), F.lit(0.0)).otherwise(last(F.filter(numbers(x, True), lambda n: n >= 0))))
-    return F.get(F.filter(value, lambda x: x.isNotNull()), 0)
+    value = lambda x: F.when(has(x, EXEMPT), F.lit(0.0)).otherwise(last(F.filter(numbers(x, True), lambda n: n >= 0)))
+    return first_found(lines(text), lambda x: F.when(holds(folded(x), TAX_WORDS) & has(x, TAX_WORD), value(x)), "double")
 
 
 def tax_percentage(text: Column) -> Column:
@@ -111,8 +123,8 @@ def tax_percentage(text: Column) -> Column:
     return let(value, lambda v: F.when((v > 0) & (v < 100), v))
 
 
-def zero_tax_signal(text: Column) -> Column:
-    return has(text, ZERO_TAX)
+def zero_tax_signal(text: Column, low: Column | None = None) -> Column:
+    return with_folded(text, low, lambda low: holds(low, ZERO_TAX_WORDS) & has(text, ZERO_TAX))
 
 
 def clean_ocr_field(s: Column) -> Column:
@@ -133,32 +145,36 @@ def _company_line(x: Column) -> Column:
     return F.length(x).between(4, 80) & ~has(x, SKIP_VENDOR) & ~has(x, SKIP_TERMINAL) & ~has(x, NO_NAME) & x.rlike(LETTERS)
 
 
-def vendor_name(text: Column) -> Column:
-    """The first plausible company name among the ten top lines."""
+def vendor_name(text: Column, rows: Column | None = None) -> Column:
+    """The first plausible company name among the ten top lines; rows: the text's full lines, if the caller has them."""
     address = lambda x: has(x, r"^\d+\s+\w{1,4}\.?\s") & (F.size(F.split(x, " ", -1)) <= 4)
-    plausible = F.filter(F.slice(full_lines(text), 1, 10), lambda x: _company_line(x) & ~has(x, r"^\d{4}-\d{2}-\d{2}") & ~address(x))
-    return trim(cut(F.get(plausible, 0), r"[,;:.]+$"))
+    top = F.slice(full_lines(text) if rows is None else rows, 1, 10)
+    plausible = first_found(top, lambda x: F.when(_company_line(x) & ~has(x, r"^\d{4}-\d{2}-\d{2}") & ~address(x), x))
+    return trim(cut(plausible, r"[,;:.]+$"))
 
 
-def vendor_ids(text: Column) -> Column:
-    found = F.array(*(trim(F.upper(first(text, p))) for p in VENDOR_IDS))
-    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+def vendor_ids(text: Column, low: Column | None = None) -> Column:
+    found = lambda low: F.array(*(F.when(holds(low, word), trim(F.upper(first(text, p)))) for word, p in VENDOR_IDS))
+    return F.array_distinct(F.filter(with_folded(text, low, found), lambda x: x.isNotNull()))
 
 
-def invoice_number(text: Column) -> Column:
-    found = F.array(*(trim(F.upper(first(text, p))) for p in INVOICES))
+def invoice_number(text: Column, low: Column | None = None) -> Column:
+    """By the first label in order whose first match is one; later ones are not tried."""
     good = lambda x: x.isNotNull() & ~has(x, NOT_INVOICE) & ~has(x, r"^\d{4}[-\/]\d{2}[-\/]\d{2}$") & ~has(x, r"^[A-Z]{4,}$", "")
-    return F.get(F.filter(found, good), 0)
+    found = lambda p: let(trim(F.upper(first(text, p))), lambda x: F.when(good(x), x))
+    return with_folded(text, low, lambda low: F.coalesce(*(F.when(holds(low, word), found(p)) for word, p in INVOICES)))
 
 
-def payment_method(text: Column) -> Column:
-    return F.when(has(text, "tarjeta|card"), "CARD").when(has(text, "efectivo|cash"), "CASH").when(has(text, r"transferencia|transfer|pago\s+m[oó]vil"), "TRANSFER")
+def payment_method(text: Column, low: Column | None = None) -> Column:
+    says = lambda low, words, pattern: holds(low, words) & has(text, pattern)
+    return with_folded(text, low, lambda low: F.when(says(low, "tarjeta|card", "tarjeta|card"), "CARD").when(says(low, "efectivo|cash", "efectivo|cash"), "CASH").when(says(low, "transfer|pago", r"transferencia|transfer|pago\s+m[oó]vil"), "TRANSFER"))
 
 
-def items(text: Column) -> Column:
-    """Lines `description quantity unit total`, as an array of structs."""
-    rows = F.filter(F.transform(F.filter(full_lines(text), lambda x: F.contains(F.lit("0123456789.,"), F.right(x, F.lit(1))) & ~has(x, NOT_ITEM)), lambda x: groups(x, ITEM, 4, "")), lambda g: g.isNotNull())
-    made = F.transform(rows, lambda g: F.struct(trim(g[0]).alias("description"), g[1].cast("int").alias("quantity"), normalize_amount(g[2]).alias("unit_price"), normalize_amount(g[3]).alias("total")))
+def items(text: Column, rows: Column | None = None) -> Column:
+    """Lines `description quantity unit total`, as an array of structs; rows: the text's full lines, if the caller has them."""
+    rows = F.filter(F.transform(F.filter(full_lines(text) if rows is None else rows, lambda x: F.contains(F.lit("0123456789.,"), F.right(x, F.lit(1))) & ~has(x, NOT_ITEM)), lambda x: groups(x, ITEM, 4, "")), lambda g: g.isNotNull())
+    priced = F.transform(rows, lambda g: F.struct(g.alias("g"), normalize_all([g[2], g[3]]).alias("m")))
+    made = F.transform(priced, lambda p: F.struct(trim(p["g"][0]).alias("description"), p["g"][1].cast("int").alias("quantity"), p["m"][0].alias("unit_price"), p["m"][1].alias("total")))
     return F.filter(made, lambda i: (i["unit_price"] != 0) & (i["total"] != 0) & (i["quantity"] >= 1))
 
 
@@ -171,7 +187,7 @@ def labeled_fields(text: Column) -> Column:
 
 def customer_split(text: Column) -> Column:
     """Text before the first line with a customer's label, and text from there on; null if there is none."""
-    found = let(lines(text), lambda rows: F.struct(rows.alias("rows"), F.array_position(F.transform(rows, lambda x: F.contains(x, F.lit(":")) & has(x, CUSTOMER)), True).cast("int").alias("at")))  # 0: none
+    found = let(lines(text), lambda rows: F.struct(rows.alias("rows"), F.array_position(F.transform(rows, lambda x: F.contains(x, F.lit(":")) & holds(folded(x), CUSTOMER_WORDS) & has(x, CUSTOMER)), True).cast("int").alias("at")))  # 0: none
 
     def split(f: Column) -> Column:
         rows, at = f["rows"], f["at"]
@@ -181,24 +197,28 @@ def customer_split(text: Column) -> Column:
     return let(found, split)
 
 
-def labeled_parties(text: Column) -> Column:
-    return let(customer_split(text), lambda p: _parties(text, p["before"], p["after"]))
+def labeled_parties(text: Column, low: Column | None = None) -> Column:
+    return with_folded(text, low, lambda low: let(customer_split(text), lambda p: _parties(text, low, p["before"], p["after"])))
 
 
-def _parties(text: Column, before: Column, after: Column) -> Column:
+def _parties(text: Column, low: Column, before: Column, after: Column) -> Column:
+    told = lambda x, words, pattern: F.when(holds(low, words), first(x, pattern))
     one = lambda x: F.filter(F.array(x), lambda v: v.isNotNull())
     return F.struct(
-        clean_party_name(first(before, VENDOR_LABEL)).alias("vendor_name"),
-        one(clean_tax_id(first(before, VENDOR_ID_LABEL))).alias("vendor_ids"),
-        clean_party_name(first(F.coalesce(after, text), CUSTOMER + r"\s*(.+)")).alias("customer_name"),
-        one(clean_tax_id(first(after, CUSTOMER_ID_LABEL))).alias("customer_ids"),
+        clean_party_name(told(before, VENDOR_WORDS, VENDOR_LABEL)).alias("vendor_name"),
+        one(clean_tax_id(told(before, VENDOR_ID_WORDS, VENDOR_ID_LABEL))).alias("vendor_ids"),
+        clean_party_name(told(F.coalesce(after, text), CUSTOMER_WORDS, CUSTOMER + r"\s*(.+)")).alias("customer_name"),
+        one(clean_tax_id(told(after, CUSTOMER_ID_WORDS, CUSTOMER_ID_LABEL))).alias("customer_ids"),
     )
 
 
 def date(text: Column) -> Column:
     """YYYY-MM-DD of the first kind of date that occurs; days come before months, nothing is range-checked, and the
     abbreviation `may` is not known."""
-    t = F.lower(text)
+    return let(F.lower(text), _date)
+
+
+def _date(t: Column) -> Column:
     two = lambda x: F.lpad(x, 2, "0")
 
     def dated(pattern: str, year: int, month: int, day: int, month_of=two) -> Column:
@@ -212,10 +232,10 @@ def date(text: Column) -> Column:
     long = {m: f"{i:02}" for i, m in enumerate(MONTHS, 1)}
     short = {m: f"{i:02}" for i, m in enumerate(SHORT_MONTHS, 1) if m != "may"}
     return F.coalesce(
-        dated(r"fecha\s*:?\s*(\d{1,2})\s*[-/]\s*(\d{1,2})\s*[-/]\s*(\d{4})", 3, 2, 1),
+        F.when(F.contains(t, F.lit("fecha")), dated(r"fecha\s*:?\s*(\d{1,2})\s*[-/]\s*(\d{1,2})\s*[-/]\s*(\d{4})", 3, 2, 1)),
         dated(r"\b(\d{4})[\/.-](\d{2})[\/.-](\d{2})\b", 1, 2, 3),
         dated(r"\b(\d{1,2})[\/.-](\d{1,2})[\/.-](\d{4})\b", 3, 2, 1),
-        named(r"\b(\d{1,2})\s+de\s+(" + "|".join(MONTHS) + r")\s+(?:de\s+)?(\d{4})\b", long),
+        F.when(F.contains(t, F.lit("de")), named(r"\b(\d{1,2})\s+de\s+(" + "|".join(MONTHS) + r")\s+(?:de\s+)?(\d{4})\b", long)),
         named(r"\b(\d{1,2})\s+(" + "|".join(SHORT_MONTHS) + r")\s+(\d{4})\b", short),
     )
 
@@ -238,25 +258,29 @@ def currency(text: Column, hint: Column) -> Column:
 
 
 def rules(text: Column) -> Column:
-    """All generic rules over a text, as one struct."""
-    parts = F.struct(labeled_parties(text).alias("p"), tax(text).alias("t"), tax_percentage(text).alias("pct"))
+    """All generic rules over a text, as one struct.  The folded text and the full lines are made once for all of them."""
+    return let(F.struct(folded(text).alias("low"), full_lines(text).alias("rows")), lambda shared: _rules(text, shared["low"], shared["rows"]))
+
+
+def _rules(text: Column, low: Column, rows: Column) -> Column:
+    parts = F.struct(normalize_all([first_amount(text, TOTALS, low=low), *_subtotals(text, low)]).alias("m"), labeled_parties(text, low).alias("p"), tax(text).alias("t"), tax_percentage(text).alias("pct"))
 
     def made(x: Column) -> Column:
-        p, exempt = x["p"], x["t"].isNull() & zero_tax_signal(text)
+        p, exempt = x["p"], x["t"].isNull() & zero_tax_signal(text, low)
         return F.struct(
-            total(text).alias("amount"),
-            subtotal(text).alias("subtotal"),
+            x["m"][0].alias("amount"),
+            _either(x["m"][1], x["m"][2]).alias("subtotal"),
             F.when(exempt, 0.0).otherwise(x["t"]).alias("tax"),
             F.when(exempt, 0.0).otherwise(x["pct"]).alias("pct"),
             date(text).alias("date"),
-            invoice_number(text).alias("invoice_number"),
-            F.coalesce(p["vendor_name"], vendor_name(text)).alias("vendor_name"),
-            F.when(F.size(p["vendor_ids"]) > 0, p["vendor_ids"]).otherwise(vendor_ids(text)).alias("vendor_ids"),
+            invoice_number(text, low).alias("invoice_number"),
+            F.coalesce(p["vendor_name"], vendor_name(text, rows)).alias("vendor_name"),
+            F.when(F.size(p["vendor_ids"]) > 0, p["vendor_ids"]).otherwise(vendor_ids(text, low)).alias("vendor_ids"),
             p["customer_name"].alias("customer_name"),
             p["customer_ids"].alias("customer_ids"),
-            payment_method(text).alias("payment_method"),
+            payment_method(text, low).alias("payment_method"),
             F.lit(None).cast("string").alias("currency"),
-            items(text).alias("items"),
+            items(text, rows).alias("items"),
         )
 
     return let(parts, made)

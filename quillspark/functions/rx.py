@@ -27,7 +27,8 @@ def rx(pattern: str, flags: str = "i") -> str:
 
 def spaced(text: Column) -> Column:
     """White space other than ASCII's as plain spaces, for matching."""
-    return F.regexp_replace(text, r"[\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]", " ")
+    plain = F.octet_length(text) == F.length(text)  # ASCII only
+    return F.when(plain, text).otherwise(F.regexp_replace(text, r"[\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]", " "))
 
 
 def first(text: Column, pattern: str, group: int = 1, flags: str = "i") -> Column:
@@ -55,7 +56,7 @@ def has(text: Column, pattern: str, flags: str = "i") -> Column:
 
 def folded(text: Column) -> Column:
     """The text in one case, as matching without case sees it: what a pattern's letters match holds these letters here."""
-    return F.lower(F.upper(F.translate(text, "İ", "i")))
+    return F.lower(F.upper(F.when(F.contains(text, F.lit("İ")), F.replace(text, F.lit("İ"), F.lit("i"))).otherwise(text)))
 
 
 def holds(low: Column, words: str) -> Column:
@@ -88,6 +89,16 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def with_folded(text: Column, low: Column | None, use) -> Column:
+    """use(low), where low is the folded text; computed here, once, unless the caller has it."""
+    return let(folded(text), use) if low is None else use(low)
+
+
+def first_found(items: Column, use, kind: str = "string") -> Column:
+    """use(x) of the first element for which it isn't null; elements behind it are not looked at."""
+    return F.aggregate(items, F.lit(None).cast(kind), lambda got, x: F.coalesce(got, use(x)))
+
+
 def round2(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
