@@ -66,6 +66,16 @@ def test_identifications(spark):
     assert [tuple(x) for x in got] == [("RIF", "J-505056603", "vendor"), ("CI", "V-26324525", "customer"), ("RIF", "V-26324525-1", "customer"), ("NIT", "900123456-1", "customer")]
 
 
+def test_half_cents_of_percentages(spark):
+    """Every half cent that 7, 16 and 21 % of an amount make goes up, whatever the double says."""
+    cents = spark.range(50, 3_000_000, 100).select("id", F.explode(F.array(F.lit(7), F.lit(16), F.lit(21))).alias("p"))
+    rows = cents.select("id", "p", (F.col("id") / 100).alias("s"), F.col("p").cast("double").alias("pct"), F.lit(None).cast("double").alias("none"), F.expr("(id * p + 50) div 100").alias("want"))
+    got = amounts.compute_fields({"amount": F.col("none"), "subtotal": F.col("s"), "tax": F.col("none"), "pct": F.col("pct")})
+    known = amounts.reconcile(F.lit(1e6), F.col("s"), F.col("none"), F.col("pct"))
+    near = lambda c: F.floor(c * 100 + 0.5)
+    assert rows.filter((near(got["tax"]) != F.col("want")) | (near(got["amount"]) != F.col("id") + F.col("want")) | (near(known["tax"]) != F.col("want"))).count() == 0
+
+
 def test_compute_fields(spark):
     cases = [((112.0, 100.0, None, None), (112, 100, 12, 12)), ((112.0, None, 12.0, None), (112, 100, 12, 12)), ((None, 100.0, 12.0, None), (112, 100, 12, 12)), ((None, 100.0, None, 7.0), (107, 100, 7, 7)), ((107.0, None, None, 7.0), (107, 100, 7, 7)), ((5.0, None, 0.0, None), (5, None, 0, None)), ((5.0, None, None, 0.0), (5, 5, 0, 0)), ((112.0, 100.0, 12.0, None), (112, 100, 12, 12))]
     df = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "i int, amount double, subtotal double, tax double, pct double")
